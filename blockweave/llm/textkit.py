@@ -255,3 +255,32 @@ def signed(h: np.ndarray) -> np.ndarray:
 
 def id_column(chunk: Chunk, name: str = "doc_id") -> pa.Array:
     return pc.cast(chunk.rows.column(chunk.rows.schema.get_field_index(name)), pa.int64())
+
+
+def with_columns(df: DataFrame, fn: Callable[[Chunk], dict], schema: str, text: str = "text") -> DataFrame:
+    """df with more columns, which fn makes from each chunk; a column of df of the same name gives way."""
+    from pyspark.sql.types import StructType
+
+    new = StructType.fromDDL(schema)
+    df = df.drop(*(f.name for f in new if f.name in df.columns))
+    full = StructType([*df.schema.fields, *new.fields])
+    more, width = arrow_schema(schema), len(df.columns)
+
+    def run(batches):
+        for c in each_chunk(batches, text):
+            got = record(fn(c), more)
+            yield pa.RecordBatch.from_arrays([*c.rows.columns[:width], *got.columns], names=[*c.rows.schema.names, *more.names])
+
+    bound_batches(df.sparkSession)
+    return df.mapInArrow(run, full)
+
+
+def per_text(c: Chunk, mask: np.ndarray) -> np.ndarray:
+    """How many bytes of each text the mask has."""
+    run = np.concatenate([np.zeros(1, np.int64), np.cumsum(mask, dtype=np.int64)])
+    return run[c.offs[1:]] - run[c.offs[:-1]]
+
+
+def with_text_kind(docs: DataFrame) -> DataFrame:
+    """doc_id as long and text as string, other columns as they are; a missing text column is an error."""
+    return docs.withColumns({"doc_id": F.col("doc_id").cast("long"), "text": F.col("text").cast("string")})
