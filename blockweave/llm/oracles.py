@@ -1,3 +1,32 @@
-"""DuckDB forms of the queries, where SQL can express them."""
+"""DuckDB forms of the queries, where SQL can express them.
 
-ORACLES: dict[str, str] = {}
+Learned, iterated and hash-drawn results (rules, components, shards, classes,
+mixes, models, automata) have none; tests hold those against brute force.
+"""
+
+from .licences import sql as licences_sql
+
+_WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
+_FOLDED = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')"
+
+_SUBSTRINGS = f"""
+WITH w AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+win AS (SELECT doc_id, p, md5(array_to_string(w[p:p + 49], ' ')) AS h FROM w, range(1, len(w) - 48) AS r(p)),
+least AS (SELECT h, min(doc_id) AS d FROM win GROUP BY h),
+late AS (SELECT doc_id, list(p) AS ps FROM win JOIN least USING (h) WHERE doc_id > d GROUP BY doc_id),
+covered AS (SELECT doc_id, list_distinct(flatten(list_transform(ps, lambda p: range(p, p + 50)))) AS c FROM late),
+kept AS (SELECT w.doc_id, len(w) AS n, coalesce(len(c), 0) AS r, CASE WHEN c IS NULL THEN w ELSE list_transform(list_sort(list_filter(range(1, len(w) + 1), lambda i: NOT list_contains(c, i))), lambda i: w[i]) END AS k FROM w LEFT JOIN covered USING (doc_id))
+SELECT doc_id, CAST(n AS BIGINT) AS n_words, CAST(r AS BIGINT) AS n_removed, sha256(array_to_string(k, ' ')) AS kept_sha256 FROM kept"""
+
+
+def _shingles(key: str, source: str) -> str:
+    return f"SELECT DISTINCT {key}, array_to_string(w[p:p + 4], ' ') AS s FROM (SELECT {key}, {_FOLDED} AS w FROM {source}), range(1, len(w) - 3) AS r(p)"
+
+
+_LEAKS = f"""
+WITH d AS ({_shingles('doc_id', 'documents')}), b AS ({_shingles('item_id', 'benchmark')}),
+n AS (SELECT item_id, count(*) AS n_item FROM b GROUP BY item_id),
+m AS (SELECT doc_id, item_id, count(*) AS n_shared FROM d JOIN b USING (s) GROUP BY doc_id, item_id)
+SELECT doc_id, item_id, CAST(n_item AS BIGINT) AS n_item, CAST(n_shared AS BIGINT) AS n_shared FROM m JOIN n USING (item_id) WHERE 100 * n_shared >= 80 * n_item"""
+
+ORACLES: dict[str, str] = {"op4_license_scans": licences_sql(), "op6_substring_dedup": _SUBSTRINGS, "op10_decontamination": _LEAKS}
