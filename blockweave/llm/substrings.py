@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from .textkit import U, Chunk, arrow_schema, bitmap, bound_batches, by_fragment, each_chunk, fragment_of, id_column, mix, over_chunks, pack, partitions, probe, record, settle, signed, unpack
 
 WINDOW, PHRASE, BITS = 50, 16, 26
-FLUSH = 1 << 20
+FLUSH = 1 << 19
 _NONE = U((1 << 64) - 1)
 
 
@@ -119,7 +119,7 @@ def windows(docs: DataFrame, bits: np.ndarray, window: int, phrase: int, n_frag:
                 own, rr = np.unique(rr, return_inverse=True)
                 yield record({"frag": [f], "blob": [len(own).to_bytes(4, "little") + pack((ids[own], 8), (keys[own], 8)) + pack((hh, 7), (rr, 3), (pp, 4))]}, out)
 
-        for c in each_chunk(batches, size=2 << 20):
+        for c in each_chunk(batches):
             wh, g, starts = _phrases(c, window, phrase)
             if not len(starts):
                 continue
