@@ -71,7 +71,7 @@ def test_blocks_at_the_edges(spark, size, n):
 def test_apply_of_diff_is_the_new_volume(spark):
     r = random.Random(3)
     old = {v: bytes(r.randrange(3) for _ in range(r.randrange(0, 90))) for v in range(20)}
-    new = {v: bytes(16) + old[v][::-1] + old[(v + 1) % 20][:32] for v in range(20)}
+    new = {v: bytes(16) + b"x" * 16 + old[v][::-1] + old[(v + 1) % 20][:32] for v in range(20)}
     frame = lambda x: spark.createDataFrame([(v, bytearray(b)) for v, b in x.items()], "volume_id long, data binary")
     blocks = C.blocks(frame(new), 16)
     kinds = D.classify(blocks, M.build(frame(old), 16))
