@@ -216,7 +216,7 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("row_key", F.xxhash64("doc_id", "text"))
     shared = anchors(docs, window, phrase).where("n > 1")
-    n = 4 * partitions(spark)
+    n = partitions(spark)
     flags = windows(docs, bitmap(shared, "h", BITS), window, phrase, n).groupBy("frag").applyInArrow(_flag(n), "bucket int, blob binary")
     late = settle(flags.groupBy("bucket").applyInArrow(_ranges, "row_key long, at binary"))
     hashed = spark.sparkContext.broadcast(bitmap(late.select(F.xxhash64("row_key").alias("k")), "k", BITS))
