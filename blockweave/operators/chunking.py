@@ -84,8 +84,18 @@ class Cutter:
         return out
 
 
+def spread(vol: DataFrame, key: str = "volume_id") -> DataFrame:
+    """vol dealt to all cores where it comes from fewer files than there are cores; with more files the scan is parallel and nothing is shuffled."""
+    cores, files = vol.sparkSession.sparkContext.defaultParallelism, len(vol.inputFiles())
+    return vol.repartition(cores, key) if 0 < files < cores else vol
+
+
 def cdc_chunks(vol: DataFrame, low: int, avg: int, high: int, seed: int = 0, key: str = "volume_id") -> DataFrame:
     """(key, seq, offset, length, data) of content-defined chunks. One volume is cut by one task: a cut depends on the one before."""
+    return _cut(spread(vol.select(key, "data"), key), low, avg, high, seed, key)
+
+
+def _cut(vol: DataFrame, low: int, avg: int, high: int, seed: int, key: str) -> DataFrame:
     schema = f"{key} long, seq long, offset long, length int, data binary"
 
     def run(batches):
@@ -105,8 +115,8 @@ def cdc_chunks(vol: DataFrame, low: int, avg: int, high: int, seed: int = 0, key
 
 def hybrid_chunks(vol: DataFrame, block: int, low: int, avg: int, high: int) -> DataFrame:
     """Content-defined chunks inside each fixed block: blocks are cut in parallel. (volume_id, block, seq, offset, length, data)."""
-    cut = blocks(vol, block).select((F.col("volume_id") * (1 << 24) + F.col("seq")).alias("at"), "data")
-    return cdc_chunks(cut, low, avg, high, key="at").select(F.floor(F.col("at") / (1 << 24)).cast("long").alias("volume_id"), (F.col("at") % (1 << 24)).alias("block"), "seq", ((F.col("at") % (1 << 24)) * block + F.col("offset")).alias("offset"), "length", "data")
+    cut = blocks(spread(vol.select("volume_id", "data")), block).select((F.col("volume_id") * (1 << 24) + F.col("seq")).alias("at"), "data")
+    return _cut(cut, low, avg, high, 0, "at").select(F.floor(F.col("at") / (1 << 24)).cast("long").alias("volume_id"), (F.col("at") % (1 << 24)).alias("block"), "seq", ((F.col("at") % (1 << 24)) * block + F.col("offset")).alias("offset"), "length", "data")
 
 
 def size_distribution(chunks: DataFrame, avg: int) -> DataFrame:
