@@ -223,16 +223,18 @@ def scan_secrets(docs: DataFrame, grammars: Grammars | None = None) -> DataFrame
         s, e, kind = shared.value.found(c)
         doc = np.searchsorted(c.offs, s, "right") - 1
         cuts = np.searchsorted(doc, np.arange(c.n + 1))
+        points = np.concatenate([[0], np.cumsum(c.char_starts())])  # code points before each byte
+        first, last = points[s] - points[c.offs[doc]], points[e] - points[c.offs[doc]]
         out = []
         for i, text in enumerate(_texts(c)):
             base = base_spans(text)
             more = []
+            # A token overlaps a base span if one of those that begin before its end goes on after its start.
+            begins = np.array([x[0] for x in base], np.int64)
+            reach = np.maximum.accumulate(np.array([0, *(x[2] for x in base)], np.int64))
             for j in range(cuts[i], cuts[i + 1]):
-                a = int(c.offs[i])
-                first = len(c.data[a : s[j]].tobytes().decode("utf-8", "replace"))
-                last = first + int(e[j] - s[j])
-                if all(last <= x[0] or first >= x[2] for x in base):
-                    more.append((first, f"like_{KINDS[kind[j]]}", last))
+                if reach[np.searchsorted(begins, last[j])] <= first[j]:
+                    more.append((int(first[j]), f"like_{KINDS[kind[j]]}", int(last[j])))
             named = [(x[0], KINDS[x[1]], x[2]) for x in base]
             every = [y[1] for y in sorted([((x[0], x[1]), n) for x, n in zip(base, named, strict=True)] + [((x[0], 3), x) for x in more])]
             n = Counter(x[1] for x in base)
