@@ -108,3 +108,38 @@ def within(path: Column, root: Column) -> Column:
     """A path is the root or below it."""
     r = F.regexp_replace(root, "/+$", "")
     return (path == r) | F.startswith(path, F.concat(r, F.lit("/")))
+
+
+def snapshot_size(text: Column, volume: Column) -> Column:
+    """Bytes of a snapshot: a size, or 1 to 100 percent of the volume where that is a whole number; null for others."""
+    p = parse_percent(text)
+    share = volume.cast("decimal(20,0)") * p
+    return F.when(p.isNull(), parse_size(text)).when(p.between(1, 100) & (share % 100 == 0), (share / 100).cast("long"))
+
+
+def lv_path(path: Column) -> Column:
+    """struct(vg, lv) of a volume's path; a mapper name has its own dashes doubled and parts at the first single one. Null if either is empty."""
+    clean = F.regexp_replace(F.regexp_replace(path, "/+", "/"), "(.)/$", "$1")
+    base, single = F.substring_index(clean, "/", -1), F.lit("\x01")
+    held = F.replace(base, F.lit("--"), single)
+    cut = F.instr(held, "-")
+    whole = lambda c: F.replace(c, single, F.lit("-"))
+    mapped = F.contains(clean, F.lit("/mapper/"))
+    vg = F.when(mapped, F.when(cut > 0, whole(F.substring_index(held, "-", 1)))).otherwise(F.substring_index(F.substring_index(clean, "/", -2), "/", 1))
+    lv = F.when(mapped, whole(F.substr(held, cut + 1))).otherwise(base)
+    return F.when((vg != "") & (lv != ""), F.struct(vg.alias("vg"), lv.alias("lv")))
+
+
+# Fixed value: a partition's line in the dump of a table.
+PARTITION_LINE = r"^/[^ ]+ : start=\s*(\d+), size=\s*(\d+), type=(\S+)"
+
+
+def partition_line(line: Column) -> Column:
+    """struct(start, end, type) of a partition's line, end inclusive; null for comments and other lines."""
+    part = lambda i: F.regexp_extract(F.trim(line), PARTITION_LINE, i)
+    start = part(1).try_cast("long")
+    return F.when(part(3) != "", F.struct(start.alias("start"), (start + part(2).try_cast("long") - 1).alias("end"), part(3).alias("type")))
+
+
+def has_option(options: Column, name: str) -> Column:
+    return F.array_contains(F.split(options, ","), name)

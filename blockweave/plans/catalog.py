@@ -11,6 +11,7 @@ from ..functions import hashing as H
 from ..functions import scalars as S
 from ..operators import chunking as C
 from ..operators import delta as D
+from ..operators import identity as I
 from ..operators import manifest as M
 from ..operators import ranges as R
 from ..operators import state as T
@@ -467,3 +468,89 @@ def sent_counters(spark, d):
 def destination_check(spark, d):
     """The first check that fails, in a fixed order."""
     return table(spark, d, "customer").select("c_custkey", F.when(F.col("c_nationkey") == 0, "identity").when(F.col("c_acctbal") < 0, "size").when(F.col("c_mktsegment") == "BUILDING", "mounted").alias("failure"))
+
+
+# -- devices, settings, stored state -----------------------------------------------------------------
+@query("SELECT o_orderkey, CASE WHEN p BETWEEN 1 AND 100 AND (n * p) % 100 = 0 THEN CAST(n * p // 100 AS BIGINT) END AS bytes FROM (SELECT o_orderkey, o_orderkey % 120 AS p, o_custkey * 50 AS n FROM orders)")
+def snapshot_sizes(spark, d):
+    text = F.concat((F.col("o_orderkey") % 120).cast("string"), F.lit("%"))
+    return table(spark, d, "orders").select("o_orderkey", S.snapshot_size(text, F.col("o_custkey") * 50).alias("bytes"))
+
+
+@query("SELECT s_suppkey, CASE s_suppkey % 3 WHEN 0 THEN 'vg-' || s_suppkey WHEN 1 THEN 'vg' || s_suppkey END AS vg, CASE s_suppkey % 3 WHEN 0 THEN 'lv-root' WHEN 1 THEN 'root' END AS lv FROM supplier")
+def lv_paths(spark, d):
+    k = F.col("s_suppkey").cast("string")
+    path = F.when(F.col("s_suppkey") % 3 == 0, F.concat(F.lit("/dev/mapper/vg--"), k, F.lit("-lv--root"))).when(F.col("s_suppkey") % 3 == 1, F.concat(F.lit("/dev//vg"), k, F.lit("/root/"))).otherwise(F.concat(F.lit("/dev/mapper/vg"), k))
+    return table(spark, d, "supplier").select("s_suppkey", S.lv_path(path).alias("p")).select("s_suppkey", "p.vg", "p.lv")
+
+
+@query("SELECT n_nationkey, CAST(2048 * n_nationkey AS BIGINT) AS first, CAST(2048 * n_nationkey + 100 * (n_nationkey + 1) - 1 AS BIGINT) AS last, '8' || n_regionkey AS type FROM nation WHERE n_nationkey % 5 <> 0")
+def partition_lines(spark, d):
+    n = F.col("n_nationkey")
+    line = F.when(n % 5 == 0, F.lit("# comment")).otherwise(F.concat(F.lit("/dev/sda"), n, F.lit(" : start= "), 2048 * n, F.lit(", size=  "), 100 * (n + 1), F.lit(", type=8"), F.col("n_regionkey")))
+    return table(spark, d, "nation").select("n_nationkey", S.partition_line(line).alias("p")).where("p is not null").select("n_nationkey", F.col("p.start").alias("first"), F.col("p.end").alias("last"), "p.type")
+
+
+_DEVICE = {"size_bytes": "c_nationkey % 3", "kernel_uuid": "c_mktsegment", "gpt_uuid": "'g'", "mbr_signature": "c_nationkey % 2", "fs_uuid": "CASE WHEN c_nationkey > 0 THEN 'f' END", "partition_hash": "c_nationkey % 5", "manifest_epoch": "1", "major": "8", "minor": "c_nationkey"}
+_SAME = "coalesce(a.c_nationkey % 3 = b.c_nationkey % 3 AND a.c_mktsegment = b.c_mktsegment AND a.c_nationkey % 2 = b.c_nationkey % 2 AND (a.c_nationkey > 0) = (b.c_nationkey > 0) AND a.c_nationkey % 5 = b.c_nationkey % 5, false)"
+
+
+def _device_pairs(spark, d):
+    x = table(spark, d, "customer").select("c_custkey", F.struct(*(F.expr(e).alias(n) for n, e in _DEVICE.items())).alias("a"))
+    return x.join(x.select((F.col("c_custkey") - 1).alias("c_custkey"), F.col("a").alias("b")), "c_custkey")
+
+
+@query(f"SELECT a.c_custkey, {_SAME} AS same, {_SAME} AND a.c_nationkey = b.c_nationkey AS strict FROM customer a JOIN customer b ON b.c_custkey = a.c_custkey + 1")
+def identity_compare(spark, d):
+    a, b = F.col("a"), F.col("b")
+    return _device_pairs(spark, d).select("c_custkey", I.same_device(a, b).alias("same"), I.same_device(a, b, strict=True).alias("strict"))
+
+
+@query("SELECT a.c_custkey, CASE WHEN a.c_custkey % 7 = 0 THEN NULL WHEN a.c_nationkey % 3 <> b.c_nationkey % 3 THEN 'size' WHEN a.c_mktsegment <> b.c_mktsegment OR (a.c_nationkey > 0) <> (b.c_nationkey > 0) THEN 'uuid' WHEN a.c_nationkey % 2 <> b.c_nationkey % 2 THEN 'mbr' WHEN a.c_nationkey % 5 <> b.c_nationkey % 5 THEN 'partitions' END AS failure FROM customer a JOIN customer b ON b.c_custkey = a.c_custkey + 1")
+def identity_check(spark, d):
+    return _device_pairs(spark, d).select("c_custkey", I.identity_failure(F.col("a"), F.col("b"), F.col("c_custkey") % 7 == 0).alias("failure"))
+
+
+@query("SELECT p_partkey, CASE WHEN p_size % 11 = 0 THEN 'mode' WHEN p_size % 7 = 0 AND p_partkey % 2 = 0 THEN 'offline' WHEN p_size % 6 NOT BETWEEN 1 AND 4 THEN 'tcp_parallel' WHEN p_size > 48 THEN 'cdc_sizes' WHEN p_size > 40 THEN 'cdc_order' END AS failure FROM part")
+def config_check(spark, d):
+    n, lit = F.col("p_size"), F.lit
+    c = F.struct(F.when(n % 11 == 0, "fast").otherwise("default").alias("mode"), F.when(n % 7 == 0, "raw").otherwise("file").alias("source_type"), lit("auto").alias("dest_type"), lit(None).cast("string").alias("output"), lit("never").alias("sparse"), (F.col("p_partkey") % 2 == 1).alias("offline"), (n % 6).alias("tcp_parallel"), F.when(n > 48, 0).otherwise(64).alias("cdc_min"), F.when(n > 40, 32).otherwise(128).alias("cdc_avg"), lit(256).alias("cdc_max"))
+    return table(spark, d, "part").select("p_partkey", I.config_failure(c).alias("failure"))
+
+
+@query("SELECT s_suppkey AS key, CASE s_suppkey % 3 WHEN 0 THEN s_nationkey % 3 = 0 WHEN 1 THEN s_nationkey % 3 = 0 ELSE false END AS rw FROM supplier")
+def mounted_rw(spark, d):
+    n = table(spark, d, "nation")
+    mounts = n.select(F.concat(F.lit("/dev/sd"), "n_nationkey").alias("source"), F.concat(F.lit("/mnt/"), "n_nationkey").alias("mountpoint"), F.lit("/").alias("root"), F.when(F.col("n_nationkey") % 3 == 0, "rw,noatime").otherwise("ro,rwx").alias("options"))
+    k = F.col("s_nationkey").cast("string")
+    path = F.when(F.col("s_suppkey") % 3 == 0, F.concat(F.lit("/mnt/"), k, F.lit("/a/b"))).when(F.col("s_suppkey") % 3 == 1, F.concat(F.lit("/dev/sd"), k)).otherwise(F.concat(F.lit("/dev/sd"), k, F.lit("/x")))
+    return I.mounted_rw(table(spark, d, "supplier").select(F.col("s_suppkey").alias("key"), path.alias("path")), mounts).select("key", "rw")
+
+
+@query(f"WITH {_PAIR} SELECT e.volume_id, e.off AS \"offset\", m.digest IS NULL AS is_new FROM e LEFT JOIN m ON m.volume_id = e.volume_id AND m.off = e.off WHERE m.digest IS NULL OR m.digest <> e.digest")
+def checksum_state(spark, d):
+    """Blocks to send: nothing is stored at their offset yet, or another digest."""
+    stored = M.build(docs(spark, d), B).select("volume_id", "offset", F.col("digest").alias("old"))
+    return M.build(edited(spark, d), B).join(stored, ["volume_id", "offset"], "left").where("old is null or old <> digest").select("volume_id", "offset", F.col("old").isNull().alias("is_new"))
+
+
+@query(f"WITH {_BLOCKS} SELECT volume_id, off // 4096 AS range, bit_count(bit_or((1::UBIGINT << (CAST('0x' || digest[1:2] AS UBIGINT) % 64)) | (1::UBIGINT << (CAST('0x' || digest[3:4] AS UBIGINT) % 64))))::INTEGER AS bits FROM m GROUP BY volume_id, off // 4096")
+def range_filters(spark, d):
+    """Bits set in a range's filter word: two of 64 for each entry."""
+    bit = lambda at: F.expr(f"shiftleft(1L, cast(conv(substr(digest, {at}, 2), 16, 10) as int) % 64)")
+    m = M.build(docs(spark, d), B).groupBy("volume_id", F.floor(F.col("offset") / 4096).alias("range"))
+    return m.agg(F.bit_or(bit(1).bitwiseOR(bit(3))).alias("w")).select("volume_id", "range", F.bit_count("w").alias("bits"))
+
+
+@query(f"SELECT doc_id, CAST(ceil(octet_length(encode(text)) / {B}.0) AS BIGINT) AS n_chunks, sha256(array_slice(encode(text), 1, 1048576)) AS head FROM documents")
+def volume_heads(spark, d):
+    """How many blocks a volume has, and the digest of its first MiB."""
+    return docs(spark, d).select(F.col("volume_id").alias("doc_id"), F.ceil(F.octet_length("data") / B).alias("n_chunks"), H.sha(F.substring("data", 1, 1 << 20)).alias("head"))
+
+
+@query("WITH a AS (SELECT user_id, event_id, event_type FROM events WHERE event_id % 4 <> 0), s AS (SELECT user_id, event_id, CASE WHEN event_id % 5 = 0 THEN 'other' ELSE event_type END AS event_type FROM events) SELECT a.user_id, a.event_id FROM a WHERE NOT EXISTS (SELECT 1 FROM s WHERE s.user_id = a.user_id AND s.event_id = a.event_id AND s.event_type = a.event_type)")
+def log_against_manifest(spark, d):
+    """Applied entries of a log that the manifest doesn't confirm."""
+    e = table(spark, d, "events").select("user_id", "event_id", "event_type")
+    stored = e.withColumn("event_type", F.when(F.col("event_id") % 5 == 0, "other").otherwise(F.col("event_type")))
+    return M.changed(e.where("event_id % 4 <> 0"), stored, ["user_id", "event_id", "event_type"]).select("user_id", "event_id")
