@@ -1,7 +1,7 @@
 """DuckDB forms of the queries, where SQL can express them.
 
-Learned, iterated and hash-drawn results (rules, components, shards, classes,
-mixes, models, automata) have none; tests hold those against brute force.
+Learned, iterated and hash-drawn results (rules, shards, classes, mixes, models,
+automata) have none; tests hold those against brute force.
 """
 
 from .licences import sql as licences_sql
@@ -29,4 +29,18 @@ n AS (SELECT item_id, count(*) AS n_item FROM b GROUP BY item_id),
 m AS (SELECT doc_id, item_id, count(*) AS n_shared FROM d JOIN b USING (s) GROUP BY doc_id, item_id)
 SELECT doc_id, item_id, CAST(n_item AS BIGINT) AS n_item, CAST(n_shared AS BIGINT) AS n_shared FROM m JOIN n USING (item_id) WHERE 100 * n_shared >= 80 * n_item"""
 
-ORACLES: dict[str, str] = {"op4_license_scans": licences_sql(), "op6_substring_dedup": _SUBSTRINGS, "op10_decontamination": _LEAKS}
+#: Pairs of texts with different sets that link, then what each reaches.
+_COMPONENTS = f"""
+WITH RECURSIVE w AS (SELECT doc_id, {_FOLDED} AS w FROM documents),
+sh AS (SELECT DISTINCT doc_id, md5(array_to_string(w[p:p + 4], ' ')) AS s FROM w, range(1, greatest(len(w) - 3, 2)) AS r(p) WHERE len(w) > 0),
+sets AS (SELECT doc_id, count(*) AS n, md5(string_agg(s, '' ORDER BY s)) AS f FROM sh GROUP BY doc_id),
+rep AS (SELECT f, min(doc_id) AS r, any_value(n) AS n FROM sets GROUP BY f),
+rs AS (SELECT r, n, s FROM rep JOIN sh ON sh.doc_id = rep.r),
+pair AS (SELECT a.r AS a, b.r AS b FROM rs a JOIN rs b ON a.s = b.s AND a.r < b.r AND 100 * a.n >= 80 * b.n AND 100 * b.n >= 80 * a.n GROUP BY a.r, b.r, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+edge AS (SELECT a, b FROM pair UNION ALL SELECT b, a FROM pair),
+reach AS (SELECT r AS x, r AS y FROM rep UNION SELECT x, b FROM reach JOIN edge ON edge.a = reach.y),
+comp AS (SELECT x, min(y) AS c FROM reach GROUP BY x)
+SELECT w.doc_id, CAST(coalesce(sets.n, 0) AS BIGINT) AS n_shingles, coalesce(rep.r, w.doc_id) AS class_id, coalesce(comp.c, w.doc_id) AS component_id
+FROM w LEFT JOIN sets USING (doc_id) LEFT JOIN rep USING (f) LEFT JOIN comp ON comp.x = rep.r"""
+
+ORACLES: dict[str, str] = {"op2_ngram_jaccard_join": _COMPONENTS, "op4_license_scans": licences_sql(), "op6_substring_dedup": _SUBSTRINGS, "op10_decontamination": _LEAKS}
