@@ -54,17 +54,22 @@ def overlay(base: DataFrame, changes: DataFrame) -> DataFrame:
     return base.join(last, ["volume_id", "offset"], "full").select("volume_id", "offset", F.coalesce("new", "digest").alias("digest"))
 
 
-def byte_runs(pairs: DataFrame) -> DataFrame:
-    """(volume_id, start, length): maximal runs of differing bytes of the common length of columns a and b."""
+#: Bytes that are compared at once; a run of differing bytes ends where they do.
+COMPARE = 32 * 1024
+
+
+def byte_runs(pairs: DataFrame, buffer: int = COMPARE) -> DataFrame:
+    """(volume_id, start, length): runs of differing bytes of the common length of columns a and b, cut at multiples of ``buffer``. A null has no bytes."""
 
     def run(batches):
         for t in batches:
             rows = []
             for i in range(t.num_rows):
-                a, b = (np.frombuffer(t.column(j)[i].as_buffer(), np.uint8) for j in (1, 2))
+                a, b = (np.frombuffer(t.column(j)[i].as_buffer() or b"", np.uint8) for j in (1, 2))
                 n = min(len(a), len(b))
-                d = np.flatnonzero(np.diff(np.concatenate([[0], (a[:n] != b[:n]).astype(np.int8), [0]])))
-                rows += [(t.column(0)[i].as_py(), int(s), int(e - s)) for s, e in zip(d[::2], d[1::2], strict=True)]
+                at = np.flatnonzero(a[:n] != b[:n])
+                first = np.flatnonzero((np.diff(at, prepend=-2) > 1) | (at % buffer == 0))
+                rows += [(t.column(0)[i].as_py(), int(s), int(k)) for s, k in zip(at[first], np.diff(np.append(first, len(at))), strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], pa.int64()) for j in range(3)], ["volume_id", "start", "length"])
 
     return pairs.select("volume_id", "a", "b").mapInArrow(run, "volume_id long, start long, length long")

@@ -230,7 +230,7 @@ def overlay_apply(spark, d):
     return D.overlay(m, v.select("volume_id", "offset", "version", H.sha(F.concat(F.lit("v"), F.col("version").cast("string"))).alias("digest")))
 
 
-@query()
+@query(f"WITH p AS (SELECT doc_id AS volume_id, regexp_extract_all(hex(encode(text)), '..') AS a, regexp_extract_all(hex(encode({_EDIT})), '..') AS b FROM documents), u AS (SELECT volume_id, unnest(a) AS u, unnest(b) AS w, unnest(range(0, CAST(len(a) AS BIGINT))) AS x FROM p), r AS (SELECT volume_id, x, x // 32768 AS part, x - row_number() OVER (PARTITION BY volume_id, x // 32768 ORDER BY x) AS g FROM u WHERE u <> w) SELECT volume_id, min(x) AS start, count(*) AS length FROM r GROUP BY volume_id, part, g")
 def byte_runs(spark, d):
     a = docs(spark, d).withColumnRenamed("data", "a")
     return D.byte_runs(a.join(edited(spark, d).withColumnRenamed("data", "b"), "volume_id"))
@@ -279,7 +279,7 @@ def cdc_dedup_refs(spark, d):
 
 
 # -- hashes, codecs --------------------------------------------------------------------------------
-@query()
+@query(f"WITH {_BLOCKS}, t AS (SELECT list(list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: xor(c >> 1, 2197175160 * (c & 1))) ORDER BY i) AS t FROM range(0, 256) AS r(i)), x AS (SELECT volume_id, seq, list_transform(regexp_extract_all(hex(b), '..'), lambda h: CAST('0x' || h AS BIGINT)) AS x FROM m) SELECT volume_id, seq, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), x), lambda c, y: xor(c >> 8, t[(xor(c, y) & 255) + 1])), 4294967295) AS crc32c FROM x, t")
 def crc32c(spark, d):
     return M.blocks(docs(spark, d), B).select("volume_id", "seq", H.crc32c("data").alias("crc32c"))
 
@@ -326,13 +326,13 @@ def lru_ttl(spark, d):
     return T.lru_ttl(e, "user_id", "ts", now.cast("timestamp_ntz"), "5 DAYS", 50).select("user_id", "n_uses")
 
 
-@query()
+@query("WITH RECURSIVE m AS MATERIALIZED (SELECT doc_id AS volume_id, CAST(x AS BIGINT) AS seq, sha256(array_slice(encode(text), x * 64 + 1, x * 64 + 64)) AS digest FROM documents, range(0, CAST(ceil(octet_length(encode(text)) / 64.0) AS BIGINT)) AS r(x)), w AS (SELECT volume_id, seq, [digest] AS seen, false AS hit FROM m WHERE seq = 0 UNION ALL SELECT m.volume_id, m.seq, CASE WHEN list_contains(w.seen, m.digest) THEN w.seen ELSE list_append(w.seen, m.digest)[-16:] END, list_contains(w.seen, m.digest) FROM w JOIN m ON m.volume_id = w.volume_id AND m.seq = w.seq + 1) SELECT volume_id, seq, hit FROM w")
 def fifo_intra_dedup(spark, d):
     m = M.build(docs(spark, d), 64)
     return T.fifo_dedup(m, "volume_id", "seq", 16)
 
 
-@query()
+@query('WITH RECURSIVE e AS MATERIALIZED (SELECT user_id, "at", amount, row_number() OVER (PARTITION BY user_id ORDER BY "at", amount) AS n FROM (SELECT user_id, CAST(epoch_us(ts) AS DOUBLE) AS "at", abs(value) AS amount FROM events)), w AS (SELECT user_id, "at", amount, n, greatest(0.0::DOUBLE, 50.0::DOUBLE - amount) AS level, "at" + greatest(0.0::DOUBLE, amount - 50.0::DOUBLE) / 0.001::DOUBLE AS done FROM e WHERE n = 1 UNION ALL SELECT user_id, "at", amount, n, greatest(0.0::DOUBLE, level - amount), start + greatest(0.0::DOUBLE, amount - level) / 0.001::DOUBLE FROM (SELECT e.*, greatest(e."at", w.done) AS start, least(50.0::DOUBLE, w.level + (greatest(e."at", w.done) - w.done) * 0.001::DOUBLE) AS level FROM w JOIN e ON e.user_id = w.user_id AND e.n = w.n + 1)) SELECT user_id, "at", amount, done - "at" AS wait FROM w')
 def token_bucket(spark, d):
     e = table(spark, d, "events").select("user_id", F.unix_micros(F.col("ts").cast("timestamp")).cast("double").alias("at"), F.abs("value").alias("amount"))
     return T.token_bucket(e, "user_id", "at", "amount", 0.001, 50.0)

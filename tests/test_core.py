@@ -136,3 +136,9 @@ def test_entry(spark):
     import __spark_entry__
 
     assert __spark_entry__.entry(spark).columns == ["source", "n_blocks", "n_bytes"]
+
+
+def test_byte_runs_end_at_buffer_edges(spark):
+    pairs = spark.createDataFrame([(1, b"aaaaaaaaaa", b"abbbbbbaab"), (2, b"xy", b"xz..."), (3, None, b"x"), (4, b"", b"")], "volume_id long, a binary, b binary")
+    got = sorted(tuple(r) for r in D.byte_runs(pairs, 4).collect())
+    assert got == [(1, 1, 3), (1, 4, 3), (1, 9, 1), (2, 1, 1)]
