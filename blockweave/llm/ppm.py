@@ -1,19 +1,20 @@
 """Scores of texts: a unigram base, and prediction by partial matching over bytes.
 
-The trie of byte contexts has depth 5 over 64 symbols: the commonest bytes of
-the corpus, one for all others (their own byte is coded apart) and the text's
-end. A context escapes to its suffix by method C, (symbols seen) / (count +
-symbols seen), and symbols it has seen are excluded below. All counts come from
-those of 6-symbol strings. To depth 3 the trie is dense, 64**4 cells; below it
-has the cells with at least LEAST of all symbols, so at most 1 / LEAST a level,
-and what the others would have counts as escape. So what is gathered and
-broadcast has a bound, whatever the corpus. For a trained trie each cell's
-probability, with escapes and exclusions, is fixed; scoring is a few lookups a
-byte.
-
-Token counts of the base have no such bound and never leave the executors: each
-task sends its tokens and their documents to fragments of the hash order, which
-count the training ones and send sums by document back.
+The trie of byte contexts has depth 5. Its symbols are all byte values (A-Z
+folded, which frees the code of A for the text's end); bytes that no training
+text has are alike, and share one symbol that training never sees. A context
+escapes to its suffix by method C, (symbols seen) / (count + symbols seen), and
+symbols it has seen are excluded below. Every context and symbol that was seen
+counts, if only once.
+
+Neither the trie nor the token counts of the base have a bound, so they never
+leave the executors. A batch of documents sends each token and each 6-symbol
+string it holds once: tokens to fragments of the hash order, strings to that of
+their last three context symbols, which so has all longer contexts of these. A
+fragment adds up what training texts have, and sends the count of each token or
+the log probability of each string back to the batch, which walks its texts
+again. Only contexts of up to two symbols are broadcast: as many cells at most
+as there are strings of three byte values.
 """
 
 from __future__ import annotations
@@ -27,154 +28,157 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textkit import U, arrow_schema, bound_batches, by_fragment, each_chunk, fragment_of, id_column, mix, pack, partitions, record, settle, unpack
+from .textkit import Chunk, U, arrow_schema, bound_batches, by_fragment, each_chunk, fragment_of, id_column, mix, partitions, record, settle, written
 
 FLUSH = 1 << 20
-SYMBOLS, RARE, END = 64, 62, 63
+SYMBOLS, END = 64, 63
 DEPTH = 5
-#: Below depth 3 a symbol is kept in a context if it comes there in at least this share of all places.
-LEAST = 2.0**-23
+#: The end of a text among byte values: A, which folding leaves free.
+STOP = 65
+#: The counts of short contexts reach the driver in so many blobs.
+LOW_PARTS = 8
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
 
 
 def _postings(docs: DataFrame, n_frag: int) -> DataFrame:
-    """kind 0: a fragment's tokens of one batch of documents; kind 1: that batch's documents; kind 2: byte counts of training texts."""
+    """By batch of documents, kind 0: a fragment's tokens; kind 1: the documents; kind 2: a fragment's 6-symbol strings. Of a task, kind 3: counts of 3-symbol strings in training texts."""
     schema = "kind int, frag int, part long, blob binary"
     out = arrow_schema(schema)
 
+    def rows(kind, got, part):
+        for i in range(0, len(got), 64):
+            some = got[i : i + 64]
+            yield record({"kind": [kind] * len(some), "frag": [f for f, _ in some], "part": [part] * len(some), "blob": [b for _, b in some]}, out)
+
     def run(batches):
-        part, parts, docs_, held, n_docs = TaskContext.get().partitionId() << 24, [], [], 0, 0
-        counts = np.zeros(256, np.int64)
+        part, parts, docs_, held, n_docs, n_bytes = TaskContext.get().partitionId() << 24, [], [], 0, 0, 0
+        low = np.zeros(0, np.int64), np.zeros(0, np.int64)
 
         def flush():
+            nonlocal low
             h, doc = (np.concatenate([p[i] for p in parts]) for i in (0, 1))
-            ids, none, train, n_words = (np.concatenate([d[i] for d in docs_]) for i in range(4))
-            yield record({"kind": [1], "frag": [None], "part": [part], "blob": [pack((ids.view(U), 8), (none, 1), (~train, 1), (n_words, 5))]}, out)
-            if not len(h):
-                return
-            for f, hh, dd in by_fragment(fragment_of(h, n_frag), n_frag, h, doc):
-                order = np.lexsort((dd, hh))
-                hh, dd = hh[order], dd[order]
-                new = np.concatenate([[True], hh[1:] != hh[:-1]])
-                cut = np.flatnonzero(new | np.concatenate([[True], dd[1:] != dd[:-1]]))
-                tf = np.diff(np.append(cut, len(hh)))
-                heads = np.flatnonzero(new[cut])
-                trained = np.add.reduceat(np.where(train[dd[cut]], tf, 0), heads)
-                big = np.repeat(np.arange(len(tf)), -(-tf // 65535))  # a count beyond two bytes takes several entries
-                rest = np.full(len(big), 65535)
-                last = np.append(big[1:] != big[:-1], True)
-                rest[last] = (tf - 1) % 65535 + 1
-                n = np.diff(np.searchsorted(big, np.append(heads, len(tf))))
-                yield record({"kind": [0], "frag": [f], "part": [part], "blob": [len(heads).to_bytes(4, "little") + pack((hh[cut][heads], 7), (n, 3), (trained, 4)) + pack((dd[cut][big], 3), (rest, 2))]}, out)
+            ids, none, train, n_words, lens = (np.concatenate([d[i] for d in docs_]) for i in range(5))
+            data = np.concatenate([d[5] for d in docs_])
+            yield from rows(1, [(None, _squeeze((ids.view(U), 8), (none, 1), (~train, 1), (n_words, 5), (lens, 5)) + _squeeze((data, 1)))], part)
+            keys, first = keys_of(data, np.concatenate([[0], np.cumsum(lens)]))
+            k, back = np.unique(keys, return_inverse=True)
+            n = np.bincount(back[np.repeat(train, np.diff(first))], minlength=len(k))
+            del keys, back
+            yield from rows(2, [(f, _squeeze((kk, 6), (nn, 4))) for f, kk, nn in by_fragment(_home(k, n_frag), n_frag, k, n)], part)
+            seen = n > 0
+            low = _added(np.concatenate([low[0], k[seen] & 0xFFFFFF]), np.concatenate([low[1], n[seen]]))
+            words, back = np.unique(h, return_inverse=True)
+            n = np.bincount(back[train[doc]], minlength=len(words))
+            yield from rows(0, [(f, _squeeze((hh, 8), (nn, 4))) for f, hh, nn in by_fragment(fragment_of(words, n_frag), n_frag, words, n)], part)
 
         for c in each_chunk(batches):
             c.words()
             train = np.asarray(c.rows.column(c.rows.schema.get_field_index("train")).to_numpy(zero_copy_only=False), bool)
             ids = id_column(c)
             parts.append((c.word_hashes(True), c.wdoc + n_docs))
-            docs_.append((np.asarray(ids.fill_null(0)), np.asarray(ids.is_null().to_numpy(zero_copy_only=False)), train, c.n_words))
-            counts += np.bincount(_FOLD[c.data[np.repeat(train, np.diff(c.offs))]], minlength=256)
-            held, n_docs = held + len(c.ws), n_docs + c.n
-            if held > FLUSH or n_docs > 1 << 22:
+            docs_.append((np.asarray(ids.fill_null(0)), np.asarray(ids.is_null().to_numpy(zero_copy_only=False)), train, c.n_words, np.diff(c.offs), _FOLD[c.data]))
+            held, n_docs, n_bytes = held + len(c.ws), n_docs + c.n, n_bytes + len(c.data)
+            if held > FLUSH or n_docs > FLUSH or n_bytes > 4 * FLUSH:
                 yield from flush()
-                part, parts, docs_, held, n_docs = part + 1, [], [], 0, 0
+                part, parts, docs_, held, n_docs, n_bytes = part + 1, [], [], 0, 0, 0
         if n_docs:
             yield from flush()
-        yield record({"kind": [2], "frag": [None], "part": [None], "blob": [counts.tobytes()]}, out)
+        yield from rows(3, [(f, _squeeze((k, 3), (n, 6))) for f, k, n in by_fragment(low[0] % LOW_PARTS, LOW_PARTS, *low)], None)
 
     bound_batches(docs.sparkSession)
     return docs.mapInArrow(run, schema)
 
 
-def _count(table: pa.Table) -> pa.Table:
-    """Of one fragment: for each batch of documents its sums (known tokens, log10(c + 0.5)) by document; under part null the training tokens and distinct ones."""
-    heads, tails = [], []
-    for b in table.column("blob"):
-        raw = b.as_buffer()
-        m = int.from_bytes(raw[:4], "little")
-        heads.append(unpack(raw[4 : 4 + 14 * m], 7, 3, 4))
-        tails.append(unpack(raw[4 + 14 * m :], 3, 2))
-    words, back = np.unique(np.concatenate([h[0] for h in heads]), return_inverse=True)
-    c = np.bincount(back, np.concatenate([h[2] for h in heads]).astype(np.float64), len(words))
-    logs, known, at, got = np.log10(c + 0.5), c > 0, 0, []
-    for (_, n, _), (doc, tf), part in zip(heads, tails, table.column("part").to_pylist(), strict=True):
-        mine = np.repeat(back[at : at + len(n)], n.astype(np.int64))
-        at += len(n)
-        doc, tf = doc.astype(np.int64), tf.astype(np.float64)
-        own, i = np.unique(doc, return_inverse=True)
-        got.append((part, pack((own, 3), (np.bincount(i, tf * known[mine]), 5)) + np.bincount(i, tf * logs[mine]).tobytes()))
-    got.append((None, np.array([c.sum(), known.sum()], np.int64).tobytes()))
-    return pa.table({"part": pa.array([p for p, _ in got], pa.int64()), "sums": pa.array([s for _, s in got], pa.binary())})
-
-
-
-def _gather(table: pa.Table) -> pa.Table:
-    """Of one batch of documents: its table and the sums of all fragments, as rows; logs still without the total."""
-    docs = table.filter(pc.equal(table.column("kind"), 1)).column("blob")[0].as_buffer()
-    ids, none, held, n_words = unpack(docs, 8, 1, 1, 5)
-    known, logs = np.zeros(len(ids), np.int64), np.zeros(len(ids))
-    for s in table.filter(pc.equal(table.column("kind"), 3)).column("blob"):
-        raw = s.as_buffer()
-        m = len(raw) // 16
-        own, n = unpack(raw[: 8 * m], 3, 5)
-        own = own.astype(np.int64)
-        known[own] += n.astype(np.int64)
-        logs[own] += np.frombuffer(raw[8 * m :], np.float64)
-    return pa.table({"doc_id": pa.array(ids.view(np.int64), pa.int64(), mask=none > 0), "held_out": held > 0, "n_words": n_words.astype(np.int64), "n_known": known, "logs": logs})
-
-
-def _strings(docs: DataFrame, symbol: np.ndarray, n_frag: int) -> DataFrame:
-    """(frag, blob): 6-symbol strings of training texts with their numbers of times, dealt by the last four symbols; a task adds up first."""
-    schema = "frag int, blob binary"
-    out = arrow_schema(schema)
+def _squeeze(*cols: tuple[np.ndarray, int]) -> bytes:
+    """Columns of unsigned integers in their low so many bytes, byte by byte of all rows, compressed; its length and number of rows first."""
+    planes = [np.ascontiguousarray(np.ascontiguousarray(a.astype("<u8")).view(np.uint8).reshape(-1, 8)[:, :w].T).tobytes() for a, w in cols]
+    got = pa.compress(b"".join(planes), codec="zstd", asbytes=True)
+    return len(got).to_bytes(8, "little") + len(cols[0][0]).to_bytes(8, "little") + got
 
-    def run(batches):
-        parts, held, sums = [], 0, []
 
-        def merge(sums):
-            k, n = (np.concatenate([x[i] for x in sums]) for i in (0, 1))
-            order = np.argsort(k, kind="stable")
-            k, n = k[order], n[order]
-            head = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
-            return k[head], np.add.reduceat(n, head)
+def _expand(raw, *widths: int) -> tuple[list[np.ndarray], object]:
+    """The columns at the begin of raw, and what follows them."""
+    size, n = int.from_bytes(raw[:8], "little"), int.from_bytes(raw[8:16], "little")
+    got = np.frombuffer(pa.decompress(raw[16 : 16 + size], n * sum(widths), codec="zstd"), np.uint8)
+    out, at = [], 0
+    for w in widths:
+        a = np.zeros((n, 8), np.uint8)
+        a[:, :w] = got[at : at + n * w].reshape(w, n).T
+        out.append(a.view("<i8").ravel())
+        at += n * w
+    return out, raw[16 + size :]
 
-        def flush():
-            k, n = merge(sums)
-            for f, kk, nn in by_fragment(mix((k & 0xFFFFFF).view(U)) % U(n_frag), n_frag, k, n):
-                yield record({"frag": [f], "blob": [pack((kk, 5), (nn, 5))]}, out)
 
-        for c in each_chunk(batches):
-            parts.append(keys_of(c, symbol)[0])
-            held += len(parts[-1])
-            if held > 1 << 22:
-                sums.append(np.unique(np.concatenate(parts), return_counts=True))
-                parts, held = [], 0
-                if sum(len(x[0]) for x in sums) > 1 << 22:
-                    yield from flush()
-                    sums.clear()
-        if parts:
-            sums.append(np.unique(np.concatenate(parts), return_counts=True))
-        if sums:
-            yield from flush()
+def _added(k: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in order, and the sum of each."""
+    k, back = np.unique(k, return_inverse=True)
+    return k, np.bincount(back, n, len(k)).astype(np.int64)
+
 
-    return docs.where("train").select("text").mapInArrow(run, schema)
+def _home(k: np.ndarray, n_frag: int) -> np.ndarray:
+    """The fragment of each 6-symbol string: by its last three context symbols."""
+    return (mix(((k >> 8) & 0xFFFFFF).view(U)) % U(n_frag)).astype(np.int64)
 
 
-def keys_of(c, symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _count(table: pa.Table) -> pa.Table:
+    """Of one fragment: for each batch of documents how often training texts have its tokens, in their order; under part null the training tokens and distinct ones."""
+    got = [_expand(b.as_buffer().to_pybytes(), 8, 4)[0] for b in table.column("blob")]
+    words, back = np.unique(np.concatenate([g[0] for g in got]).view(U), return_inverse=True)
+    c = np.bincount(back, np.concatenate([g[1] for g in got]), len(words)).astype(np.int64)
+    each = c[back]
+    ends = np.cumsum([0, *(len(g[0]) for g in got)])
+    blobs = [_squeeze((each[a:b], 6)) for a, b in zip(ends[:-1], ends[1:], strict=True)]
+    frag, part = table.column("frag").to_pylist(), table.column("part").to_pylist()
+    blobs.append(np.array([c.sum(), (c > 0).sum()], np.int64).tobytes())
+    return pa.table({"kind": pa.array([3] * len(blobs), pa.int32()), "frag": pa.array([*frag, None], pa.int32()), "part": pa.array([*part, None], pa.int64()), "blob": pa.array(blobs, pa.binary())})
+
+
+def _strings(table: pa.Table, low: Low) -> pa.Table:
+    """Of one fragment: for each batch of documents the log10 probability of its strings, in their order."""
+    got = [_expand(b.as_buffer().to_pybytes(), 6, 4)[0] for b in table.column("blob")]
+    k, back = np.unique(np.concatenate([g[0] for g in got]), return_inverse=True)
+    n = np.bincount(back, np.concatenate([g[1] for g in got]), len(k))
+    logs = Deep(low, k[n > 0], n[n > 0]).logs(k).astype("<f4")[back]
+    ends = np.cumsum([0, *(len(g[0]) for g in got)])
+    blobs = [logs[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)]
+    return pa.table({"kind": pa.array([4] * len(got), pa.int32()), "frag": table.column("frag").combine_chunks(), "part": table.column("part").combine_chunks(), "blob": pa.array(blobs, pa.binary())})
+
+
+def _gather(table: pa.Table, n_frag: int, rare: np.ndarray) -> pa.Table:
+    """Of one batch of documents: its table with what all fragments know of it, as rows; logs still without the total. rare: log10 share of each byte in its symbol."""
+    docs = table.filter(pc.equal(table.column("kind"), 1)).column("blob")[0].as_buffer().to_pybytes()
+    (ids, none, held, n_words, lens), rest = _expand(docs, 8, 1, 1, 5, 5)
+    data = _expand(rest, 1)[0][0].astype(np.uint8)
+    c = Chunk(None, data, np.concatenate([[0], np.cumsum(lens)]))
+    c.words()
+    counts = [_expand(b, 6)[0][0] for b in table.filter(pc.equal(table.column("kind"), 3)).sort_by("frag").column("blob").to_pylist()]
+    each = np.concatenate([np.zeros(0, np.int64), *counts])[np.unique(c.word_hashes(True), return_inverse=True)[1]]
+    known, logs = (np.bincount(c.wdoc, x, len(ids)) for x in (each > 0, np.log10(each + 0.5)))
+    keys, first = keys_of(data, c.offs)
+    k, back = np.unique(keys, return_inverse=True)
+    mine = table.filter(pc.equal(table.column("kind"), 4)).sort_by("frag")
+    value = np.zeros(len(k))
+    value[np.argsort(_home(k, n_frag), kind="stable")] = np.frombuffer(b"".join(mine.column("blob").to_pylist()), "<f4")
+    value += rare[k & 0xFF]
+    score = np.add.reduceat(value[back], first[:-1])
+    return pa.table({"doc_id": pa.array(ids, pa.int64(), mask=none > 0), "held_out": held > 0, "n_words": n_words, "n_known": known.astype(np.int64), "logs": logs, "score": score})
+
+
+def keys_of(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The 6-symbol string that ends at each byte and at each text's end, as a number; where each text's begin."""
-    lens, pad = np.diff(c.offs), DEPTH
-    s = np.full(len(c.data) + (pad + 1) * c.n, END, np.int64)
-    doc = np.repeat(np.arange(c.n), lens)
-    s[np.arange(len(c.data)) + (pad + 1) * doc + pad] = symbol[c.data]
-    first = c.offs[:-1] + (pad + 1) * np.arange(c.n) + pad
+    lens, pad, n = np.diff(offs), DEPTH, len(offs) - 1
+    s = np.full(len(data) + (pad + 1) * n, STOP, np.int64)
+    doc = np.repeat(np.arange(n), lens)
+    s[np.arange(len(data)) + (pad + 1) * doc + pad] = data
+    first = offs[:-1] + (pad + 1) * np.arange(n) + pad
     score = np.ones(len(s), bool)
     for j in range(1, pad + 1):  # the ends before a text are context only
         score[first - j] = False
     at = np.flatnonzero(score)
     k = s[at]
     for j in range(1, pad + 1):
-        k |= s[at - j] << (6 * j)
+        k |= s[at - j] << (8 * j)
     return k, np.concatenate([[0], np.cumsum(lens + 1)])
 
 
@@ -214,14 +218,15 @@ class Slots:
 
 
 class Level:
-    """Contexts of one depth below the dense ones: those that hold at least the share LEAST of all symbols with some symbol."""
+    """Contexts of one depth below the dense ones, of symbols of so many bits."""
 
-    def __init__(self, cells: np.ndarray, n: np.ndarray, total, suffix):
-        """cells: context and symbol; n: counts. total(contexts): occurrences. suffix(context per cell, symbols, group): what is left in the context's suffix (see below)."""
-        ctx, group = np.unique(cells >> 6, return_inverse=True)
+    def __init__(self, cells: np.ndarray, n: np.ndarray, total, suffix, bits: int = 6):
+        """cells: context and symbol; n: counts. total(contexts): occurrences, if cells don't have them all. suffix(context per cell, symbols, group): what is left in the context's suffix (see below)."""
+        self.bits = bits
+        ctx, group = np.unique(cells >> bits, return_inverse=True)
         self.nodes, self.cells = Slots(ctx), Slots(cells)
         seen, kept = np.bincount(group, minlength=len(ctx)), np.bincount(group, n, len(ctx))
-        t = np.maximum(total(ctx), kept)
+        t = np.maximum(total(ctx), kept) if total else kept
         self.t, self.kept, self.seen, self.n = t, kept, seen, n
         den = t + seen
         log = lambda x: np.log10(np.maximum(x, 1e-30)).astype(np.float32)
@@ -232,7 +237,7 @@ class Level:
 
     def after(self, keys, lower, lower_seen, lower_den, lower_escape):
         """log10 probabilities one level deeper, and what the next one needs."""
-        node, cell = self.nodes.find(keys >> 6), self.cells.find(keys)
+        node, cell = self.nodes.find(keys >> self.bits), self.cells.find(keys)
         i = np.maximum(node, 0)
         if not len(self.den):
             return lower, lower_seen, lower_den, lower_escape
@@ -242,7 +247,7 @@ class Level:
 
 
 class Model:
-    """A trained trie: dense to depth 3, by tables below."""
+    """A trained trie of 64 symbols held whole: dense to depth 3, by tables below. Scoring doesn't use it; a test holds Level and trie by it."""
 
     def __init__(self, symbol, rare, counts, cells5, n5, cells6, n6, texts):
         self.symbol, self.rare = symbol, rare
@@ -289,16 +294,16 @@ class Model:
         return self.level5.after(keys, *out)[0]
 
 
-def trie(counts: np.ndarray) -> np.ndarray:
-    """log10 probabilities, (context of 3) x symbol, from the counts of 4-symbol strings."""
-    s, levels = SYMBOLS, [counts.reshape(-1, SYMBOLS)]
-    for _ in range(3):
+def trie(counts: np.ndarray, s: int = SYMBOLS, depth: int = 3) -> np.ndarray:
+    """log10 probabilities, (context of ``depth``) x symbol, from the counts of strings of one symbol more."""
+    levels = [counts.reshape(-1, s)]
+    for _ in range(depth):
         c = levels[-1]
         levels.append(c.reshape(s, -1, s).sum(0))
     # From the empty context up: the probability of each symbol, those that the longer context has seen excluded.
     lower = None
     for c in reversed(levels):
-        out = np.empty(c.shape, np.float64 if len(c) < s**3 else np.float32)
+        out = np.empty(c.shape, np.float64 if len(c) < s**depth else np.float32)
         for lo in range(0, len(c), s * s):
             rows = c[lo : lo + s * s].astype(np.float64)
             seen = rows > 0
@@ -329,39 +334,77 @@ def trie(counts: np.ndarray) -> np.ndarray:
     return out.ravel()
 
 
-def train_ppm(docs: DataFrame, byte_counts: np.ndarray, texts: int, n_frag: int) -> Model:
-    """The model of the training texts, from how often each byte is in them and their number."""
-    order = np.argsort(-byte_counts, kind="stable")
-    symbol = np.full(256, RARE, np.uint8)
-    symbol[order[:RARE]] = np.arange(RARE)
-    rare = np.zeros(256)
-    rest = byte_counts[order[RARE:]] + 0.5
-    rare[order[RARE:]] = np.log10(rest / rest.sum())
-    symbol, rare = symbol[_FOLD], rare[_FOLD]
-    least = max(1, math.ceil((int(byte_counts.sum()) + texts) * LEAST))
+class Low:
+    """The trie to depth 2, over the bytes that training has, the end, and one symbol for all other bytes."""
+
+    def __init__(self, keys: np.ndarray, n: np.ndarray):
+        """keys: 3-symbol strings; n: their counts."""
+        seen = np.unique(np.append(keys & 0xFF, STOP))
+        self.size = s = len(seen) + 1
+        self.symbol = np.full(256, s - 1, np.int64)
+        self.symbol[seen] = np.arange(s - 1)
+        self.rare = np.zeros(256)
+        others = np.setdiff1d(np.unique(np.append(_FOLD, STOP)), seen)
+        self.rare[others] = -math.log10(max(1, len(others)))
+        at = self.cell(keys)
+        order = np.argsort(at)
+        self.at, self.n = at[order], n[order].astype(np.float64)
+        counts = np.zeros(s**3)
+        counts[at] = n
+        dense = counts.reshape(-1, s)
+        self.total, self.kinds = dense.sum(1), (dense > 0).sum(1)
+        more = self.kinds * (self.kinds < s)
+        self.den = np.log10(np.maximum(self.total + more, 1e-30)).astype(np.float32)
+        self.escape = np.log10(np.maximum(np.where(self.total > 0, more / np.maximum(1, self.total + more), 1.0), 1e-30)).astype(np.float32)
+        self.table = trie(counts, s, 2)
+
+    def cell(self, keys: np.ndarray) -> np.ndarray:
+        """The cell of each string's last three symbols."""
+        a, b, c = (self.symbol[(keys >> j) & 0xFF] for j in (16, 8, 0))
+        return (a * self.size + b) * self.size + c
+
+    def counts(self, cells: np.ndarray) -> np.ndarray:
+        if not len(self.at):
+            return np.zeros(len(cells))
+        i = np.minimum(np.searchsorted(self.at, cells), len(self.at) - 1)
+        return np.where(self.at[i] == cells, self.n[i], 0.0)
+
+
+class Deep:
+    """The trie of one fragment: Low, and below it all contexts of depth 3 to 5 whose last three symbols the fragment has."""
+
+    def __init__(self, low: Low, keys: np.ndarray, n: np.ndarray):
+        """keys: 6-symbol strings of the training texts; n: their counts."""
+        self.low = low
+
+        def above(ctx, cells, group, seen):
+            at = low.cell(cells)
+            i = np.zeros(len(ctx), np.int64)
+            i[group] = at // low.size
+            left = low.total[i] - np.bincount(group, low.counts(at), len(ctx))
+            more = (low.kinds[i] - seen) * (low.kinds[i] < low.size)
+            return left + more, np.where(left > 0.5, more / np.maximum(1, left + more), 1.0)
+
+        self.levels = []
+        for depth in (3, 4, 5):
+            level = Level(*_added(keys & ((1 << (8 * depth + 8)) - 1), n), None, above, 8)
+
+            def above(ctx, cells, group, seen, up=level, depth=depth):
+                node, cell = up.nodes.find(ctx & ((1 << (8 * depth)) - 1)), up.cells.find(cells & ((1 << (8 * depth + 8)) - 1))
+                left = up.t[node] - np.bincount(group, up.n[cell] if len(cell) else None, len(ctx))
+                more = up.seen[node] - seen
+                return left + more, np.where(left > 0.5, more / np.maximum(1, left + more), 1.0)
+
+            self.levels.append(level)
 
-    def add(table):
-        got = [unpack(b.as_buffer(), 5, 5) for b in table.column("blob")]
-        k, n = (np.concatenate([g[i] for g in got]).view(np.int64) for i in (0, 1))
-        blobs = []
-        for keep, floor in ((36, least), (30, least), (24, 1)):
-            k &= (1 << keep) - 1
-            order = np.argsort(k, kind="stable")
-            k, n = k[order], n[order]
-            head = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
-            k, n = k[head], np.add.reduceat(n, head)
-            blobs.append(pack((k[n >= floor], 5), (n[n >= floor], 5)))
-        return pa.table({"depth": pa.array([5, 4, 3], pa.int32()), "blob": pa.array(blobs, pa.binary())})
-
-    counts, cells = np.zeros(SYMBOLS**4, np.float32), {4: [], 5: []}
-    for depth, blob in _strings(docs, symbol, n_frag).groupBy("frag").applyInArrow(add, "depth int, blob binary").toLocalIterator():
-        k, n = (x.view(np.int64) for x in unpack(bytes(blob), 5, 5))
-        if depth == 3:
-            counts[k] = n
-        else:
-            cells[depth].append((k, n))
-    flat = [np.concatenate([np.zeros(0, np.int64), *(c[i] for c in cells[d])]) for d in (4, 5) for i in (0, 1)]
-    return Model(symbol, rare, counts, *flat, texts)
+    def logs(self, keys: np.ndarray) -> np.ndarray:
+        """log10 probability of the last symbol of each 6-symbol string after the others."""
+        at = self.low.cell(keys)
+        ctx = at // self.low.size
+        out = self.low.table[at], self.low.counts(at) > 0, self.low.den[ctx], self.low.escape[ctx]
+        for depth, level in zip((3, 4, 5), self.levels, strict=True):
+            out = level.after(keys & ((1 << (8 * depth + 8)) - 1), *out)
+        return out[0]
 
 
 def score_texts(docs: DataFrame) -> DataFrame:
@@ -370,51 +413,35 @@ def score_texts(docs: DataFrame) -> DataFrame:
     Trained on rows whose crc32(doc_id as text) mod 5 is not 1; a null doc_id is
     the empty text there. base_score: unigram log10 probability of words (A-Z
     folded) and one end. score: log10 probability of the folded text's bytes and
-    its end by the trained trie. Null texts count as empty: one token, the end.
+    its end by the trained trie, of which nothing is left out. Null texts count as empty: one token, the end.
     Very long texts are scored whole; repeated rows alike, each counting in
     training. An empty table gives an empty one; other columns are ignored.
     """
     spark = docs.sparkSession
     held = (F.crc32(F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit(""))) % 5) == 1
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), (~held).alias("train"))
-    cut = settle(_postings(docs, 4 * partitions(spark)))
-    byte_counts = sum((np.frombuffer(r.blob, np.int64) for r in cut.where("kind = 2").select("blob").toLocalIterator()), np.zeros(256, np.int64))
-    sums = settle(cut.where("kind = 0").select("frag", "part", "blob").groupBy("frag").applyInArrow(_count, "part long, sums binary"))
+    n_frag = 4 * partitions(spark)
+    cut = written(_postings(docs, n_frag))
+
+    def add(table):
+        got = [_expand(b.as_buffer().to_pybytes(), 3, 6)[0] for b in table.column("blob")]
+        return pa.table({"blob": pa.array([_squeeze(*zip(_added(*(np.concatenate([g[i] for g in got]) for i in (0, 1))), (3, 6), strict=True))], pa.binary())})
+
+    short = [_expand(bytes(r.blob), 3, 6)[0] for r in cut.where("kind = 3").select("frag", "blob").groupBy("frag").applyInArrow(add, "blob binary").toLocalIterator()]
+    low = Low(*(np.concatenate([np.zeros(0, np.int64), *(x[i] for x in short)]) for i in (0, 1)))
+    shared, rare = spark.sparkContext.broadcast(low), low.rare
+    sums = settle(cut.where("kind = 0").select("frag", "part", "blob").groupBy("frag").applyInArrow(_count, "kind int, frag int, part long, blob binary"))
 
     def total(batches):
         for b in batches:
             n = sum((np.frombuffer(x.as_buffer(), np.int64) for x in b.column(0)), np.zeros(2, np.int64))
             yield pa.RecordBatch.from_arrays([pa.array([int(v)]) for v in n], ["n", "v"])
 
-    words, distinct = sums.where("part is null").select("sums").mapInArrow(total, "n long, v long").agg(F.sum("n"), F.sum("v")).first()
+    words, distinct = sums.where("part is null").select("blob").mapInArrow(total, "n long, v long").agg(F.sum("n"), F.sum("v")).first()
     trained = docs.where("train").count()
     n, v = (words or 0) + trained, (distinct or 0) + (trained > 0)
-    both = cut.where("kind = 1").select("kind", "part", "blob").union(sums.where("part is not null").select(F.lit(3).alias("kind"), "part", F.col("sums").alias("blob")))
-    base = both.groupBy("part").applyInArrow(_gather, "doc_id long, held_out boolean, n_words long, n_known long, logs double")
-    base = base.withColumn("n_tokens", F.col("n_words") + 1).withColumn("n_known", F.col("n_known") + int(trained > 0))
-    base = base.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), (F.col("logs") + math.log10(trained + 0.5) - F.col("n_tokens") * math.log10(n + 0.5 * (v + 1))).alias("base_score"))
-    # The base and the score of a row come from two walks over the texts; rows meet again by doc_id, in the order of what they hold.
-    model = spark.sparkContext.broadcast(train_ppm(docs, byte_counts, trained, 4 * partitions(spark)))
-    schema = "id_ long, n_ long, score double"
-    out = arrow_schema(schema)
-
-    def run(batches):
-        m = model.value
-        for c in each_chunk(batches):
-            keys, first = keys_of(c, m.symbol)
-            c.words()
-            got = np.add.reduceat(m.logs(keys).astype(np.float64), first[:-1])
-            extra = np.concatenate([[0.0], np.cumsum(m.rare[c.data])])
-            yield record({"id_": id_column(c), "n_": c.n_words + 1, "score": got + extra[c.offs[1:]] - extra[c.offs[:-1]]}, out)
-
-    scores = docs.select("doc_id", "text").mapInArrow(run, schema)
-    return _paired(base, scores)
-
-
-def _paired(base: DataFrame, scores: DataFrame) -> DataFrame:
-    """Rows of both sides by doc_id; where a doc_id has several, by number of tokens and then score."""
-    from pyspark.sql.window import Window
-
-    a = base.withColumn("i_", F.row_number().over(Window.partitionBy("doc_id", "n_tokens").orderBy("base_score")))
-    b = scores.withColumn("i_", F.row_number().over(Window.partitionBy("id_", "n_").orderBy("score")))
-    return a.join(b, F.col("doc_id").eqNullSafe(F.col("id_")) & (a["n_tokens"] == b["n_"]) & (a["i_"] == b["i_"])).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+    logs = cut.where("kind = 2").select("frag", "part", "blob").groupBy("frag").applyInArrow(lambda t: _strings(t, shared.value), "kind int, frag int, part long, blob binary")
+    both = cut.where("kind = 1").select("kind", "frag", "part", "blob").union(sums.where("part is not null")).union(logs)
+    got = both.groupBy("part").applyInArrow(lambda t: _gather(t, n_frag, rare), "doc_id long, held_out boolean, n_words long, n_known long, logs double, score double")
+    got = got.withColumn("n_tokens", F.col("n_words") + 1).withColumn("n_known", F.col("n_known") + int(trained > 0))
+    return got.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), (F.col("logs") + math.log10(trained + 0.5) - F.col("n_tokens") * math.log10(n + 0.5 * (v + 1))).alias("base_score"), "score")
