@@ -48,6 +48,16 @@ def sample(n):
     return [(i, " ".join(r.choice(other if i % 9 == 0 else latin) for _ in range(r.randrange(0, 60))) + ("\x01\x02" if zlib.crc32(str(i).encode()) % 5 == 1 else "")) for i in range(n)]
 
 
+def test_op8_all_bytes_are_symbols(spark):
+    from blockweave.llm.ppm import score_texts
+
+    texts = sample(120)
+    want = ppm_scores(texts)
+    got = {r.doc_id: r.score for r in score_texts(spark.createDataFrame(texts, "doc_id long, text string").repartition(5)).collect()}
+    assert got.keys() == want.keys()
+    assert all(math.isclose(got[d], want[d], rel_tol=1e-4, abs_tol=1e-4) for d in want)
+
+
 def test_op8_rare_contexts_count_in_a_large_corpus(spark):
     """Beside 17 MB of other text, what training has once still predicts."""
     from blockweave.llm.ppm import score_texts
