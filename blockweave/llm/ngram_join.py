@@ -21,6 +21,8 @@ each link exactly.
    for those that sizes or bitmaps rule out.
 4. ``overlaps``: each fragment counts the partial overlap of a candidate pair;
    sums by pair decide.
+5. For numbers of links, ``inside`` then makes every pair of a component that
+   sizes and bitmaps don't rule out, and ``overlaps`` decides these too.
 
 Only tables of fixed size reach the driver or are broadcast: a bitmap of
 ``2**bits`` bits (a filter without false negatives; full, it lets every text
@@ -50,6 +52,8 @@ FRAGMENTS = 4
 BITMAP = 16
 #: So many of each set's least hashes are lists in which it meets a hub.
 HUBS = 4
+#: Into so many parts the members of each component are dealt when all its pairs are compared.
+SALTS = 32
 
 
 def _fingerprints(h: np.ndarray, off: np.ndarray) -> np.ndarray:
@@ -219,6 +223,22 @@ def overlaps(pairs: DataFrame, pieces: DataFrame, percent: int) -> DataFrame:
     return total.where(F.col("overlap") * 100 >= (F.col("na") + F.col("nb") - F.col("overlap")) * percent).select(F.col("a").alias("u"), F.col("b").alias("v"), "overlap")
 
 
+def _fits(percent: int) -> F.Column:
+    """Whether sizes and bitmaps of x and y allow a link."""
+    sizes = (F.col("x.n") * 100 >= F.col("y.n") * percent) & (F.col("y.n") * 100 >= F.col("x.n") * percent)
+    far = reduce(lambda a, b: a + b, (F.bit_count(F.col(f"x.s{i}").bitwiseXOR(F.col(f"y.s{i}"))) for i in range(BITMAP)))
+    return sizes & (far * (100 + percent) <= (F.col("x.n") + F.col("y.n")) * (100 - percent))
+
+
+def inside(classes: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
+    """All pairs (a, b, na, nb) inside a component that sizes and bitmaps allow to link, each once; a large component is dealt to several tasks by salt."""
+    f = classes.drop("hs", "score").join(roots.withColumnRenamed("node", "fp"), "fp")
+    x = f.withColumn("salt", F.pmod(F.xxhash64("fp"), F.lit(SALTS)).cast("int")).alias("x")
+    y = f.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).alias("y")
+    both = x.join(y, (F.col("x.root") == F.col("y.root")) & (F.col("x.salt") == F.col("y.salt")) & (F.col("x.fp") < F.col("y.fp")) & _fits(percent))
+    return both.select(F.col("x.fp").alias("a"), F.col("y.fp").alias("b"), F.col("x.n").alias("na"), F.col("y.n").alias("nb"))
+
+
 def across(front: DataFrame, classes: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
     """All pairs of different components that share one of their first n-grams and whose sizes allow a link.
 
@@ -232,25 +252,23 @@ def across(front: DataFrame, classes: DataFrame, roots: DataFrame, percent: int)
     words = [f"s{i}" for i in range(BITMAP)]
     f = settle(f.join(mixed, "h").join(classes.select("fp", *words), "fp"))
     x, y = f.where("root <> main").alias("x"), f.alias("y")
-    fits = (F.col("x.n") * 100 >= F.col("y.n") * percent) & (F.col("y.n") * 100 >= F.col("x.n") * percent)
-    far = reduce(lambda a, b: a + b, (F.bit_count(F.col(f"x.{w}").bitwiseXOR(F.col(f"y.{w}"))) for w in words))
-    fits = fits & (far * (100 + percent) <= (F.col("x.n") + F.col("y.n")) * (100 - percent))
-    both = x.join(y, (F.col("x.h") == F.col("y.h")) & (F.col("x.root") != F.col("y.root")) & fits)
+    both = x.join(y, (F.col("x.h") == F.col("y.h")) & (F.col("x.root") != F.col("y.root")) & _fits(percent))
     swap = F.col("x.fp") > F.col("y.fp")
     return both.select(*(F.when(swap, F.col(f"y.{q}")).otherwise(F.col(f"x.{q}")).alias(name) if first else F.when(swap, F.col(f"x.{q}")).otherwise(F.col(f"y.{q}")).alias(name) for q, name, first in (("fp", "a", 1), ("fp", "b", 0), ("n", "na", 1), ("n", "nb", 0)))).dropDuplicates(["a", "b"])
 
 
-def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, fold: bool = True) -> DataFrame:
-    """One row for each row of docs (doc_id, text): doc_id, n_shingles, class_id, n_links, component_id.
+def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, fold: bool = True, links: bool = True) -> DataFrame:
+    """One row for each row of docs (doc_id, text): doc_id, n_shingles, class_id, n_links (only if ``links``), component_id.
 
     n_shingles: size of the set of k-word shingles, words folded A-Z to a-z if
     ``fold``; texts of fewer words have one shingle, the whole sequence. Null
     and empty texts have none, and are linked with nothing: class_id and
     component_id are then their own doc_id. Two texts link when
     100 * overlap >= percent * union. class_id: the least doc_id of the same
-    set. component_id: the least doc_id reachable by links. n_links: a lower
-    bound, the number of different sets it was compared with and linked to
-    (pairs inside a component need no comparison). Rows with a null doc_id take
+    set. component_id: the least doc_id reachable by links. n_links:
+    the number of different sets that this one links with, all pairs inside
+    components compared, which grows with the square of a group of near copies;
+    components alone don't need that. Rows with a null doc_id take
     part with their text; where a whole component has no doc_id, component_id
     is null. Repeated rows are kept. Other columns are ignored, and come back by
     a join on doc_id. An empty table gives an empty one.
@@ -272,14 +290,16 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, fold: boo
     front = cut.where("kind = 1").select("h", "fp", "n")
     # A class comes twice if its first row is repeated.
     kinds = settle(cut.where("kind = 2").drop("kind", "frag", "h").dropDuplicates(["fp"]))
-    links = settle(overlaps(hubs(kinds, percent), pieces, percent))
-    roots = settle(components(links))
+    roots = settle(components(settle(overlaps(hubs(kinds, percent), pieces, percent))))
     more = settle(overlaps(across(front.distinct(), kinds, roots, percent), pieces, percent))
-    links = links.union(more)
     roots = components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).union(more.select("u", "v")))
-    degree = links.select(F.col("u").alias("fp")).union(links.select("v")).groupBy("fp").agg(F.count("*").alias("n_links"))
-    by_class = classes.select("fp", "rep").join(roots.withColumnRenamed("node", "fp"), "fp", "left").join(degree, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    by_class = classes.select("fp", "rep").join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = by_class.groupBy("root").agg(F.min("rep").alias("component_id"))
-    by_class = by_class.join(least, "root").select("fp", F.col("rep").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), "component_id")
+    by_class = by_class.join(least, "root").select("fp", F.col("rep").alias("class_id"), "component_id")
+    if links:
+        found = overlaps(inside(kinds, settle(roots), percent), pieces, percent)
+        degree = found.select(F.explode(F.array("u", "v")).alias("fp")).groupBy("fp").agg(F.count("*").alias("n_links"))
+        by_class = by_class.join(degree, "fp", "left")
     none = F.col("fp").isNull()
-    return sig.join(by_class, "fp", "left").select("doc_id", "n_shingles", F.when(none, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.when(none, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    number = [F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")] if links else []
+    return sig.join(by_class, "fp", "left").select("doc_id", "n_shingles", F.when(none, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), *number, F.when(none, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))

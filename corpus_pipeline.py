@@ -23,7 +23,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of linked documents the one of the least doc_id stays; of repeated rows of it, one. Rows without a doc_id can't be named and stay."""
-    got = settle(jaccard_components(docs).where("doc_id is not null").select("doc_id", "component_id"))
+    got = settle(jaccard_components(docs, links=False).where("doc_id is not null").select("doc_id", "component_id"))
     out = docs.join(got.where("doc_id <> component_id").select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
     if got.groupBy("doc_id").count().where("count > 1").head(1):
         out = out.where("doc_id is not null").dropDuplicates(["doc_id"]).union(out.where("doc_id is null"))

@@ -70,3 +70,24 @@ def test_op8_rare_contexts_count_in_a_large_corpus(spark):
     many = spark.range(times).selectExpr(f"{free[0]}L as doc_id").crossJoin(spark.createDataFrame([(filler,)], "text string"))
     got = score_texts(many.union(spark.createDataFrame(texts[1:], "doc_id long, text string"))).where(f"doc_id = {held}").first().score
     assert math.isclose(got, ppm_scores(texts, {free[0]: times})[held], rel_tol=1e-4)
+
+
+def test_op2_number_of_links_is_exact(spark):
+    """Near copies that all link with each other, and others that mostly link with the base alone."""
+    from blockweave.llm.ngram_join import jaccard_components
+
+    from .test_llm import shingles
+
+    r = random.Random(9)
+    texts = []
+    for group, most in ((0, 2), (1, 8)):
+        base = [f"w{group}n{r.randrange(10**6)}" for _ in range(200)]
+        for i in range(40):
+            w = list(base)
+            for j in r.sample(range(200), r.randrange(0, most + 1) if i else 0):
+                w[j] = f"x{i}y{j}"
+            texts.append((100 * group + i, " ".join(w)))
+    sets = {d: frozenset(shingles(t)) for d, t in texts}
+    want = {d: len({b for b in sets.values() if b != a and 100 * len(a & b) >= 80 * len(a | b)}) for d, a in sets.items()}
+    got = {x.doc_id: x.n_links for x in jaccard_components(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    assert got == want and max(want.values()) > 20
