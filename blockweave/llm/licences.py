@@ -2,7 +2,9 @@
 
 A text is cut into sentences at line ends and after closing punctuation. Each is
 normalised to lower-case letters and digits between single spaces, and looked up
-among known licence sentences. The identifiers found, in order, are a sequence;
+among known licence sentences; so is what consecutive lines make together, as
+licence texts are wrapped. Comment markers go with the normalisation; a line
+without letters and digits, or closing punctuation, ends a sentence. The identifiers found, in order, are a sequence;
 ordered rules, each a sequence of identifiers that names a licence, are matched
 against it, and what a rule matches is taken out before the next rule is tried.
 """
@@ -65,17 +67,30 @@ RULES = (
     (("all_rights",), "LicenseRef-all-rights-reserved"),
 )
 
-_break = re.compile(BREAK)
+_break = re.compile(f"({BREAK})")
+#: What known sentences can begin with, whole words.
+_begins = {" ".join(w[:i]) for w in map(str.split, SENTENCES) for i in range(1, len(w))}
 _drop = re.compile("[^a-z0-9]+")
 _lower = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
 def identify(text: str) -> list[str]:
     """Identifiers of the known sentences of a text, in order."""
-    out = []
-    for s in _break.split(text):
-        if len(s) > 12 and (got := SENTENCES.get(_drop.sub(" ", s.translate(_lower)).strip())):
+    cut = _break.split(text)  # sentences and, between them, what ends each
+    parts, ends, out, i = cut[::2], [*cut[1::2], ""], [], 0
+
+    def plain(j):
+        return _drop.sub(" ", parts[j].translate(_lower)).strip()
+
+    while i < len(parts):
+        s = plain(i) if len(parts[i]) > 1 else ""
+        got, j = SENTENCES.get(s) if len(parts[i]) > 12 else None, i
+        while not got and s in _begins and ends[j] == "\n" and not parts[j].rstrip().endswith((".", "!", "?", ";", ":")) and (more := plain(j + 1)):
+            s, j = f"{s} {more}", j + 1
+            got = SENTENCES.get(s)
+        if got:
             out.append(got)
+        i = j + 1 if got else i + 1
     return out
 
 
@@ -109,7 +124,7 @@ def scan_licences(docs: DataFrame) -> DataFrame:
 
 
 def sql() -> str:
-    """The same in DuckDB, from the same tables of sentences and rules."""
+    """The same in DuckDB, from the same tables of sentences and rules, but for sentences that are wrapped over lines."""
     pairs = ", ".join(f"'{k}': '{v}'" for k, v in SENTENCES.items())
     left, place = "left0", []
     steps = ["SELECT doc_id, ids, ',' || array_to_string(list_transform(ids, lambda i: i || ',,'), '') AS left0 FROM found"]

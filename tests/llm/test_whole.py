@@ -91,3 +91,45 @@ def test_op2_number_of_links_is_exact(spark):
     want = {d: len({b for b in sets.values() if b != a and 100 * len(a & b) >= 80 * len(a | b)}) for d, a in sets.items()}
     got = {x.doc_id: x.n_links for x in jaccard_components(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
     assert got == want and max(want.values()) > 20
+
+
+MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+"""
+BSD = """# Redistribution and use in source and binary forms, with or without
+# modification, are permitted provided that the following conditions are met:
+#
+# 1. Redistributions of source code must retain the above copyright notice, this
+#    list of conditions and the following disclaimer.
+#
+# 2. Redistributions in binary form must reproduce the above copyright notice,
+#    this list of conditions and the following disclaimer in the documentation
+#    and/or other materials provided with the distribution.
+#
+# 3. Neither the name of the copyright holder nor the names of its
+#    contributors may be used to endorse or promote products derived from
+#    this software without specific prior written permission.
+"""
+GPL = """ * This program is free software: you can redistribute it and/or modify
+ * it under the terms of the GNU General Public License as published by
+ * the Free Software Foundation, either version 3 of the License, or
+ * (at your option) any later version.
+"""
+
+
+def test_op4_wrapped_texts():
+    from blockweave.llm.licences import identify, match
+
+    want = [(MIT, ["MIT"]), (BSD, ["BSD-3-Clause"]), (GPL, ["GPL-3.0-or-later"])]
+    for text, names in want:
+        for t in (text, text.replace("\n", "\r\n"), "Some words. " + text + "more words\n"):
+            assert match(identify(t)) == names
+    assert identify("this program is free software\n\nall rights\n\nreserved") == ["gnu_free"]
+    assert identify("licensed under\nthe\nlicensed under the mit license") == ["mit_notice"]
