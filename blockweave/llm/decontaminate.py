@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textkit import U, Chunk, id_column, over_chunks, settle, signed, with_columns, with_text_kind
+from .textkit import U, Chunk, id_column, over_chunks, packed, settle, signed, with_columns, with_text_kind
 
 #: Shingles of the items that one pass over the texts holds; more items take more passes.
 BLOCK_SHINGLES = 1 << 21
@@ -24,7 +24,7 @@ BLOCK_SHINGLES = 1 << 21
 class Index:
     """Sketches and sets of a block of items."""
 
-    def __init__(self, ids: np.ndarray, sets: list[np.ndarray], words: np.ndarray, k: int, percent: int):
+    def __init__(self, ids: pa.Array, sets: list[np.ndarray], words: np.ndarray, k: int, percent: int):
         self.ids, self.sets, self.words, self.k, self.percent = ids, sets, words, k, percent
         hs, at = [], []
         for i, s in enumerate(sets):
@@ -91,7 +91,7 @@ def indexes(items: DataFrame, k: int = 5, percent: int = 80, block: int = BLOCK_
     n_blocks = -(-2 * total // block) if total > block else 1
     for b in range(n_blocks):
         got = table.where(F.pmod(F.xxhash64("item_id", "h"), F.lit(n_blocks)) == b).orderBy("item_id", "h").collect()
-        yield Index(np.array([-1 if r.item_id is None else r.item_id for r in got], np.int64), [np.frombuffer(r.h, U) for r in got], np.array([r.words for r in got], np.int64), k, percent)
+        yield Index(pa.array([r.item_id for r in got], pa.int64()), [np.frombuffer(r.h, U) for r in got], np.array([r.words for r in got], np.int64), k, percent)
 
 
 def find_items(docs: DataFrame, items: DataFrame, k: int = 5, percent: int = 80, block: int = BLOCK_SHINGLES) -> DataFrame:
@@ -100,7 +100,7 @@ def find_items(docs: DataFrame, items: DataFrame, k: int = 5, percent: int = 80,
     100 * n_shared >= percent * n_item, over distinct k-word shingles with A-Z
     folded; items of fewer than k words count as found where their whole word
     sequence occurs. Null and empty texts or items match nothing; an item_id of
-    null is reported as -1; repeated rows are matched each; empty tables give
+    null stays null; very long texts are read whole; repeated rows are matched each; empty tables give
     none; other columns are ignored.
     """
     docs = with_text_kind(docs).select("doc_id", "text")
@@ -111,7 +111,7 @@ def find_items(docs: DataFrame, items: DataFrame, k: int = 5, percent: int = 80,
         def rows(c, shared=shared):
             x = shared.value
             d, i, n = x.find(c)
-            yield {"doc_id": id_column(c).take(pa.array(d)), "item_id": x.ids[i], "n_item": np.array([len(x.sets[j]) for j in i], np.int64), "n_shared": n}
+            yield {"doc_id": id_column(c).take(pa.array(d)), "item_id": x.ids.take(pa.array(i)), "n_item": np.array([len(x.sets[j]) for j in i], np.int64), "n_shared": n}
 
         part = over_chunks(docs, rows, "doc_id long, item_id long, n_item long, n_shared long")
         out = part if out is None else out.union(part)
@@ -119,8 +119,15 @@ def find_items(docs: DataFrame, items: DataFrame, k: int = 5, percent: int = 80,
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """docs without the rows that contain an item; their own columns."""
+    """docs without the rows that contain an item, found as by ``find_items``.
+
+    Null and empty texts contain nothing and stay; very long texts are read
+    whole; repeated rows all stay or all go. All columns come back as they were,
+    whatever their names; an empty table stays empty, and without items nothing
+    goes.
+    """
+    rows, back = packed(docs)
     for index in indexes(items, k, percent):
         shared = docs.sparkSession.sparkContext.broadcast(index)
-        docs = with_columns(docs, lambda c, s=shared: {"n_leaks_": np.bincount(s.value.find(c)[0], minlength=c.n)}, "n_leaks_ long").where("n_leaks_ = 0").drop("n_leaks_")
-    return docs
+        rows = with_columns(rows, lambda c, s=shared: {"n_leaks_": np.bincount(s.value.find(c)[0], minlength=c.n)}, "n_leaks_ long").where("n_leaks_ = 0").drop("n_leaks_")
+    return rows.select(*back)

@@ -24,6 +24,8 @@ LIMIT = 2.0
 #: Sources up to which their table is broadcast; with more, it is joined by shuffle.
 BROADCAST_SOURCES = 10_000
 ROUNDS = 40
+#: Columns that the mix adds.
+NEW = ("size_", "source_size", "target", "rate_", "copies_")
 BINS = 4096
 
 
@@ -32,11 +34,11 @@ def _key():
 
 
 def sized(docs: DataFrame) -> DataFrame:
-    """docs with size_ (words), key_ (source, nulls one of their own) and u_, a draw from 0 to 1 that the row's content fixes."""
+    """Each row as struct own_, with size_ (words), key_ (source, nulls one of their own) and u_, a draw from 0 to 1 that the row's content fixes."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     size = F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
     u = (F.shiftrightunsigned(F.xxhash64(F.col("doc_id").cast("long"), F.crc32(text), F.lit("mix")), 11).cast("double") + 0.5) / float(1 << 53)
-    return docs.withColumns({"size_": size, "key_": _key(), "u_": u})
+    return docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("own_"), size.alias("size_"), _key().alias("key_"), u.alias("u_"))
 
 
 def targets(hist: DataFrame, weights=WEIGHTS, percent: int = PERCENT, limit: float = LIMIT) -> DataFrame:
@@ -99,9 +101,17 @@ def mix_sources(docs: DataFrame) -> DataFrame:
 
     Nulls: a null text has no words, a null source is a source of its own, last
     in order; null doc_ids are drawn by text. Rows without words add nothing and
-    are rounded like others. Repeated rows get the same number of copies. An
-    empty table stays empty. Reruns give the same.
+    are rounded like others. Very long texts are counted whole. Repeated rows
+    get the same number of copies. Columns of docs that clash with one of the
+    five new names give way; no other name clashes. An empty table stays empty.
+    Reruns give the same.
     """
+    out = _taken(docs)
+    return out.select(*(F.col(f"own_.`{c}`").alias(c) for c in docs.columns if c not in NEW), *NEW)
+
+
+def _taken(docs: DataFrame) -> DataFrame:
+    """Rows as own_, with the columns NEW."""
     rows = sized(docs)
     small = settle(rows.select("key_", "size_", "u_"))
     hist = settle(small.groupBy("key_", "size_").agg(F.count("*").alias("n")))
@@ -133,10 +143,14 @@ def mix_sources(docs: DataFrame) -> DataFrame:
     cut = F.when(F.col("bin1").isNull(), F.lit(1.0)).otherwise((F.col("bin1") + (F.coalesce("bin2", F.lit(0)) + F.when(over < under, 1).otherwise(0)) / BINS) / (BINS / 2) - 1)
     goals = settle(goals.withColumn("cut", cut).select("key_", "source_size", "mean_", "target", "l_", "cut"))
     out = rated(rows, goals)
-    return out.withColumn("copies_", F.col("floor_") + F.when(F.col("v_") < F.col("cut"), 1).otherwise(0)).drop("key_", "u_", "mean_", "l_", "cut", "floor_", "v_")
+    return out.withColumn("copies_", F.col("floor_") + F.when(F.col("v_") < F.col("cut"), 1).otherwise(0)).select("own_", *NEW)
 
 
 def mixed_rows(docs: DataFrame) -> DataFrame:
-    """The mix itself: each row of docs as often as it is taken, with its own columns."""
-    names = docs.columns
-    return mix_sources(docs).where("copies_ > 0").withColumn("copy_", F.explode(F.sequence(F.lit(1), F.col("copies_").cast("int")))).select(*names)
+    """The mix itself: each row of docs as often as it is taken, with its own columns, whatever their names.
+
+    Nulls, empty and very long texts, repeated rows and an empty table are taken
+    as by ``mix_sources``; rows without words can be taken or not.
+    """
+    out = _taken(docs).where("copies_ > 0").withColumn("copy_", F.explode(F.sequence(F.lit(1), F.col("copies_").cast("int"))))
+    return out.select(*(F.col(f"own_.`{c}`").alias(c) for c in docs.columns))

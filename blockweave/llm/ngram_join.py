@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .textkit import U, arrow_schema, bitmap, bound_batches, by_fragment, each_chunk, fragment_of, id_column, mix, over_chunks, pack, partitions, probe, record, settle, signed, unpack, written
+from .textkit import U, arrow_schema, bitmap, bitmap_table, bound_batches, by_fragment, each_chunk, fragment_of, id_column, maybe_in, mix, over_chunks, pack, partitions, probe, record, settle, signed, unpack, written
 
 BITS = 25
 MAX_COMMON = 1 << 18
@@ -72,14 +72,14 @@ def _extra(n: np.ndarray, percent: int) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, k: int, fold: bool = True) -> DataFrame:
-    """doc_id, n_shingles, fp (null for an empty set)."""
+    """doc_id, text_hash, n_shingles, fp (null for an empty set)."""
 
     def rows(c):
         h, off = c.shingle_sets(k, fold)
         n = np.diff(off)
-        yield {"doc_id": id_column(c), "n_shingles": n, "fp": pa.array(signed(_fingerprints(h, off)), pa.int64(), mask=n == 0)}
+        yield {"doc_id": id_column(c), "text_hash": c.rows.column(c.rows.schema.get_field_index("text_hash")), "n_shingles": n, "fp": pa.array(signed(_fingerprints(h, off)), pa.int64(), mask=n == 0)}
 
-    return over_chunks(docs.select("doc_id", "text"), rows, "doc_id long, n_shingles long, fp long")
+    return over_chunks(docs.select("doc_id", "text", F.xxhash64(F.col("text").cast("string")).alias("text_hash")), rows, "doc_id long, text_hash long, n_shingles long, fp long")
 
 
 def _cut(h, lens):
@@ -97,7 +97,7 @@ def _postings(docs: DataFrame, k: int, fold: bool, percent: int, n_frag: int) ->
 
         def flush():
             h, fp = (np.concatenate([p[i] for p in parts]) for i in (0, 1))
-            got = [(f, pack((a, 5), (b, 6))) for f, a, b in by_fragment(fragment_of(h, n_frag), n_frag, h, fp)]
+            got = [(f, pack((a, 5), (b, 8))) for f, a, b in by_fragment(fragment_of(h, n_frag), n_frag, h, fp)]
             for i in range(0, len(got), 64):
                 yield record({"frag": [f for f, _ in got[i : i + 64]], "blob": [b for _, b in got[i : i + 64]]}, out)
 
@@ -125,7 +125,7 @@ def _postings(docs: DataFrame, k: int, fold: bool, percent: int, n_frag: int) ->
 
 def _shared(table: pa.Table) -> pa.Table:
     """Of one fragment: for each class, how many of its n-grams other classes have (kind 0); common n-grams with their number of classes (kind 1)."""
-    got = [unpack(b.as_buffer(), 5, 6) for b in table.column("blob")]
+    got = [unpack(b.as_buffer(), 5, 8) for b in table.column("blob")]
     h, fp = (np.concatenate([g[i] for g in got]) for i in (0, 1))
     order = np.lexsort((fp, h))
     h, fp = h[order], fp[order]
@@ -140,16 +140,13 @@ def _shared(table: pa.Table) -> pa.Table:
     return pa.table({"kind": pa.array([0] * len(who) + [1] * len(hot), pa.int32()), "key": np.concatenate([signed(who), signed(h[edge[hot]] | (frag << U(40)))]), "n": pa.array(np.concatenate([n, df[hot]]), pa.int64())})
 
 
-LOW48 = (1 << 48) - 1
-
-
 def partners(docs: DataFrame, classes: DataFrame, k: int, fold: bool, percent: int) -> tuple[DataFrame, np.ndarray, int]:
     """The classes that may have a partner, the common n-grams (at most MAX_COMMON), and the number of fragments these are numbered by."""
     n_frag = 4 * partitions(docs.sparkSession)
     counts = settle(_postings(docs, k, fold, percent, n_frag).groupBy("frag").applyInArrow(_shared, "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n")))
     n = F.col("n_shingles")
     least = F.greatest(F.lit(1), F.floor(F.ceil(n * percent / 100) * (100 - percent) / 100))
-    keep = classes.withColumn("key", F.col("fp").bitwiseAND(LOW48)).join(counts.where("kind = 0").select("key", F.col("n").alias("shared")), "key").where(F.col("shared") >= least)
+    keep = classes.withColumn("key", F.col("fp")).join(counts.where("kind = 0").select("key", F.col("n").alias("shared")), "key").where(F.col("shared") >= least)
     common = counts.where("kind = 1").orderBy(F.desc("n"), "key").limit(MAX_COMMON).select("key").toPandas()["key"].to_numpy(np.int64)
     return keep.select("fp", "rep", "n_shingles"), np.sort(common.view(U)), n_frag
 
@@ -257,24 +254,9 @@ def across(front: DataFrame, classes: DataFrame, roots: DataFrame, percent: int)
     return both.select(*(F.when(swap, F.col(f"y.{q}")).otherwise(F.col(f"x.{q}")).alias(name) if first else F.when(swap, F.col(f"x.{q}")).otherwise(F.col(f"y.{q}")).alias(name) for q, name, first in (("fp", "a", 1), ("fp", "b", 0), ("n", "na", 1), ("n", "nb", 0)))).dropDuplicates(["a", "b"])
 
 
-def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, fold: bool = True, links: bool = True) -> DataFrame:
-    """One row for each row of docs (doc_id, text): doc_id, n_shingles, class_id, n_links (only if ``links``), component_id.
-
-    n_shingles: size of the set of k-word shingles, words folded A-Z to a-z if
-    ``fold``; texts of fewer words have one shingle, the whole sequence. Null
-    and empty texts have none, and are linked with nothing: class_id and
-    component_id are then their own doc_id. Two texts link when
-    100 * overlap >= percent * union. class_id: the least doc_id of the same
-    set. component_id: the least doc_id reachable by links. n_links:
-    the number of different sets that this one links with, all pairs inside
-    components compared, which grows with the square of a group of near copies;
-    components alone don't need that. Rows with a null doc_id take
-    part with their text; where a whole component has no doc_id, component_id
-    is null. Repeated rows are kept. Other columns are ignored, and come back by
-    a join on doc_id. An empty table gives an empty one.
-    """
+def _components(docs: DataFrame, k: int, percent: int, fold: bool, links: bool) -> tuple[DataFrame, DataFrame]:
+    """The signatures of docs (doc_id, text), and each class: (fp, class_id, n_links if ``links``, root, component_id)."""
     spark = docs.sparkSession
-    docs = docs.select("doc_id", "text")
     sig = settle(signatures(docs, k, fold))
     classes = sig.where("fp is not null").groupBy("fp").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"))
     keep, common, n_common = partners(docs, classes, k, fold, percent)
@@ -295,11 +277,60 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, fold: boo
     roots = components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).union(more.select("u", "v")))
     by_class = classes.select("fp", "rep").join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = by_class.groupBy("root").agg(F.min("rep").alias("component_id"))
-    by_class = by_class.join(least, "root").select("fp", F.col("rep").alias("class_id"), "component_id")
+    by_class = by_class.join(least, "root").select("fp", F.col("rep").alias("class_id"), "root", "component_id")
     if links:
         found = overlaps(inside(kinds, settle(roots), percent), pieces, percent)
         degree = found.select(F.explode(F.array("u", "v")).alias("fp")).groupBy("fp").agg(F.count("*").alias("n_links"))
-        by_class = by_class.join(degree, "fp", "left")
+        by_class = by_class.join(degree, "fp", "left").withColumn("n_links", F.coalesce("n_links", F.lit(0)).cast("long"))
+    return sig, by_class
+
+
+def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, fold: bool = True, links: bool = True) -> DataFrame:
+    """One row for each row of docs (doc_id, text): doc_id, n_shingles, class_id, n_links (only if ``links``), component_id.
+
+    n_shingles: size of the set of k-word shingles, words folded A-Z to a-z if
+    ``fold``; texts of fewer words have one shingle, the whole sequence. Null
+    and empty texts have none, and are linked with nothing: class_id and
+    component_id are then their own doc_id. Two texts link when
+    100 * overlap >= percent * union. class_id: the least doc_id of the same
+    set. component_id: the least doc_id reachable by links. n_links:
+    the number of different sets that this one links with, all pairs inside
+    components compared, which grows with the square of a group of near copies;
+    components alone don't need that. Rows with a null doc_id take
+    part with their text; where a whole component has no doc_id, component_id
+    is null. Repeated rows are kept. Very long texts are read whole. Other
+    columns are ignored, and come back by a join on doc_id. An empty table gives
+    an empty one.
+    """
+    sig, by_class = _components(docs.select("doc_id", "text"), k, percent, fold, links)
     none = F.col("fp").isNull()
-    number = [F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")] if links else []
+    number = [F.when(none, 0).otherwise(F.col("n_links")).cast("long").alias("n_links")] if links else []
     return sig.join(by_class, "fp", "left").select("doc_id", "n_shingles", F.when(none, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), *number, F.when(none, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+
+
+def drop_linked(docs: DataFrame, k: int = 5, percent: int = 80, fold: bool = True) -> DataFrame:
+    """docs without the rows that another row stands for: of the rows whose texts a component holds, one stays.
+
+    That is the row of the least doc_id, nulls last, of several with that doc_id
+    the one of the least hash of its text, and of rows that repeat both, any one.
+    Decisions go by row, not by doc_id: a text that is linked with nothing stays
+    whatever other texts its doc_id has. Null and empty texts, and texts without
+    a word, are linked with nothing and stay. Very long texts are read whole. All
+    columns of docs come back as they were, whatever their names; an empty table
+    stays empty. Texts of rows that can't be dropped are not shuffled.
+    """
+    sig, by_class = _components(docs.select("doc_id", "text"), k, percent, fold, False)
+    own = sig.where("fp is not null").select("fp", F.col("doc_id").isNull().alias("d0"), F.coalesce("doc_id", F.lit(0)).alias("d1"), "text_hash")
+    # Copies are counted in the tasks first, so that a group of them is one row for each task.
+    own = own.groupBy("fp", "d0", "d1", "text_hash").agg(F.count("*").alias("n")).join(by_class.select("fp", "root"), "fp")
+    best = own.groupBy("root").agg(F.min(F.struct("d0", "d1", "text_hash")).alias("best"))
+    keys = settle(own.join(best, "root").select("d0", "d1", "text_hash", "n", (F.struct("d0", "d1", "text_hash") == F.col("best")).alias("stays")).where("not stays or n > 1"))
+    key = F.xxhash64("d0", "d1", "text_hash")
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("own"), F.col("doc_id").isNull().alias("d0"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("d1"), F.xxhash64(F.col("text").cast("string")).alias("text_hash")).withColumn("k", key)
+    rows = maybe_in(rows, "k", bitmap_table(keys.withColumn("k", key), "k", BITS), BITS, "maybe")
+    names = ["d0", "d1", "text_hash"]
+    some = rows.where("maybe").join(keys, names, "left")
+    once = some.where("stays is null").select("own")
+    again = some.where("stays")
+    again = again.dropDuplicates(names).select("own")
+    return rows.where("not maybe").select("own").union(once).union(again).select("own.*")

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .textkit import partitions
+from .textkit import partitions, settle
 
 
 @dataclass(frozen=True)
@@ -75,26 +75,37 @@ def place(key: Column, tree: list[Leaf]) -> Column:
     return cases(pick(key, "", regions), by_region)
 
 
-def shard(docs: DataFrame, tree: list[Leaf] | None = None, more: list[Leaf] | None = None, buckets: int | None = None) -> DataFrame:
-    """doc_id, size, text_crc32, law, shard, slot, grown_shard, region, rack for each row of docs (doc_id, text).
+def shard(docs: DataFrame, tree: list[Leaf] | None = None, more: list[Leaf] | None = None, buckets: int | None = None, texts: bool = False) -> DataFrame:
+    """doc_id, size, text_crc32, law, shard, slot, grown_shard, region, rack for each row of docs (doc_id, text); with ``texts`` after docs' own columns.
 
     size: UTF-8 bytes and 1; a null text counts as empty. A null doc_id is a key
     of its own and gets the same shard each time, as repeated rows do; their
-    slots differ. Only the short rows are shuffled, never texts: slots are
-    numbered in buckets of a shard, then shifted by the buckets before, so no
-    shard is one task. An empty table gives an empty one; other columns are
-    ignored.
+    slots differ. Slots are numbered in buckets of a shard, then shifted by the
+    buckets before, so no shard is one task. Only short rows are shuffled, and
+    rows are dealt to buckets by content and by the task that read them, so that
+    one row repeated very often is not one bucket. With ``texts`` the rows
+    themselves go to their shards, and to buckets by content alone. An empty
+    table gives an empty one; very long texts are read whole. Other columns are
+    ignored, or with ``texts`` kept, but for those whose name is one of the new
+    columns' (and not doc_id), which give way.
     """
     tree = tree or default_tree()
     more = more or grown(tree)
     buckets = buckets or 4 * partitions(docs.sparkSession)
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     key = F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit("null"))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), key.alias("k"))
+    own = [F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("own")] if texts else []
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), key.alias("k"), *own)
     rows = rows.withColumn("at", place(F.col("k"), tree)).withColumn("grown_shard", place(F.col("k"), more)["shard"])
-    rows = rows.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), F.col("at.shard").alias("shard"), "grown_shard", F.col("at.region").alias("region"), F.col("at.rack").alias("rack"), F.pmod(F.xxhash64("k", "text_crc32", "size"), F.lit(buckets)).alias("bucket"))
+    rows = rows.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), F.col("at.shard").alias("shard"), "grown_shard", F.col("at.region").alias("region"), F.col("at.rack").alias("rack"), F.pmod(F.xxhash64("k", "text_crc32", "size", *[F.spark_partition_id()] * (not texts)), F.lit(buckets)).alias("bucket"), *["own"] * texts)
+    within = F.row_number().over(Window.partitionBy("shard", "bucket").orderBy("doc_id", "text_crc32", "size")) - 1
+    out = rows.withColumn("slot", within)
+    if not texts:  # where a row was read must not change between numbering and counting
+        rows = out = settle(out)
     counts = rows.groupBy("shard", "bucket").agg(F.count("*").alias("n"))
     before = counts.select("shard", "bucket", (F.sum("n").over(Window.partitionBy("shard").orderBy("bucket")) - F.col("n")).alias("before"))
-    within = F.row_number().over(Window.partitionBy("shard", "bucket").orderBy("doc_id", "text_crc32", "size")) - 1
-    out = rows.withColumn("slot", within).join(before, ["shard", "bucket"]).withColumn("slot", (F.col("slot") + F.col("before")).cast("long"))
-    return out.select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard", "region", "rack")
+    out = out.join(before, ["shard", "bucket"]).withColumn("slot", (F.col("slot") + F.col("before")).cast("long"))
+    new = ["doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard", "region", "rack"]
+    if not texts:
+        return out.select(*new)
+    return out.select(*(F.col(f"own.`{c}`").alias(c) for c in docs.columns if c == "doc_id" or c not in new), *new[1:])

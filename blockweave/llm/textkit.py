@@ -13,6 +13,8 @@ bytes in UTF-8 and never part of a longer sequence, so bytes suffice.
 from __future__ import annotations
 
 import atexit
+import re
+import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -174,20 +176,23 @@ def record(cols: dict, schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([c if isinstance(c := cols[f.name], pa.Array) else pa.array(c, f.type) for f in schema], schema=schema)
 
 
-def bound_batches(spark: SparkSession, rows: int = 10_000, size: int = 16 << 20) -> None:
-    """Arrow batches end after so many bytes: very long texts don't pile up. Settings of the user's own stay."""
-    for key, value, default in (("spark.sql.execution.arrow.maxBytesPerBatch", size, None),):
-        if spark.conf.get(key, None) in (None, "-1", "9223372036854775807", str((1 << 31) - 1), default):
-            spark.conf.set(key, str(value))
+def bound_batches(spark: SparkSession, size: int = 16 << 20) -> None:
+    """Arrow batches of this session end after so many bytes, so that very long texts don't pile up. A bound that the user has set stays."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, None) in (None, "-1", "9223372036854775807", str((1 << 31) - 1)):
+        spark.conf.set(key, str(size))
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir as the cluster names it; one of our own only where it is unset."""
+    """The folder all executors share: spark.checkpoint.dir as the cluster names it. Where it is unset, a folder of our own in local mode; elsewhere that is an error, as each host has its own disk."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        import tempfile
-
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or f"{tempfile.gettempdir()}/checkpoints/{uuid.uuid4().hex}")
+        top = spark.conf.get("spark.checkpoint.dir", None)
+        if top is None:
+            if not re.match(r"local(\[|$)", sc.master):
+                raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+            top = f"{tempfile.gettempdir()}/checkpoints/{uuid.uuid4().hex}"
+        sc.setCheckpointDir(top)
     return sc.getCheckpointDir()
 
 
@@ -204,18 +209,27 @@ def written(df: DataFrame) -> DataFrame:
     """df as a Parquet table in the shared folder, read again: for wide or repetitive rows, which it holds in less room than a checkpoint. Tables go when the driver's Python ends."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
+    drop_at_exit(spark, path)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def drop_at_exit(spark: SparkSession, path: str) -> None:
     if not _written:
         atexit.register(_drop_written)
     _written.append((spark, path))
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+
+
+def drop(spark: SparkSession, path: str) -> None:
+    """Delete a folder in whatever store it is."""
+    if spark.sparkContext._jsc is not None:
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def _drop_written() -> None:
     for spark, path in _written:
-        if spark.sparkContext._jsc is not None:
-            at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+        drop(spark, path)
 
 
 def partitions(spark: SparkSession) -> int:
@@ -265,6 +279,30 @@ def bitmap(keys: DataFrame, col: str, bits: int) -> np.ndarray:
     return out
 
 
+def bitmap_table(keys: DataFrame, col: str, bits: int) -> DataFrame:
+    """The same bitmap as a table (b_, m_) of 2**bits / 32768 rows of 4 KiB at most, to be broadcast by ``maybe_in``."""
+    pos = F.shiftrightunsigned(F.col(col), 64 - bits)
+    return settle(keys.select(F.shiftrightunsigned(pos, 15).alias("b_"), pos.bitwiseAND(32767).alias("p")).groupBy("b_").agg(F.bitmap_construct_agg("p").alias("m_")))
+
+
+def maybe_in(df: DataFrame, col: str, table: DataFrame, bits: int, name: str) -> DataFrame:
+    """df with the boolean ``name``: whether its 64-bit key may be one of the table's. No shuffle and no Python: the table's size is fixed, so it is broadcast."""
+    pos = F.shiftrightunsigned(F.col(col), 64 - bits)
+    p = pos.bitwiseAND(32767)
+    byte = F.conv(F.hex(F.substr("m_", (F.shiftrightunsigned(p, 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    hit = F.expr("shiftright(by_, cast(p_ & 7 as int)) & 1 = 1")
+    out = df.withColumn("b_", F.shiftrightunsigned(pos, 15)).join(F.broadcast(table), "b_", "left").withColumns({"by_": byte, "p_": p})
+    return out.withColumn(name, F.coalesce(hit, F.lit(False))).drop("b_", "m_", "by_", "p_")
+
+
+def packed(docs: DataFrame) -> tuple[DataFrame, list]:
+    """docs as doc_id, text and one struct own_ of all other columns, so that no name an operator uses can clash with them; and what selects docs' own columns again, as they were."""
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    own = F.struct(F.lit(0).alias("none"), F.col("doc_id").alias("id"), *(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(others)))
+    back = [F.col("own_.id").alias(c) if c == "doc_id" else F.col(c) if c == "text" else F.col(f"own_.c{others.index(c)}").alias(c) for c in docs.columns]
+    return docs.select("doc_id", "text", own.alias("own_")), back
+
+
 def probe(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
     shift = 64 - (len(bits).bit_length() + 2)
     pos = keys >> U(shift)
