@@ -1,18 +1,22 @@
 """Secret scans with inferred grammars.
 
 Three base patterns find candidates whose form is given. Values that they
-capture are labelled credentials: of each kind a prefix tree of character
-classes is built, and states whose futures are statistically alike are merged
-(Alergia: Hoeffding bounds on stop and transition frequencies, tested
-recursively, in the order of a red core and its blue fringe). The result is a
-probabilistic automaton by kind, and one of ordinary words is learned the same
-way. All other long tokens of the texts are then scored by how much likelier a
-credential automaton makes them than the ordinary one.
+capture are labelled credentials: of each kind a prefix tree of characters is
+built, and states whose futures are statistically alike are merged (Alergia:
+Hoeffding bounds on stop and transition frequencies, tested recursively, in the
+order of a red core and its blue fringe). How readily states merge, and whether
+edges go by symbol or by class of symbols, is chosen by the likelihood of values
+held out. The result is a probabilistic automaton by
+kind, and one of ordinary tokens is learned the same way. Every token of the
+texts is then scored by how much likelier a credential automaton makes it than
+the ordinary one. Of tokens that the ordinary automaton draws, whatever their
+lengths, at most 2 ** -MARGIN come out as MARGIN bits likelier.
 """
 
 from __future__ import annotations
 
 import hashlib
+import heapq
 import re
 from collections import Counter
 
@@ -20,22 +24,24 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textkit import U, Chunk, id_column, mix, over_chunks, settle, with_text_kind
+from .textkit import U, Chunk, arrow_schema, bound_batches, each_chunk, id_column, over_chunks, record, settle, signed, with_text_kind
 
 KINDS = ("assign", "access", "hex")
-#: Values of a kind, and ordinary tokens, learned from at most: those of the least hashes.
-SAMPLE_VALUES = 2_000
-MIN_TOKEN, MARGIN = 20, 12.0
+PLAIN = len(KINDS)
+#: Different values of a kind, and ordinary tokens, learned from at most: those of the least hashes. Values longer than LONG teach by so many characters, and no stop.
+SAMPLE_VALUES, SAMPLE_PLAIN, LONG = 2_000, 8_000, 2_048
+#: Tokens of fewer characters are no candidates, as the shortest labelled value has so many. The margin, in bits.
+MIN_TOKEN, MARGIN = 6, 16.0
 _assign = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 _access = re.compile(r"AKIA[A-Z0-9]+")
 _hex = re.compile(r"[0-9a-f]{24,}")  # runs of fewer characters would fail; a run is taken whole
-_value = re.compile(r"[A-Za-z0-9+/_.=-]+")
-# The classes of characters that the automata read.
-CLASSES = ("0123456789", "abcdef", "ghijklmnopqrstuvwxyz", "ABCDEF", "GHIJKLMNOPQRSTUVWXYZ", "+/", "_-", ".", "=")
-STOP = len(CLASSES)
-_class = np.full(256, 255, np.uint8)
-for _i, _chars in enumerate(CLASSES):
-    _class[np.frombuffer(_chars.encode(), np.uint8)] = _i
+# The characters that the automata read.
+SYMBOLS = "0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ+/_.=-"
+STOP = len(SYMBOLS)
+_symbol = np.full(256, 255, np.uint8)
+_symbol[np.frombuffer(SYMBOLS.encode(), np.uint8)] = np.arange(STOP)
+_ALNUM = 62  # the first symbols are digits and letters
+ALPHAS = (0.0001, 0.01, 0.2, 0.8)
 
 
 def base_spans(text: str) -> list[tuple[int, int, int, str]]:
@@ -55,99 +61,180 @@ def joined(spans) -> str:
 
 
 class Automaton:
-    """A probabilistic automaton over CLASSES: next state, and log2 probability of each class or of stopping, by state."""
+    """A probabilistic automaton over SYMBOLS: next state, and log2 probability of each symbol or of stopping, by state."""
 
     def __init__(self, to: np.ndarray, log: np.ndarray):
         self.to, self.log = to, log
 
     def bits(self, data: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
-        """log2 likelihood of each byte range, all ranges a character at a time."""
+        """log2 likelihood of each byte range: all ranges a character at a time, the last few of very long ones by themselves."""
         state, out, live = np.zeros(len(s), np.int64), np.zeros(len(s)), np.arange(len(s))
         j = 0
-        while len(live):
-            live = live[s[live] + j < e[live]]
-            c = _class[data[s[live] + j]]
+        while len(live := live[s[live] + j < e[live]]):
+            if j >= 256 and len(live) < 16:
+                to, log = self.to.tolist(), self.log.tolist()
+                for i in live.tolist():
+                    q, sum_ = int(state[i]), 0.0
+                    for c in _symbol[data[s[i] + j : e[i]]].tolist():
+                        sum_ += log[q][c]
+                        q = to[q][c]
+                    state[i], out[i] = q, out[i] + sum_
+                break
+            c = _symbol[data[s[live] + j]]
             out[live] += self.log[state[live], c]
             state[live] = self.to[state[live], c]
             j += 1
         return out + self.log[state, STOP]
 
+    def of(self, values: list[str]) -> np.ndarray:
+        """log2 likelihood of each value."""
+        lens = np.array([len(v) for v in values], np.int64)
+        ends = np.cumsum(lens)
+        return self.bits(np.frombuffer("".join(values).encode(), np.uint8), ends - lens, ends)
+
+
+class _Tree:
+    """A prefix tree with weights, whose states are merged in place. Edges go by class of symbols; each state counts the symbols themselves."""
 
-def infer(values: list[str], alpha: float = 0.05) -> Automaton:
-    """Alergia over the class strings of values."""
-    k = len(CLASSES)
-    to, count, stop = [[-1] * k], [[0] * k], [0]
-    for v, n in sorted(Counter(values).items()):
+    def __init__(self):
+        self.to: list[dict[int, int]] = [{}]
+        self.count: list[dict[int, float]] = [{}]
+        self.stop, self.total = [0.0], [0.0]
+
+    def add(self, symbols: list[int], classes: list[int], weight: float, stops: bool) -> None:
         q = 0
-        for c in _class[np.frombuffer(v.encode(), np.uint8)].tolist():
-            count[q][c] += n
-            if to[q][c] < 0:
-                to[q][c] = len(to)
-                to.append([-1] * k)
-                count.append([0] * k)
-                stop.append(0)
-            q = to[q][c]
-        stop[q] += n
-    bound = np.sqrt(np.log(2 / alpha) / 2)
-    total = lambda q: sum(count[q]) + stop[q]
-
-    def alike(a, b):
+        for s, c in zip(symbols, classes, strict=True):
+            self.count[q][s] = self.count[q].get(s, 0.0) + weight
+            self.total[q] += weight
+            if c not in self.to[q]:
+                self.to[q][c] = len(self.to)
+                self.to.append({})
+                self.count.append({})
+                self.stop.append(0.0)
+                self.total.append(0.0)
+            q = self.to[q][c]
+        if stops:
+            self.stop[q] += weight
+            self.total[q] += weight
+
+    def alike(self, a: int, b: int, bound: float) -> bool:
+        """Whether no frequency of the two states, or of states that the same classes lead to, differs by more than chance allows."""
         todo = [(a, b)]
         while todo:
             a, b = todo.pop()
-            na, nb = total(a), total(b)
+            na, nb = self.total[a], self.total[b]
             if not na or not nb:
                 continue
-            far = bound * (na**-0.5 + nb**-0.5)
-            if abs(stop[a] / na - stop[b] / nb) > far or any(abs(count[a][c] / na - count[b][c] / nb) > far for c in range(k)):
+            far, ca, cb = bound * (na**-0.5 + nb**-0.5), self.count[a], self.count[b]
+            if abs(self.stop[a] / na - self.stop[b] / nb) > far:
                 return False
-            todo += [(to[a][c], to[b][c]) for c in range(k) if to[a][c] >= 0 and to[b][c] >= 0 and to[a][c] != to[b][c]]
+            if far < 1:
+                for c in ca.keys() | cb.keys():
+                    if abs(ca.get(c, 0.0) / na - cb.get(c, 0.0) / nb) > far:
+                        return False
+            todo += [(x, self.to[b][c]) for c, x in self.to[a].items() if c in self.to[b] and x != self.to[b][c]]
         return True
 
-    def fold(a, b):
-        """Add the subtree b to state a."""
-        todo = [(a, b)]
+    def fold(self, a: int, b: int) -> list[int]:
+        """Add the subtree b to state a; the states that got something."""
+        todo, touched = [(a, b)], []
         while todo:
             a, b = todo.pop()
-            stop[a] += stop[b]
-            for c in range(k):
-                count[a][c] += count[b][c]
-                if to[b][c] >= 0:
-                    if to[a][c] < 0:
-                        to[a][c] = to[b][c]
-                    else:
-                        todo.append((to[a][c], to[b][c]))
-
-    red = [0]
-    while True:
-        blue = [(p, c) for p in red for c in range(k) if to[p][c] >= 0 and to[p][c] not in red]
-        if not blue:
-            break
-        p, c = max(blue, key=lambda x: (count[x[0]][x[1]], -x[0], -x[1]))
-        b = to[p][c]
+            touched.append(a)
+            self.stop[a] += self.stop[b]
+            self.total[a] += self.total[b]
+            for c, n in self.count[b].items():
+                self.count[a][c] = self.count[a].get(c, 0.0) + n
+            for c, x in self.to[b].items():
+                if c not in self.to[a]:
+                    self.to[a][c] = x
+                else:
+                    todo.append((self.to[a][c], x))
+        return touched
+
+
+def classes_of(values: dict[str, float]) -> np.ndarray:
+    """The class of each symbol: types (digits, letters up to f and past it, in each case) whose symbols values use equally often, as far as chance tells, are one; marks are their own."""
+    n = np.zeros(STOP)
+    for v, w in values.items():
+        np.add.at(n, _symbol[np.frombuffer(v[:LONG].encode(), np.uint8)], w)
+    types = [np.arange(10), np.arange(10, 16), np.arange(16, 36), np.arange(36, 42), np.arange(42, 62)]
+    share = [n[t].sum() / max(1.0, n.sum()) / len(t) for t in types]
+    out, number = np.arange(STOP), list(range(len(types)))
+    for i in range(len(types)):
+        for j in range(i):
+            mean = (share[i] + share[j]) / 2
+            if share[i] and share[j] and abs(share[i] - share[j]) <= 4 * np.sqrt(mean * (1 / len(types[i]) + 1 / len(types[j])) / max(1.0, n.sum())):
+                number[i] = min(number[i], number[j])
+    for i, t in enumerate(types):
+        out[t] = types[number[i]][0]
+    return out
+
+
+def infer(values: dict[str, float] | list[str], alpha: float = 0.01, classes: np.ndarray | None = None) -> Automaton:
+    """Alergia over values, each with a weight; edges go by class (each symbol its own, if not given), so that a state can stand for what follows any symbol of it. What a state hasn't seen has a small probability: that of all values, and a little for each symbol."""
+    classes = np.arange(STOP) if classes is None else classes
+    tree, overall = _Tree(), np.full(STOP + 1, 0.5)
+    for v, n in sorted((values if isinstance(values, dict) else Counter(values)).items()):
+        symbols = _symbol[np.frombuffer(v[:LONG].encode(), np.uint8)]
+        tree.add(symbols.tolist(), classes[symbols].tolist(), float(n), len(v) <= LONG)
+        np.add.at(overall, [*symbols, *[STOP] * (len(v) <= LONG)], float(n))
+    overall /= overall.sum()
+    bound = float(np.sqrt(np.log(2 / alpha) / 2))
+    red, is_red = [0], {0}
+    fringe = [(-tree.total[x], 0, c) for c, x in tree.to[0].items()]
+    heapq.heapify(fringe)
+    while fringe:
+        _, p, c = heapq.heappop(fringe)
+        b = tree.to[p][c]
+        if b in is_red:
+            continue
         for r in red:
-            if alike(r, b):
-                to[p][c] = r
-                fold(r, b)
+            if tree.alike(r, b, bound):
+                tree.to[p][c] = r
+                touched = [q for q in tree.fold(r, b) if q in is_red]
                 break
         else:
             red.append(b)
-    number = {q: i for i, q in enumerate(red)}
-    # One state more for what was never seen; each outcome has a small count of its own.
-    size = len(red)
-    t, n = np.full((size + 1, k), size), np.full((size + 1, k + 1), 0.05)
+            is_red.add(b)
+            touched = [b]
+        for q in dict.fromkeys(touched):
+            for c, x in tree.to[q].items():
+                if x not in is_red:
+                    heapq.heappush(fringe, (-tree.total[x], q, c))
+    number, size = {q: i for i, q in enumerate(red)}, len(red)
+    # One state more for what was never seen.
+    to, n = np.full((size + 1, STOP), size), np.tile(2 * overall, (size + 1, 1))
     for q, i in number.items():
-        for c in range(k):
-            n[i, c] += count[q][c]
-            if to[q][c] >= 0:
-                t[i, c] = number[to[q][c]]
-        n[i, k] += stop[q]
-    return Automaton(t, np.log2(n / n.sum(1, keepdims=True)))
+        for c, x in tree.to[q].items():
+            to[i, classes == c] = number[x]
+        for s, w in tree.count[q].items():
+            n[i, s] += w
+        n[i, STOP] += tree.stop[q]
+    return Automaton(to, np.log2(n / n.sum(1, keepdims=True)))
+
+
+def _halves(values: dict[str, float]) -> tuple[dict[str, float], dict[str, float]]:
+    """Values to learn from, and one in four to be held out, by hash; few values are both."""
+    held = {v: n for v, n in values.items() if hashlib.md5(v.encode()).digest()[0] % 4 == 0}
+    rest = {v: n for v, n in values.items() if v not in held}
+    return (rest, held) if held and rest else (values, values)
+
+
+def fitted(values: dict[str, float]) -> Automaton:
+    """The automaton learned from all values with the alpha and the classes that make held-out values likeliest."""
+    learn, held = _halves(values)
+    names, weight = list(held), np.array(list(held.values()))
+    ways = [(a, by_type) for by_type in (False, True) for a in ALPHAS]
+    score = {w: float((infer(learn, w[0], classes_of(learn) if w[1] else None).of(names) * weight).sum()) for w in ways}
+    alpha, by_type = max(ways, key=lambda w: score[w])
+    return infer(values, alpha, classes_of(values) if by_type else None)
 
 
 def tokens(c: Chunk, least: int = MIN_TOKEN) -> tuple[np.ndarray, np.ndarray]:
-    """Byte ranges of at least so many characters of the classes, inside one text."""
-    ok = _class[c.data] != 255
+    """Byte ranges of runs of SYMBOLS inside one text, from their first digit or letter to their last, of at least so many characters."""
+    sym = _symbol[c.data]
+    ok = sym != 255
     start, end = ok.copy(), ok.copy()
     start[1:] &= ~ok[:-1]
     end[:-1] &= ~ok[1:]
@@ -156,25 +243,31 @@ def tokens(c: Chunk, least: int = MIN_TOKEN) -> tuple[np.ndarray, np.ndarray]:
     last = c.offs[1:][c.offs[1:] > 0] - 1
     end[last] = ok[last]
     s, e = np.flatnonzero(start), np.flatnonzero(end) + 1
+    s, e = s[e - s >= least], e[e - s >= least]
+    at = np.flatnonzero(sym < _ALNUM)
+    lo, hi = np.searchsorted(at, s), np.searchsorted(at, e)
+    lo, hi = lo[hi > lo], hi[hi > lo]
+    s, e = at[lo], at[hi - 1] + 1
     return s[e - s >= least], e[e - s >= least]
 
 
 class Grammars:
+    """An automaton by kind, and that of ordinary tokens."""
+
     def __init__(self, by_kind: dict[int, Automaton], plain: Automaton | None):
         self.by_kind, self.plain = by_kind, plain
 
     def found(self, c: Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(start, end, kind) of the tokens that a credential automaton explains by MARGIN bits better, and that have a digit and a letter."""
+        """(start, end, kind) of the tokens that a credential automaton makes likelier than the ordinary one by the margin."""
         s, e = tokens(c)
         if self.plain is None or not self.by_kind or not len(s):
             return s[:0], e[:0], s[:0]
-        plain = self.plain.bits(c.data, s, e)
+        _, first, back = np.unique(c.span_hash(s, e), return_index=True, return_inverse=True)  # each token once
+        plain = self.plain.bits(c.data, s[first], e[first])
         kinds = sorted(self.by_kind)
-        gain = np.stack([self.by_kind[k].bits(c.data, s, e) - plain for k in kinds])
-        digits = np.concatenate([[0], np.cumsum(_class[c.data] == 0)])
-        letters = np.concatenate([[0], np.cumsum((_class[c.data] > 0) & (_class[c.data] < 5))])
-        ok = (gain.max(0) >= MARGIN) & (digits[e] > digits[s]) & (letters[e] > letters[s])
-        return s[ok], e[ok], np.array(kinds)[gain.argmax(0)][ok]
+        gain = np.stack([self.by_kind[k].bits(c.data, s[first], e[first]) - plain - MARGIN for k in kinds])
+        ok, kind = (gain.max(0) >= 0)[back], np.array(kinds)[gain.argmax(0)][back]
+        return s[ok], e[ok], kind[ok]
 
 
 def _texts(c: Chunk) -> list[str]:
@@ -182,28 +275,86 @@ def _texts(c: Chunk) -> list[str]:
     return [raw[a:b].decode("utf-8", "replace") for a, b in zip(c.offs[:-1], c.offs[1:], strict=True)]
 
 
-def learn(docs: DataFrame, rows: int = SAMPLE_VALUES) -> Grammars:
-    """Automata of each kind from values that the base patterns capture, and of ordinary tokens from the words of the texts; at most ``rows`` distinct values of each come to the driver."""
-    docs = with_text_kind(docs).select("doc_id", "text")
-
-    def values(c):
-        out: list[tuple[int, str]] = []
-        for t in _texts(c):
-            out += {(k, v) for _, k, _, v in base_spans(t)}
-        s, e = tokens(c, 8)
-        keep = (mix(c.span_hash(s, e)) >> U(58)) == 0  # one in 64 distinct tokens, by their hash
-        raw = c.data.tobytes()
-        out += {(3, v) for a, b in zip(s[keep], e[keep], strict=True) if not re.search("[0-9]", v := raw[a:b].decode())}
-        yield {"kind": [k for k, _ in out], "value": [v for _, v in out]}
-
-    got = over_chunks(docs, values, "kind int, value string").distinct().withColumn("o", F.xxhash64("value"))
-    by: dict[int, Automaton] = {}
-    got = settle(got)
-    for k in range(4):
-        some = [r.value for r in got.where(F.col("kind") == k).orderBy("o", "value").limit(rows).select(F.substring("value", 1, 512).alias("value")).collect()]
-        if len(some) >= 8 or k == 3 and some:
-            by[k] = infer([v for v in some if _value.fullmatch(v)])
-    return Grammars({k: a for k, a in by.items() if k < 3}, by.get(3))
+def _trimmed(value: str) -> str:
+    return value.strip("+/_.=-")
+
+
+def _spans_of(c: Chunk) -> tuple[list[list[tuple]], np.ndarray, np.ndarray]:
+    """Base spans by text, and the first and last byte of each in the chunk."""
+    spans = [base_spans(t) for t in _texts(c)]
+    points = np.flatnonzero(c.char_starts())  # the byte of each code point
+    points = np.append(points, len(c.data))
+    shift = np.searchsorted(points, c.offs[:-1])
+    doc = np.repeat(np.arange(c.n), [len(x) for x in spans])
+    lo, hi = (np.array([y[i] for x in spans for y in x], np.int64) for i in (0, 2))
+    lo, hi = (np.minimum(x + shift[doc], len(points) - 1) for x in (lo, hi))
+    return spans, points[lo], points[hi]
+
+
+def _touched(s: np.ndarray, e: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """Which of the ranges (s, e) overlap one of (lo, hi), which stand in the order of lo."""
+    reach = np.concatenate([[-1], np.maximum.accumulate(hi)]) if len(lo) else np.array([-1])
+    return reach[np.searchsorted(lo, e)] > s
+
+
+def samples(docs: DataFrame, rows: int = SAMPLE_VALUES, plain: int = SAMPLE_PLAIN) -> DataFrame:
+    """(kind, h, value, n): different captured values by kind, and ordinary tokens that touch no base span, with how often they occur. A task sends those of its least hashes, which hold the least of all."""
+    schema = "kind int, h long, value string, n long"
+    out, most = arrow_schema(schema), [rows, rows, rows, plain]
+
+    def run(batches):
+        held: list[dict[str, list[int]]] = [{} for _ in most]
+        limit = [1 << 64] * len(most)
+
+        def prune(k, size):
+            if len(held[k]) > size:
+                keep = heapq.nsmallest(most[k], held[k].items(), key=lambda x: (x[1][0], x[0]))
+                held[k] = dict(keep)
+                limit[k] = keep[-1][1][0]
+
+        def note(k, value, h, n):
+            if h <= limit[k]:
+                held[k].setdefault(value, [h, 0])[1] += n
+                prune(k, 4 * most[k])
+
+        for c in each_chunk(batches):
+            spans, lo, hi = _spans_of(c)
+            for k, v in ((k, _trimmed(v)) for x in spans for _, k, _, v in x):
+                if v:
+                    note(k, v, int.from_bytes(hashlib.md5(v.encode()).digest()[:8], "little"), 1)
+            s, e = tokens(c)
+            free = ~_touched(s, e, lo, hi)
+            s, e = s[free], e[free]
+            h, first, n = np.unique(c.span_hash(s, e), return_index=True, return_counts=True)
+            raw = c.data.tobytes()
+            for i in range(int(np.searchsorted(h, U(min(limit[PLAIN], (1 << 64) - 1)), "right"))):
+                note(PLAIN, raw[s[first[i]] : e[first[i]]].decode(), int(h[i]), int(n[i]))
+        for k in range(len(most)):
+            prune(k, most[k])
+            if held[k]:
+                yield record({"kind": [k] * len(held[k]), "h": signed(np.array([x[0] for x in held[k].values()], U)), "value": list(held[k]), "n": [x[1] for x in held[k].values()]}, out)
+
+    bound_batches(docs.sparkSession)
+    return docs.select("text").mapInArrow(run, schema).groupBy("kind", "h", "value").agg(F.sum("n").alias("n"))
+
+
+def grammars(by: dict[int, dict[str, float]]) -> Grammars:
+    """Automata of the kinds that have values. Without ordinary tokens, or without values, nothing is inferred."""
+    if not by.get(PLAIN) or len(by) < 2:
+        return Grammars({}, None)
+    return Grammars({k: fitted(v) for k, v in by.items() if k != PLAIN}, fitted(by[PLAIN]))
+
+
+def learn(docs: DataFrame, rows: int = SAMPLE_VALUES, plain: int = SAMPLE_PLAIN) -> Grammars:
+    """Automata from at most ``rows`` different values of each kind and ``plain`` ordinary tokens, which come to the driver. A value that occurs n times weighs 1 + log2 n, so that copies of one text don't drown all others; an ordinary token weighs n, so that credentials without context, which are among them, weigh little."""
+    got = settle(samples(with_text_kind(docs), rows, plain))
+    by: dict[int, dict[str, float]] = {}
+    for k, most in enumerate([rows] * len(KINDS) + [plain]):
+        # Hashes are unsigned: those that are negative as signed numbers come last.
+        some = got.where(F.col("kind") == k).orderBy(F.col("h") < 0, "h", "value").limit(most).select(F.substring("value", 1, LONG + 1).alias("value"), "n").collect()
+        if some:
+            by[k] = {r.value: float(r.n) if k == PLAIN else 1 + float(np.log2(r.n)) for r in some}
+    return grammars(by)
 
 
 def scan_secrets(docs: DataFrame, grammars: Grammars | None = None) -> DataFrame:
@@ -211,32 +362,36 @@ def scan_secrets(docs: DataFrame, grammars: Grammars | None = None) -> DataFrame
 
     Base spans are the leftmost that don't overlap, by kind; those too short
     fail. spans has them and the inferred ones (kind "like_" and the kind of the
-    likeliest automaton) that overlap no base span. Positions are code points,
-    ends exclusive. Null and empty texts have none; very long texts are read
-    whole; repeated rows get the same; without captured values no span is
-    inferred. An empty table gives an empty one; other columns are ignored.
+    likeliest automaton): tokens that overlap no base span, or hold all of each
+    that they overlap and more. Positions are code points, ends exclusive. Null
+    and empty texts have none; very long texts and tokens are read whole;
+    repeated rows, with null doc_ids too, get the same; without captured values
+    no span is inferred. An empty table gives an empty one; other columns are
+    ignored.
     """
     grammars = grammars or learn(docs)
     shared = docs.sparkSession.sparkContext.broadcast(grammars)
 
     def rows(c):
+        spans, lo, hi = _spans_of(c)
         s, e, kind = shared.value.found(c)
+        free = ~_touched(s, e, lo, hi)
+        reach = np.maximum.accumulate(hi) if len(hi) else hi  # base spans stand in the order of their begins
+        for j in np.flatnonzero(~free):
+            mine = slice(np.searchsorted(reach, s[j], "right"), np.searchsorted(lo, e[j]))
+            x, y = lo[mine], hi[mine]
+            x, y = x[y > s[j]], y[y > s[j]]
+            free[j] = bool(((x >= s[j]) & (y <= e[j]) & (y - x < e[j] - s[j])).all())
+        s, e, kind = s[free], e[free], kind[free]
         doc = np.searchsorted(c.offs, s, "right") - 1
         cuts = np.searchsorted(doc, np.arange(c.n + 1))
         points = np.concatenate([[0], np.cumsum(c.char_starts())])  # code points before each byte
         first, last = points[s] - points[c.offs[doc]], points[e] - points[c.offs[doc]]
         out = []
-        for i, text in enumerate(_texts(c)):
-            base = base_spans(text)
-            more = []
-            # A token overlaps a base span if one of those that begin before its end goes on after its start.
-            begins = np.array([x[0] for x in base], np.int64)
-            reach = np.maximum.accumulate(np.array([0, *(x[2] for x in base)], np.int64))
-            for j in range(cuts[i], cuts[i + 1]):
-                if reach[np.searchsorted(begins, last[j])] <= first[j]:
-                    more.append((int(first[j]), f"like_{KINDS[kind[j]]}", int(last[j])))
+        for i, base in enumerate(spans):
+            more = [((int(first[j]), PLAIN), (int(first[j]), f"like_{KINDS[kind[j]]}", int(last[j]))) for j in range(cuts[i], cuts[i + 1])]
             named = [(x[0], KINDS[x[1]], x[2]) for x in base]
-            every = [y[1] for y in sorted([((x[0], x[1]), n) for x, n in zip(base, named, strict=True)] + [((x[0], 3), x) for x in more])]
+            every = [y for _, y in sorted([((x[0], x[1]), n) for x, n in zip(base, named, strict=True)] + more)]
             n = Counter(x[1] for x in base)
             out.append((n[0], n[1], n[2], hashlib.sha256(joined(named).encode()).hexdigest(), joined(every), len(more)))
         cols = list(zip(*out, strict=True))

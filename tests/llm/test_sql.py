@@ -17,21 +17,3 @@ def test_query_equals_sql(spark, name):
     assert sorted(want.columns) == names
     key = lambda r: tuple((x is None, str(x)) for x in r)
     assert sorted(map(tuple, got.select(*names).collect()), key=key) == sorted(want.select(*names).fetchall(), key=key)
-
-
-def test_secrets_near_base_spans(spark):
-    """Positions are code points, and inferred spans never overlap base ones, whatever stands before."""
-    from blockweave.llm.secrets_scan import scan_secrets
-
-    hexes = "".join(f"é{i:02d} token = {i:06x}{'a1b2c3d4e5' * 3} {i:06x}{'A1B2C3D4E5' * 3}\n" for i in range(300))
-    docs = spark.createDataFrame([(1, hexes), (2, ""), (3, None), (4, hexes * 20)], "doc_id long, text string")
-    for r in scan_secrets(docs).collect():
-        text = {1: hexes, 4: hexes * 20}.get(r.doc_id, "")
-        spans = [(int(s), int(e), k) for k, s, e in (x.split(":") for x in r.spans.split(",") if x)]
-        base = [x for x in spans if not x[2].startswith("like_")]
-        assert len(base) == r.n_assign + r.n_access + r.n_hex
-        assert spans == sorted(spans, key=lambda x: x[0])
-        for s, e, k in spans:
-            assert 0 <= s < e <= len(text) and text[s:e].isascii()
-            if k.startswith("like_"):
-                assert text[s:e].isalnum() and not any(s < y and e > x for x, y, _ in base)
