@@ -138,12 +138,11 @@ def rules_column(rules: list[Rule]) -> Column:
 
 
 def learn(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> list[Rule]:
-    """Rules from at most ``rows`` rows of labels (doc_id, quality); rows without a label teach nothing, and without any there are no rules."""
+    """Rules from at most ``rows`` rows of labels (doc_id, quality), and of documents that have these ids, by least hash; rows without a label teach nothing, and without any there are no rules."""
     some = labels.select(F.col("doc_id").cast("long").alias("doc_id"), "quality").where("doc_id is not null and quality is not null").withColumn("o", F.xxhash64("doc_id")).orderBy("o", "quality").limit(rows)
     # At most ``rows`` short rows: small enough to broadcast.
     texts = with_text_kind(docs).select("doc_id", "text").join(F.broadcast(some), "doc_id")
-    got = with_columns(texts, statistics, COUNTS).drop("text").select("o", "quality", *(share(n).alias(n) for n in SHARES)).toPandas()
-    got = got.sort_values(["o", "quality", *SHARES]).reset_index(drop=True)
+    got = with_columns(texts, statistics, COUNTS).drop("text").select("o", "quality", *(share(n).alias(n) for n in SHARES)).orderBy("o", "quality", *SHARES).limit(rows).toPandas()
     if not len(got):
         return []
     return learn_list(got[list(SHARES)], (got["quality"] == 0).to_numpy(), got["o"].to_numpy().view(np.uint64) % 3)

@@ -1,13 +1,20 @@
 """Toxicity by a counterfactual-regularised classifier.
 
-A logistic model over hashed words, each with the log-odds it has in the labelled
-texts as its scale. Besides labels, training sees each sentence that mentions a
-group with the mention swapped for its counterparts, and penalises the squared
-change of the score: a text doesn't score higher for whom it mentions.
+A logistic model over words and the four-byte strings in them, each with the
+log-odds it has in the labelled texts as its scale. Strings let it know words
+that labels don't hold by their parts, and so give weight to mentions of groups
+that no label speaks of ("brown" ends like "clown"). Besides labels, training
+sees labelled sentences that mention a group with the mention swapped for each
+of its counterparts, and penalises the squared change of the score's log-odds: a
+text doesn't score higher for whom it mentions. For groups that no labelled sentence
+mentions, mentions are put into sentences of the labelled texts.
 """
 
 from __future__ import annotations
 
+import re
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -15,42 +22,40 @@ from pyspark.sql import functions as F
 
 from .textkit import FOLDED, U, Chunk, id_column, over_chunks, with_text_kind
 
-#: Labelled rows learned from at most: those of the least hashes.
-SAMPLE_ROWS = 12_000
-BITS = 20
+#: Labelled rows learned from at most: those of the least hashes. Of a text with more different words than MAX_WORDS, the first in byte order teach.
+SAMPLE_ROWS, MAX_WORDS = 12_000, 8_192
+#: Sentences into which mentions of each group are put that labels don't mention, and sentences with mentions read of one text at most.
+TEMPLATES, MENTIONS = 40, 16
+GRAM = 4
+FAIRNESS = 1.0
 # Terms for groups of people; those of one line are counterparts.
 IDENTITY = (
-    ("women", "men"), ("woman", "man"), ("girls", "boys"), ("black", "white", "asian", "latino"), ("gay", "straight", "lesbian", "bisexual"),
+    ("women", "men"), ("woman", "man"), ("girls", "boys"), ("black", "white", "brown", "asian", "latino"), ("gay", "straight", "lesbian", "bisexual"),
     ("muslim", "christian", "jewish", "hindu", "buddhist", "atheist"), ("muslims", "christians", "jews", "hindus", "buddhists", "atheists"),
-    ("immigrants", "natives"), ("disabled", "able-bodied"), ("old", "young"), ("african", "european", "american"), ("transgender", "cisgender"),
+    ("immigrants", "natives"), ("disabled", "able-bodied"), ("homeless", "housed"), ("old", "young"), ("african", "european", "american"), ("transgender", "cisgender"),
     ("frauen", "männer"), ("muslime", "christen", "juden"), ("ausländer", "einheimische"), ("femmes", "hommes"), ("musulmans", "chrétiens", "juifs"),
     ("étrangers", "français"), ("mujeres", "hombres"), ("musulmanes", "cristianos", "judíos"), ("extranjeros", "españoles"),
 )
-_EDGE = np.isin(np.arange(256), np.frombuffer(b".,;:!?\"'()[]*#$%&|<>-", np.uint8))
+EDGE = b".,;:!?\"'()[]*#$%&|<>-"
+_EDGE = np.isin(np.arange(256), np.frombuffer(EDGE, np.uint8))
+_sentence = re.compile(rb"[^.!?\n]+")
+_TERMS = {w.encode(): g for g, group in enumerate(IDENTITY) for w in group}
 
 
-def word_keys(c: Chunk) -> tuple[np.ndarray, np.ndarray]:
-    """(key, text) of each word: A-Z folded, punctuation at its ends left out; words of punctuation alone are none."""
-    c.words()
-    at = np.flatnonzero(~_EDGE[c.data])
-    if not len(at) or not len(c.ws):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    lo, hi = np.searchsorted(at, c.ws), np.searchsorted(at, c.we)
-    some = hi > lo
-    s, e = at[lo[some]], at[hi[some] - 1] + 1
-    return (c.span_hash(s, e, FOLDED) >> U(64 - BITS)).astype(np.int64), c.wdoc[some]
+def words_of(raw: bytes) -> list[bytes]:
+    """The words of a text in order: A-Z folded, punctuation at their ends left out; words of punctuation alone are none."""
+    return [w for x in raw.lower().split() if (w := x.strip(EDGE))]
 
 
-def key_of(word: str) -> int:
-    data = np.frombuffer(word.encode(), np.uint8)
-    c = Chunk(None, data, np.array([0, len(data)]))
-    return int((c.span_hash(np.array([0]), np.array([len(data)]), FOLDED) >> U(64 - BITS))[0])
+def grams_of(word: bytes) -> list[int]:
+    """The strings of GRAM bytes in a word between two spaces, as numbers."""
+    b = b" " + word + b" "
+    return [int.from_bytes(b[i : i + GRAM], "big") for i in range(len(b) - GRAM + 1)]
 
 
-def _distinct(c: Chunk) -> tuple[np.ndarray, np.ndarray]:
-    key, doc = word_keys(c)
-    got = np.unique((doc << BITS) | key)
-    return got & ((1 << BITS) - 1), np.searchsorted(got >> BITS, np.arange(c.n + 1))
+def hash_of(word: bytes) -> int:
+    data = np.frombuffer(word, np.uint8)
+    return int(Chunk(None, data, np.array([0, len(data)])).span_hash(np.array([0]), np.array([len(data)]), FOLDED)[0])
 
 
 def _held_out(col):
@@ -58,86 +63,174 @@ def _held_out(col):
 
 
 class Model:
-    def __init__(self, weight: np.ndarray, bias: float):
-        self.weight, self.bias = weight, bias
-
-    def scores(self, key: np.ndarray, off: np.ndarray) -> np.ndarray:
-        run = np.concatenate([[0.0], np.cumsum(self.weight[key].astype(np.float64))])
-        z = run[off[1:]] - run[off[:-1]] + self.bias
-        return 1 / (1 + np.exp(-np.clip(z, -500, 500)))
-
-
-def fit(key: np.ndarray, off: np.ndarray, y: np.ndarray, l2: float = 0.02, fairness: float = 1.0, steps: int = 300) -> Model:
-    """Gradient descent (Adam, full batches) on log loss + l2 + the mean squared score change under swaps."""
-    size, n = 1 << BITS, len(y)
-    doc = np.repeat(np.arange(n), np.diff(off))
+    """Weights of words, by their hash, and of strings, by their number; a text's score adds up those of its different words."""
+
+    def __init__(self, words: dict[bytes, float], grams: dict[int, float], bias: float):
+        h = np.array([hash_of(w) for w in words], U)
+        order = np.argsort(h)
+        self.h, self.word = h[order], np.array(list(words.values()), np.float64)[order]
+        g = np.array(sorted(grams), np.int64)
+        self.g, self.gram, self.bias = g, np.array([grams[x] for x in g.tolist()], np.float64), bias
+
+    def _look(self, keys, known, weight):
+        if not len(known):
+            return np.zeros(len(keys))
+        at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
+        return np.where(known[at] == keys, weight[at], 0.0)
+
+    def scores(self, c: Chunk) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(self.logits(c), -500, 500)))
+
+    def logits(self, c: Chunk) -> np.ndarray:
+        """The log-odds of each text."""
+        c.words()
+        at = np.flatnonzero(~_EDGE[c.data])
+        lo, hi = np.searchsorted(at, c.ws), np.searchsorted(at, c.we)
+        some = hi > lo
+        z = np.full(c.n, self.bias)
+        if some.any():
+            s, e, doc = at[lo[some]], at[hi[some] - 1] + 1, c.wdoc[some]
+            h, first, back = np.unique(c.span_hash(s, e, FOLDED), return_index=True, return_inverse=True)
+            s, e = s[first], e[first]
+            value = self._look(h, self.h, self.word)
+            # Strings of the chunk's different words, each between two spaces.
+            lens = e - s
+            begin = np.cumsum(lens + 2) - (lens + 2)
+            b = np.full(int((lens + 2).sum()), 0x20, np.int64)
+            inside = np.arange(int(lens.sum())) - np.repeat(np.cumsum(lens) - lens, lens)
+            low = c.data[np.repeat(s, lens) + inside].astype(np.int64)
+            b[np.repeat(begin + 1, lens) + inside] = np.where((low >= 65) & (low <= 90), low + 32, low)
+            n = np.maximum(0, lens + 2 - (GRAM - 1))
+            own = np.repeat(np.arange(len(lens)), n)
+            start = np.repeat(begin, n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+            gram = np.zeros(len(start), np.int64)
+            for j in range(GRAM):
+                gram = gram << 8 | b[start + j]
+            value += np.bincount(own, self._look(gram, self.g, self.gram), len(lens))
+            pair = np.unique(doc * len(h) + back)
+            z += np.bincount(pair // len(h), value[pair % len(h)], c.n)
+        return z
+
+    def logit(self, text: bytes) -> float:
+        return float(self.logits(Chunk(None, np.frombuffer(text, np.uint8), np.array([0, len(text)])))[0])
+
+    def score(self, text: str) -> float:
+        return float(1 / (1 + np.exp(-np.clip(self.logit(text.encode()), -500, 500))))
+
+
+@dataclass
+class Example:
+    """A labelled text: its different words, its sentences that mention a group, and its first sentence."""
+
+    toxic: bool
+    words: list[bytes]
+    mentions: list[list[bytes]]
+    first: list[bytes]
+
+
+def example(raw: bytes, toxic: bool) -> Example:
+    said = [w for m in _sentence.finditer(raw.lower()) if (w := words_of(m[0]))]
+    mentions = [w for w in said if not _TERMS.keys().isdisjoint(w)]
+    return Example(toxic, sorted({w for s in said for w in s} | set(words_of(raw)))[:MAX_WORDS], mentions[:MENTIONS], said[0] if said else [])
+
+
+def swaps_of(texts: list[Example]) -> list[tuple[list[bytes], bytes, bytes]]:
+    """(sentence, mention, counterpart): each mention in a labelled sentence with all its counterparts; for groups without any, mentions put at the end of first sentences."""
+    out, seen = [], set()
+    for x in texts:
+        for s in x.mentions:
+            for w in sorted(set(s) & _TERMS.keys()):
+                seen.add(_TERMS[w])
+                out += [(s, w, other.encode()) for other in IDENTITY[_TERMS[w]] if other.encode() != w]
+    for g, group in enumerate(IDENTITY):
+        if g not in seen:
+            for i, x in enumerate([x for x in texts if x.first][:TEMPLATES]):
+                w, other = group[i % len(group)].encode(), group[(i + 1 + i // len(group) % (len(group) - 1)) % len(group)].encode()
+                out.append(([*x.first, w], w, other))
+    return out
+
+
+def fit(texts: list[Example], l2: float = 0.2, fairness: float = FAIRNESS, steps: int = 300) -> Model:
+    """Gradient descent (Adam, full batches) on log loss + l2 + the mean squared change of the log-odds under swaps, which in a linear model the rest of the sentence takes no part in."""
+    y, n = np.array([x.toxic for x in texts], np.float64), len(texts)
     if not n or y.min() == y.max():
-        p = np.clip(y.mean() if n else 0.0, 1e-3, 1 - 1e-3)
-        return Model(np.zeros(size, np.float32), float(np.log(p / (1 - p))))
-    df = np.bincount(key, minlength=size)
-    use = np.flatnonzero(df >= 3)
-    pos = np.bincount(key, y[doc], size)[use]
-    a, b = (pos + 0.5) / (y.sum() + 1), (df[use] - pos + 0.5) / (n - y.sum() + 1)
-    scale = np.log(a / (1 - a)) - np.log(b / (1 - b))
-    # A word at random is in so many toxic texts: what differs less from that than chance allows has no scale.
-    mean = y.mean()
-    z = (pos - df[use] * mean) / np.sqrt(df[use] * mean * (1 - mean))
-    scale *= np.clip(np.abs(z) - 2, 0, None) / (np.abs(z) + 1e-9)
-    index = np.full(size, -1, np.int64)
-    index[use[scale != 0]] = np.arange((scale != 0).sum())
-    use, scale = use[scale != 0], scale[scale != 0]
-    col = index[key]
-    doc, col = doc[col >= 0], col[col >= 0]
-    m = len(use)
-    # Swaps: text i loses column "out" and gets column "in"; -1 is a word without weight.
-    swaps = []
-    for group in IDENTITY:
-        keys = [key_of(w) for w in group]
-        for k in keys:
-            if index[k] >= 0:
-                who = doc[col == index[k]]
-                swaps += [np.stack([who, np.full(len(who), index[k]), np.full(len(who), index[other])], 1) for other in keys if other != k]
-    swaps = np.concatenate([np.zeros((0, 3), np.int64), *swaps])
-    w, bias, g1, g2 = np.zeros(m), float(np.log(mean / (1 - mean))), np.zeros(m + 1), np.zeros(m + 1)
+        p = float(np.clip(y.mean() if n else 0.0, 1e-3, 1 - 1e-3))
+        return Model({}, {}, float(np.log(p / (1 - p))))
+    names: dict[bytes | int, int] = {}  # words are bytes, strings of them numbers
+    parts: dict[bytes, list[int]] = {}
+
+    def features(word):
+        if word not in parts:
+            parts[word] = [names.setdefault(f, len(names)) for f in (word, *grams_of(word))]
+        return parts[word]
+
+    def matrix(rows):
+        """(row, feature) of lists of words."""
+        cols = [[f for w in words for f in features(w)] for words in rows]
+        return np.repeat(np.arange(len(cols)), [len(c) for c in cols]), np.array([f for c in cols for f in c], np.int64)
+
+    doc, col = matrix([x.words for x in texts])
+    swaps = swaps_of(texts)
+    out, out_col = matrix([[w] for _, w, _ in swaps])
+    into, into_col = matrix([[w] for _, _, w in swaps])
+    # What a random feature of so many texts differs by has no scale; mentions of groups keep one, for the penalty to move.
+    pair = np.unique(doc * len(names) + col)
+    df = np.bincount(pair % len(names), minlength=len(names))
+    pos = np.bincount(pair % len(names), y[pair // len(names)], len(names))
+    a, b, mean = (pos + 0.5) / (y.sum() + 1), (df - pos + 0.5) / (n - y.sum() + 1), y.mean()
+    odds = np.log(a / (1 - a)) - np.log(b / (1 - b))
+    z = (pos - df * mean) / np.sqrt(np.maximum(df, 1) * mean * (1 - mean))
+    scale = np.where(df >= 3, odds * np.clip(np.abs(z) - 2, 0, None) / (np.abs(z) + 1e-9), 0.0)
+    terms = [names[w] for w in _TERMS if w in names]
+    scale[terms] = np.where(np.abs(scale[terms]) < 0.1, 1.0, scale[terms])
+    use = np.flatnonzero(scale)
+    index = np.full(len(names), -1)
+    index[use] = np.arange(len(use))
+    scale, m = scale[use], len(use)
+
+    def kept(row, col):
+        return row[index[col] >= 0], index[col[index[col] >= 0]]
+
+    (doc, col), (out, out_col), (into, into_col) = kept(doc, col), kept(out, out_col), kept(into, into_col)
+    w, bias, g1, g2, k = np.zeros(m), float(np.log(mean / (1 - mean))), np.zeros(m + 1), np.zeros(m + 1), len(swaps)
     for t in range(1, steps + 1):
-        zz = np.bincount(doc, (w * scale)[col], n) + bias
-        p = 1 / (1 + np.exp(-np.clip(zz, -50, 50)))
-        grad = np.bincount(col, (p - y)[doc], m) * scale / n + l2 * w / max(1, n) * 10
+        v = w * scale
+        p = 1 / (1 + np.exp(-np.clip(np.bincount(doc, v[col], n) + bias, -50, 50)))
+        grad = np.bincount(col, (p - y)[doc], m) * scale / n + l2 * w / n
         gb = (p - y).mean()
-        if len(swaps):
-            v = np.append(w * scale, 0.0)
-            who, out, into = swaps.T
-            q = 1 / (1 + np.exp(-np.clip(zz[who] - v[out] + v[into], -50, 50)))
-            d, sp, sq = p[who] - q, p[who] * (1 - p[who]), q * (1 - q)
-            gz = 2 * fairness * d / len(swaps)  # d/dz of the squared change
-            back = np.bincount(who, gz * (sp - sq), n)
-            grad += np.bincount(col, back[doc], m) * scale
-            move = np.bincount(out, gz * sq, m + 1)[:m] if len(out) else 0
-            into_ = np.where(into < 0, m, into)
-            grad += (move - np.bincount(into_, gz * sq, m + 1)[:m]) * scale
-            gb += back.sum()
+        if k and fairness:
+            change = np.bincount(out, v[out_col], k) - np.bincount(into, v[into_col], k)
+            d = 2 * fairness * change / k
+            grad += (np.bincount(out_col, d[out], m) - np.bincount(into_col, d[into], m)) * scale
         g = np.append(grad, gb)
         g1, g2 = 0.9 * g1 + 0.1 * g, 0.999 * g2 + 0.001 * g * g
         step = 0.1 * (g1 / (1 - 0.9**t)) / (np.sqrt(g2 / (1 - 0.999**t)) + 1e-8)
         w, bias = w - step[:m], bias - step[m]
-    weight = np.zeros(size, np.float32)
-    weight[use] = w * scale
-    return Model(weight, float(bias))
+    by_name = list(names)
+    found = {by_name[use[i]]: float(x) for i, x in enumerate(w * scale)}
+    return Model({f: x for f, x in found.items() if isinstance(f, bytes)}, {f: x for f, x in found.items() if isinstance(f, int)}, float(bias))
+
+
+def gap(model: Model, texts: list[Example]) -> float:
+    """The mean absolute change of the log-odds when a mention is swapped."""
+    change = [abs(model.logit(b" ".join(s)) - model.logit(b" ".join([*(w for w in s if w != out), into]))) for s, out, into in swaps_of(texts)]
+    return float(np.mean(change)) if change else 0.0
 
 
-def learn(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
-    """The model from at most ``rows`` rows of labels (doc_id, toxic) that aren't held out; the words of their texts come to the driver as numbers."""
+def examples(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> list[Example]:
+    """Labelled texts whose rows aren't held out: at most ``rows`` rows of labels (doc_id, toxic), and of documents that have these ids, by least hash."""
     some = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null and toxic is not null").where(~_held_out(F.col("doc_id"))).withColumn("o", F.xxhash64("doc_id")).orderBy("o", "toxic").limit(rows)
     texts = with_text_kind(docs).select("doc_id", "text").join(F.broadcast(some), "doc_id")  # at most ``rows`` short rows
 
-    def words(c):
-        key, off = _distinct(c)
-        yield {"o": c.rows.column(c.rows.schema.get_field_index("o")), "toxic": c.rows.column(c.rows.schema.get_field_index("toxic")), "w": pa.array([key[a:b].astype(np.int32).tobytes() for a, b in zip(off[:-1], off[1:], strict=True)], pa.binary())}
+    def read(c):
+        raw, get = c.data.tobytes(), lambda n: c.rows.column(c.rows.schema.get_field_index(n))
+        toxic = get("toxic").to_pylist()
+        got = [example(raw[a:b], t != 0) for a, b, t in zip(c.offs[:-1], c.offs[1:], toxic, strict=True)]
+        lines = lambda x: b"\n".join(b" ".join(s) for s in x)
+        yield {"o": get("o"), "toxic": get("toxic"), "words": pa.array([b" ".join(x.words) for x in got], pa.binary()), "mentions": pa.array([lines(x.mentions) for x in got], pa.binary()), "first": pa.array([b" ".join(x.first) for x in got], pa.binary())}
 
-    got = over_chunks(texts, words, "o long, toxic int, w binary").toPandas().sort_values(["o", "toxic", "w"])
-    keys = [np.frombuffer(w, np.int32).astype(np.int64) for w in got["w"]]
-    off = np.concatenate([[0], np.cumsum([len(k) for k in keys])]).astype(np.int64)
-    return fit(np.concatenate([np.zeros(0, np.int64), *keys]), off, (got["toxic"].to_numpy() != 0).astype(np.float64))
+    got = over_chunks(texts, read, "o long, toxic int, words binary, mentions binary, first binary").orderBy("o", "toxic", "words", "mentions", "first").limit(rows).toPandas()
+    return [Example(bool(r.toxic), r.words.split(), [s.split() for s in r.mentions.split(b"\n") if s], r.first.split()) for r in got.itertuples()]
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -149,10 +242,10 @@ def score_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     same, very long texts are read whole. Without labels every score is low and
     equal. An empty table gives an empty one; other columns are ignored.
     """
-    model = docs.sparkSession.sparkContext.broadcast(learn(docs, labels))
+    model = docs.sparkSession.sparkContext.broadcast(fit(examples(docs, labels)))
 
     def rows(c):
-        s = model.value.scores(*_distinct(c))
+        s = model.value.scores(c)
         yield {"doc_id": id_column(c), "held_out": c.rows.column(c.rows.schema.get_field_index("held_out")), "score": s, "predicted": (s >= 0.5).astype(np.int32)}
 
     docs = with_text_kind(docs).select("doc_id", "text", _held_out(F.col("doc_id")).alias("held_out"))
