@@ -125,9 +125,10 @@ GPL = """ * This program is free software: you can redistribute it and/or modify
 
 
 def test_op4_wrapped_texts():
-    from blockweave.llm.licences import identify, match
+    from blockweave.llm.licences import Book
 
-    want = [(MIT, ["MIT"]), (BSD, ["BSD-3-Clause"]), (GPL, ["GPL-3.0-or-later"])]
+    identify, match = lambda t: Book().identify(t)[0], Book().match
+    want = [(MIT, ["MIT"]), (BSD, ["BSD-3-Clause"]), (GPL, ["GPL-3.0-or-later"]), (GPL.replace("General", "Lesser General"), ["LGPL-3.0-or-later"])]
     for text, names in want:
         for t in (text, text.replace("\n", "\r\n"), "Some words. " + text + "more words\n"):
             assert match(identify(t)) == names
