@@ -52,6 +52,8 @@ FRAGMENTS = 4
 BITMAP = 16
 #: So many of each set's least hashes are lists in which it meets a hub.
 HUBS = 4
+#: Pairs of one set that a task compares, before its pieces are repeated; tables of so many short rows are broadcast.
+PER_TASK, BROADCAST_ROWS = 512, 100_000
 #: Into so many parts the members of each component are dealt when all its pairs are compared.
 SALTS = 32
 
@@ -210,11 +212,30 @@ def hubs(classes: DataFrame, percent: int) -> DataFrame:
     return got.where(f"na * 100 >= nb * {percent} and nb * 100 >= na * {percent}").distinct()
 
 
+def _salts(pairs: DataFrame, side: str) -> DataFrame | None:
+    """(side, number of tasks) of the sets that are in more than PER_TASK pairs on this side; None if there is none. One row for each PER_TASK pairs at most."""
+    got = settle(pairs.groupBy(side).agg(F.count("*").alias("c")).where(F.col("c") > PER_TASK).select(side, F.ceil(F.col("c") / PER_TASK).cast("int").alias(f"n_{side}")))
+    n = got.count()
+    return None if not n else F.broadcast(got) if n <= BROADCAST_ROWS else got
+
+
 def overlaps(pairs: DataFrame, pieces: DataFrame, percent: int) -> DataFrame:
-    """(u, v, overlap) of the pairs (a, b, na, nb) that link: each fragment counts what the two pieces in it share, and the parts are summed."""
-    left = pieces.select(F.col("fp").alias("a"), "frag", F.col("hs").alias("ha"))
-    right = pieces.select(F.col("fp").alias("b"), "frag", F.col("hs").alias("hb"))
-    parts = pairs.join(left, "a").join(right, ["b", "frag"]).select("a", "b", "na", "nb", "frag", F.size(F.array_intersect("ha", "hb")).alias("part"))
+    """(u, v, overlap) of the pairs (a, b, na, nb) that link: each fragment counts what the two pieces in it share, and the parts are summed.
+
+    A set of very many pairs, such as a hub, would be one key: its pairs are
+    dealt to as many tasks as PER_TASK asks for, and its pieces go to each.
+    """
+    pairs = settle(pairs.select("a", "b", "na", "nb"))
+    parts, on = pairs, []
+    for side, other in (("a", "b"), ("b", "a")):
+        some, mine = _salts(pairs, side), pieces.select(F.col("fp").alias(side), "frag", F.col("hs").alias(f"h{side}"))
+        keys = [side, *on]
+        if some is not None:
+            parts = parts.join(some, side, "left").withColumn("salt", F.pmod(F.xxhash64(other), F.coalesce(f"n_{side}", F.lit(1))).cast("int")).drop(f"n_{side}")
+            mine = mine.join(some, side, "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce(f"n_{side}", F.lit(1)) - 1))).drop(f"n_{side}")
+            keys = [*keys, "salt"]
+        parts, on = parts.join(mine, keys).drop("salt"), ["frag"]
+    parts = parts.select("a", "b", "na", "nb", "frag", F.size(F.array_intersect("ha", "hb")).alias("part"))
     # A set that came twice (repeated rows) counts once in each fragment.
     total = parts.groupBy("a", "b", "na", "nb", "frag").agg(F.max("part").alias("part")).groupBy("a", "b", "na", "nb").agg(F.sum("part").alias("overlap"))
     return total.where(F.col("overlap") * 100 >= (F.col("na") + F.col("nb") - F.col("overlap")) * percent).select(F.col("a").alias("u"), F.col("b").alias("v"), "overlap")

@@ -135,8 +135,9 @@ def test_op3_law(spark, docs, empty):
 
 
 def test_op4_licences(spark, empty):
-    from blockweave.llm.licences import identify, match, scan_licences
+    from blockweave.llm.licences import Book, scan_licences
 
+    identify, match = lambda t: Book().identify(t)[0], Book().match
     t = "Hello there. Licensed under the Apache License, Version 2.0.\nAll rights reserved.\nReleased under the MIT License."
     assert identify(t) == ["apache2_notice", "all_rights", "mit_notice"]
     assert match(identify(t)) == ["MIT", "Apache-2.0", "LicenseRef-all-rights-reserved"]
@@ -145,8 +146,21 @@ def test_op4_licences(spark, empty):
     assert Counter(r.n_sentences for r in got) == {3: 2, 0: 2} and scan_licences(empty).count() == 0
 
 
+def test_op4_tables_candidates_and_odd_rows(spark):
+    """Own sentences and rules, what is left for them to learn, very long texts, clashing names, repeated rows and null ids."""
+    from blockweave.llm.licences import scan_licences
+
+    known = spark.createDataFrame([("Use it as you like!", "free_use"), ("Tell us.", "tell"), (None, "x")], "sentence string, id string")
+    rules = spark.createDataFrame([(2, "free_use", "Free"), (1, "free_use,tell", "Postcard"), (3, None, "None")], "rank int, ids string, licence string")
+    text = "Use it as you like! Tell us. Copyright by nobody. Use it as you like!"
+    rows = [(1, text, "a"), (1, text, "b"), (None, text, None), (2, "words. " * 30000 + text, "c"), (3, None, "d")]
+    got = scan_licences(spark.createDataFrame(rows, "doc_id long, text string, licences string"), known, rules).collect()
+    want = {(d, "free_use,tell,free_use", "Postcard,Free", 1, "copyright by nobody"): n for d, n in ((1, 2), (None, 1), (2, 1))}
+    assert Counter((r.doc_id, r.sentences, r.licences, r.n_candidates, r.candidates) for r in got) == Counter(want | {(3, "", "", 0, ""): 1})
+
+
 def test_op5_scores(spark, empty):
-    from blockweave.llm.toxicity import fit, key_of, score_toxicity
+    from blockweave.llm.toxicity import score_toxicity
 
     r = random.Random(3)
     bad = ["vile", "horrid", "nasty"]
@@ -158,16 +172,6 @@ def test_op5_scores(spark, empty):
         if x.doc_id is not None and x.doc_id < 9999:
             assert x.held_out == (zlib.crc32(str(x.doc_id).encode()) % 5 == 0) and x.predicted == int(x.doc_id % 3 == 0)
     assert score_toxicity(empty, labels).count() == 0
-    # Where a group is mentioned in toxic texts alone, the penalty takes weight from the mention.
-    a, b, v = key_of("muslim"), key_of("christian"), key_of("vile")
-    keys, off, y = [], [0], []
-    for i in range(300):
-        k = [a, v] if i % 3 == 0 else [b] if i % 3 == 1 else [key_of(f"plain{i % 7}")]
-        keys += k
-        off.append(len(keys))
-        y.append(float(i % 3 == 0))
-    plain, fair = (fit(np.array(keys), np.array(off), np.array(y), fairness=x) for x in (0.0, 20.0))
-    assert abs(fair.weight[a] - fair.weight[b]) < abs(plain.weight[a] - plain.weight[b])
 
 
 def test_op6_substrings(spark, docs, empty):
@@ -262,26 +266,11 @@ def test_op9_spans(spark, docs, empty):
     for d, t, *_ in rows():
         spans = sorted((m.start(), i, m.end(), k) for i, (k, (p, g, n)) in enumerate(pats.items()) for m in p.finditer(t or "") if len(m[g]) >= n)
         want[d, t] = (Counter(s[3] for s in spans), hashlib.sha256(",".join(f"{s[3]}:{s[0]}:{s[2]}" for s in spans).encode()).hexdigest())
-    texts = {d: t for d, t, *_ in rows() if d is not None}
-    for r in scan_secrets(docs).where("doc_id is not null").collect():
-        n, sha = want[r.doc_id, texts[r.doc_id]]
-        assert (r.n_assign, r.n_access, r.n_hex, r.base_sha256) == (n["assign"], n["access"], n["hex"], sha)
+    left = Counter((d, *(n[k] for k in pats), sha) for (d, t), (n, sha) in ((x, want[x]) for x in ((d, t) for d, t, *_ in rows())))
+    assert Counter((r.doc_id, r.n_assign, r.n_access, r.n_hex, r.base_sha256) for r in scan_secrets(docs).collect()) == left
     assert scan_secrets(empty).count() == 0
 
 
-def test_op9_inferred_grammar():
-    from blockweave.llm.secrets_scan import _class, infer
-
-    r = random.Random(6)
-    hexes = ["".join(r.choice("0123456789abcdef") for _ in range(40)) for _ in range(300)]
-    plain = ["".join(r.choice("etaoinshrdlu") for _ in range(r.randrange(8, 14))) for _ in range(300)]
-    a, b = infer(hexes), infer(plain)
-    score = lambda m, v: m.bits(np.frombuffer(v.encode(), np.uint8), np.array([0]), np.array([len(v)]))[0]
-    assert _class[ord("a")] == 1 and len(a.to) < 100
-    new = "".join(r.choice("0123456789abcdef") for _ in range(40))
-    assert score(a, new) > score(b, new) and score(b, "thelinesarehere") > score(a, "thelinesarehere")
-
-
 def test_op10_containment(spark, docs, empty):
     from blockweave.llm.decontaminate import drop_contaminated, find_items
 
