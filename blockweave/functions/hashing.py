@@ -78,6 +78,17 @@ def sha(data: Column) -> Column:
     return F.sha2(data, 256)
 
 
+def zero_digest(size: Column | int) -> Column:
+    """The digest of so many zero bytes: a zero block is known by it, and needs no payload."""
+    return sha(F.unhex(F.repeat(F.lit("00"), F.lit(size) if isinstance(size, int) else size)))
+
+
+def stream_digest(rows, by: list[str], order: str = "seq"):
+    """(by, digest, n_sent) of what is sent of each volume: SHA-256 over the digests of its blocks with a payload, in order."""
+    parts = F.array_sort(F.collect_list(F.struct(order, "digest")))
+    return rows.where("kind = 'data'").groupBy(*by).agg(sha(F.concat_ws("", F.transform(parts, lambda p: p["digest"]))).alias("digest"), F.count("*").alias("n_sent"))
+
+
 def sampled_digest(data: Column, size: int = 1 << 20) -> Column:
     """Of long volumes the first and last ``size`` bytes; of others the first ``size``."""
     n = F.octet_length(data)

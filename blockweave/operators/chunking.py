@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import random
+from bisect import bisect_left
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: 256 words of 64 bits, drawn by a fixed seed.
 GEAR_SEED = 1
@@ -21,9 +23,49 @@ def blocks(vol: DataFrame, size: int) -> DataFrame:
     return out.withColumn("length", F.octet_length("data"))
 
 
-def is_zero(data, length):
-    """All bytes are 0; true of no bytes."""
-    return data == F.unhex(F.repeat(F.lit("00"), length))
+def blocks_of_parts(parts: DataFrame, size: int) -> DataFrame:
+    """(volume_id, seq, offset, length, data) of volumes that come in parts (volume_id, start, data): as large as they like, where one cell holds 2 GiB at most, and a part is cut by one task. Parts but the last are whole numbers of blocks; a part that begins elsewhere is an error."""
+    at = F.when(F.col("start") % size != 0, F.raise_error(F.lit("a part must begin where a block does")).cast("long")).otherwise(F.col("start"))
+    cut = blocks(parts.select("volume_id", at.cast("long").alias("start"), "data"), size)
+    return cut.select("volume_id", (F.floor(F.col("start") / size) + F.col("seq")).alias("seq"), (F.col("start") + F.col("offset")).alias("offset"), "length", "data")
+
+
+def is_zero(data):
+    """All bytes are 0; true of no bytes. A text without any other character is all that trimming zeros leaves nothing of, so nothing is built to compare with."""
+    return F.octet_length(F.btrim(data, F.lit(b"\x00"))) == 0
+
+
+def holes(blocks: DataFrame, extents: DataFrame, width: int) -> DataFrame:
+    """blocks (volume_id, offset, length) with ``hole``: whether no extent of data (volume_id, start, end) reaches into them, so that they need not be read. An equi-join by buckets of offsets, not a nested loop."""
+    touched = lambda a, z: F.explode(F.sequence(F.floor(a / width), F.floor((z - 1) / width)))
+    b = blocks.where("length > 0").select("volume_id", "offset", "length", touched(F.col("offset"), F.col("offset") + F.col("length")).alias("at_"))
+    e = extents.where(F.col("end") > F.col("start")).select("volume_id", F.col("start").alias("s_"), F.col("end").alias("e_"), touched(F.col("start"), F.col("end")).alias("at_"))
+    hit = b.join(e, ["volume_id", "at_"]).where("offset < e_ and offset + length > s_").select("volume_id", "offset").distinct().withColumn("data_", F.lit(True))
+    return blocks.join(hit, ["volume_id", "offset"], "left").withColumn("hole", F.col("data_").isNull()).drop("data_")
+
+
+def read_exact(vol: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
+    """(volume_id, offset, data, problem) of wanted offsets (volume_id, offset) with ``size`` bytes each. problem: "bounds" for an offset below 0, or one that with the block passes 2**63 - 1; "short" where the volume has fewer bytes there; such a read has no data. A tail is short here, unlike in ``blocks``."""
+    got = wanted.join(vol.select("volume_id", "data"), "volume_id", "left")
+    bounds = (F.col("offset") < 0) | (F.col("offset") > (1 << 63) - 1 - size)
+    short = F.coalesce(F.octet_length("data"), F.lit(0)) < F.col("offset") + size
+    problem = F.when(bounds, "bounds").when(short, "short")
+    data = F.when(problem.isNull(), F.substr("data", (F.col("offset") + 1).cast("int"), F.lit(size)))
+    return got.select("volume_id", "offset", data.alias("data"), problem.alias("problem"))
+
+
+def unconfirmed(blocks: DataFrame, done: DataFrame, size: int) -> DataFrame:
+    """blocks (volume_id, seq, length) that a bitmap of confirmed ones (volume_id, seq) lacks, with problem "short" for a tail of fewer than ``size`` bytes.
+
+    The bitmap is built by Spark's bitmap aggregates, a word of 32768 blocks at a
+    time, so what is joined are words and not blocks.
+    """
+    words = done.groupBy("volume_id", F.bitmap_bucket_number("seq").alias("word_")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("seq")).alias("bits_"))
+    got = blocks.withColumns({"word_": F.bitmap_bucket_number("seq"), "at_": F.bitmap_bit_position("seq").cast("int")}).join(words, ["volume_id", "word_"], "left")
+    byte = F.conv(F.hex(F.substr("bits_", F.floor(F.col("at_") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    bit = F.coalesce(F.floor(byte / F.pow(F.lit(2), F.col("at_") % 8)) % 2, F.lit(0))
+    out = got.where(bit == 0).drop("word_", "at_", "bits_")
+    return out.withColumn("problem", F.when(F.col("length") != size, "short"))
 
 
 def gear(seed: int = 0) -> np.ndarray:
@@ -60,24 +102,29 @@ class Cutter:
         h = g.copy()
         for j in range(1, self.width):
             h[j:] += g[:-j] << np.uint64(j) if j < size else 0
-        maybe = np.flatnonzero((h & self.normal) == 0)
+        found = np.flatnonzero((h & self.normal) == 0)
+        maybe, sure = found.tolist(), ((h[found] & self.wide) == 0).tolist()
+        shifts = np.arange(1, self.width, dtype=np.uint64)
         while at < size:
             first, stop = at + self.low, min(size, at + self.high)
             if first >= size:
                 out.append(size)
                 break
             end = None
-            # The hash starts anew after the least size, so its first values lack earlier bytes.
-            near = np.uint64(0)
-            for p in range(first, min(stop, first + self.width - 1)):
-                near = np.uint64((int(near) * 2 + int(g[p])) & 0xFFFFFFFFFFFFFFFF)
-                if near & self.normal == 0 and (near & self.wide == 0 or self._rich(data, p + 1)):
-                    end = p + 1
+            # The hash starts anew after the least size: what earlier bytes add to the first values is taken off.
+            last = min(stop, first + self.width - 1)
+            near = h[first:last] - (h[first - 1] << shifts[: last - first])
+            for i in np.flatnonzero((near & self.normal) == 0).tolist():
+                if near[i] & self.wide == 0 or self._rich(data, first + i + 1):
+                    end = first + i + 1
                     break
             if end is None:
-                for p in maybe[np.searchsorted(maybe, first + self.width - 1) : np.searchsorted(maybe, stop)]:
-                    if h[p] & self.wide == 0 or self._rich(data, p + 1):
-                        end = int(p) + 1
+                for k in range(bisect_left(maybe, last), len(maybe)):
+                    p = maybe[k]
+                    if p >= stop:
+                        break
+                    if sure[k] or self._rich(data, p + 1):
+                        end = p + 1
                         break
             at = end or stop
             out.append(at)
@@ -92,32 +139,42 @@ def spread(vol: DataFrame, key: str = "volume_id") -> DataFrame:
 
 def cdc_chunks(vol: DataFrame, low: int, avg: int, high: int, seed: int = 0, key: str = "volume_id") -> DataFrame:
     """(key, seq, offset, length, data) of content-defined chunks. One volume is cut by one task: a cut depends on the one before."""
-    return _cut(spread(vol.select(key, "data"), key), low, avg, high, seed, key)
+    return _cut(spread(vol.select(key, "data"), key), low, avg, high, seed, [key])
 
 
-def _cut(vol: DataFrame, low: int, avg: int, high: int, seed: int, key: str) -> DataFrame:
-    schema = f"{key} long, seq long, offset long, length int, data binary"
+def _cut(vol: DataFrame, low: int, avg: int, high: int, seed: int, keys: list[str]) -> DataFrame:
+    rows = vol.select(*keys, "data")
+    schema = T.StructType([*rows.schema.fields[:-1], *T.StructType.fromDDL("seq long, offset long, length int, data binary").fields])
+    names = schema.names
 
     def run(batches):
         cutter = Cutter(low, avg, high, seed)
         for b in batches:
             for i in range(b.num_rows):
-                raw = b.column(1)[i].as_buffer()
+                raw = b.column(len(keys))[i].as_buffer()
                 data = np.frombuffer(raw, np.uint8) if raw is not None else np.zeros(0, np.uint8)
                 ends = cutter.cuts(data)
                 starts = [0, *ends[:-1]]
                 for lo in range(0, len(ends), 4096):
-                    part = list(zip(starts[lo : lo + 4096], ends[lo : lo + 4096], strict=True))
-                    yield pa.RecordBatch.from_arrays([pa.array([b.column(0)[i].as_py()] * len(part), pa.int64()), pa.array(range(lo, lo + len(part)), pa.int64()), pa.array([s for s, _ in part], pa.int64()), pa.array([e - s for s, e in part], pa.int32()), pa.array([data[s:e].tobytes() for s, e in part], pa.binary())], [key, "seq", "offset", "length", "data"])
+                    s, e = starts[lo : lo + 4096], ends[lo : lo + 4096]
+                    own = [b.column(k).take(pa.array([i] * len(s))) for k in range(len(keys))]
+                    yield pa.RecordBatch.from_arrays([*own, pa.array(range(lo, lo + len(s)), pa.int64()), pa.array(s, pa.int64()), pa.array([y - x for x, y in zip(s, e, strict=True)], pa.int32()), pa.array([data[x:y].tobytes() for x, y in zip(s, e, strict=True)], pa.binary())], names)
 
-    return vol.select(F.col(key).cast("long"), "data").mapInArrow(run, schema)
+    return rows.mapInArrow(run, schema)
 
 
 def hybrid_chunks(vol: DataFrame, block: int, low: int, avg: int, high: int) -> DataFrame:
-    """Content-defined chunks inside each fixed block: blocks are cut in parallel. (volume_id, block, seq, offset, length, data)."""
-    cut = blocks(spread(vol.select("volume_id", "data")), block).select((F.col("volume_id") * (1 << 24) + F.col("seq")).alias("at"), "data")
-    return _cut(cut, low, avg, high, 0, "at").select(F.floor(F.col("at") / (1 << 24)).cast("long").alias("volume_id"), (F.col("at") % (1 << 24)).alias("block"), "seq", ((F.col("at") % (1 << 24)) * block + F.col("offset")).alias("offset"), "length", "data")
+    """Content-defined chunks inside each fixed block: blocks are cut in parallel. (volume_id, block, seq, offset, length, data); a volume_id of any value or type."""
+    cut = blocks(spread(vol.select("volume_id", "data")), block).select("volume_id", F.col("seq").alias("block"), "data")
+    return _cut(cut, low, avg, high, 0, ["volume_id", "block"]).select("volume_id", "block", "seq", (F.col("block") * block + F.col("offset")).alias("offset"), "length", "data")
+
+
+def dedup_refs(chunks: DataFrame) -> DataFrame:
+    """(volume_id, offset, length, ref_volume, ref_offset): chunks (volume_id, offset, length, digest) whose content came before, and where it stands first."""
+    first = chunks.groupBy("digest").agg(F.min(F.struct("volume_id", "offset")).alias("first"))
+    return chunks.join(first, "digest").where(F.col("first") < F.struct("volume_id", "offset")).select("volume_id", "offset", "length", F.col("first.volume_id").alias("ref_volume"), F.col("first.offset").alias("ref_offset"))
 
 
 def size_distribution(chunks: DataFrame, avg: int) -> DataFrame:
+    """One row: how many chunks, their mean and median length, and how many are shorter and longer than the aim."""
     return chunks.agg(F.count("*").alias("n_chunks"), F.avg("length").alias("mean_length"), F.count_if(F.col("length") < avg).alias("n_below"), F.count_if(F.col("length") > avg).alias("n_above"), F.expr("percentile(length, 0.5)").alias("median_length"))

@@ -13,7 +13,8 @@ from ..functions.scalars import has_option
 # What identifies a device, and what the kernel may number anew.
 STABLE = ("size_bytes", "kernel_uuid", "gpt_uuid", "mbr_signature", "fs_uuid", "partition_hash", "manifest_epoch")
 NUMBERED = ("major", "minor")
-# What settings may be.
+# Names of codecs, and what settings may be.
+CODECS = ("auto", "none", "lz4", "zstd")
 CHOICES = {"mode": ("default", "throughput"), "source_type": ("", "auto", "file", "raw", "lvm"), "dest_type": ("", "auto", "file", "raw", "lvm"), "output": ("", "text", "json", "yaml"), "sparse": ("", "auto", "never")}
 
 
@@ -32,15 +33,33 @@ def identity_failure(a: Column, b: Column, overwrite: Column) -> Column:
 
 
 def config_failure(c: Column) -> Column:
-    """The first rule that a struct of settings breaks; null if it holds."""
+    """The first rule that a struct of settings breaks; null if it holds.
+
+    In order: mode, source_type, dest_type, output, sparse; freeze and thaw
+    commands (both or neither, each with a word, and their timeouts above 0);
+    offline for raw devices without these commands; keepalive above 0;
+    tcp_parallel from 1 to 4; tcp_lowat not below 0; sizes of chunks above 0 and
+    in order; names of codecs, levels and threshold of compression.
+    """
+    text = lambda f: F.trim(F.coalesce(c[f], F.lit("")))
     out = None
     for name, some in CHOICES.items():
         bad = ~F.coalesce(c[name], F.lit("")).isin(*some)
         out = F.when(bad, F.lit(name)) if out is None else out.when(bad, F.lit(name))
-    out = out.when(((c["source_type"] == "raw") | (c["dest_type"] == "raw")) & ~c["offline"], F.lit("offline"))
-    out = out.when(~c["tcp_parallel"].between(1, 4), F.lit("tcp_parallel"))
+    freeze, thaw = (F.coalesce(c[f], F.lit("")) for f in ("freeze_command", "thaw_command"))
+    frozen = (freeze != "") | (thaw != "")
+    out = out.when(frozen & ((freeze == "") | (thaw == "")), F.lit("freeze_pair"))
+    out = out.when(frozen & (text("freeze_command") == ""), F.lit("freeze_command")).when(frozen & (text("thaw_command") == ""), F.lit("thaw_command"))
+    out = out.when(frozen & (c["freeze_timeout"] <= 0), F.lit("freeze_timeout")).when(frozen & (c["thaw_timeout"] <= 0), F.lit("thaw_timeout"))
+    out = out.when(((c["source_type"] == "raw") | (c["dest_type"] == "raw")) & ~c["offline"] & ~frozen, F.lit("offline"))
+    out = out.when(c["keepalive"] <= 0, F.lit("keepalive")).when(~c["tcp_parallel"].between(1, 4), F.lit("tcp_parallel")).when(c["tcp_lowat"] < 0, F.lit("tcp_lowat"))
     out = out.when(F.least(c["cdc_min"], c["cdc_avg"], c["cdc_max"]) <= 0, F.lit("cdc_sizes"))
-    return out.when((c["cdc_min"] > c["cdc_avg"]) | (c["cdc_avg"] > c["cdc_max"]), F.lit("cdc_order"))
+    out = out.when((c["cdc_min"] > c["cdc_avg"]) | (c["cdc_avg"] > c["cdc_max"]), F.lit("cdc_order"))
+    known = lambda x: F.lower(F.trim(x)).isin("", *CODECS)
+    out = out.when(~F.forall(F.split(text("compress"), ","), known), F.lit("compress"))
+    out = out.when((c["zstd_level"] != 0) & ~c["zstd_level"].between(1, 5), F.lit("zstd_level"))
+    out = out.when(~F.lower(F.coalesce(c["lz4_level"], F.lit(""))).isin("", "fast", "hc"), F.lit("lz4_level"))
+    return out.when((c["threshold"] <= 0) | (c["threshold"] > 1), F.lit("threshold"))
 
 
 def ancestors(path: Column) -> Column:

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 
@@ -15,7 +17,10 @@ def change_ranges(log: DataFrame, chunk: int) -> DataFrame:
 
 
 def total_bytes(ranges: DataFrame, by: list[str]) -> DataFrame:
-    return ranges.where(F.col("end") > F.col("start")).groupBy(*by).agg(F.sum(F.col("end") - F.col("start")).cast("long").alias("total"))
+    """Bytes of all ranges that aren't inverted, held at 2**63 - 1."""
+    size = (F.col("end").cast("decimal(20,0)") - F.col("start").cast("decimal(20,0)")).cast("decimal(21,0)")
+    total = F.least(F.sum(size), F.lit(2**63 - 1).cast("decimal(31,0)"))
+    return ranges.where(F.col("end") > F.col("start")).groupBy(*by).agg(total.cast("long").alias("total"))
 
 
 def coalesce_runs(frames: DataFrame, by: list[str], order: str, start: str = "offset", length: str = "length", keep: Column | None = None) -> DataFrame:
@@ -54,6 +59,26 @@ def resume_from(ranges: DataFrame, offset: int) -> DataFrame:
 
 
 def sync_groups(frames: DataFrame, by: list[str], order: str, every: int) -> DataFrame:
-    """frames with the number of the sync that covers each: one for each so many bytes."""
-    w = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    return frames.withColumn("sync", F.floor((F.sum("length").over(w) - 1) / every).cast("long"))
+    """(by, order, length, sync): the number of the sync that covers each frame. A sync comes after the frame with which so many bytes are written since the last one, and counting starts anew: a fold in order, in one task for each volume, over its slim frames alone."""
+    slim = frames.select(*by, order, F.col("length").cast("long").alias("length"))
+
+    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf, held, number, out = pdf.sort_values(order), 0, 0, []
+        for n in pdf["length"].tolist():
+            held += n
+            out.append(number)
+            if held >= every:
+                held, number = 0, number + 1
+        return pdf.assign(sync=out)
+
+    return slim.groupBy(*by).applyInPandas(walk, T.StructType([*slim.schema.fields, T.StructField("sync", T.LongType())]))
+
+
+def resolve(volumes: DataFrame, logged: DataFrame, size: int) -> DataFrame:
+    """(volume_id, seq, start, end): the blocks to look at: those of a volume's change log (volume_id, start, end) where it has one, else all of it (volume_id, size), cut at ``size``."""
+    whole = volumes.join(logged.select("volume_id").distinct(), "volume_id", "left_anti").select("volume_id", F.lit(0).cast("long").alias("start"), F.col("size").cast("long").alias("end"))
+    got = logged.select("volume_id", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end")).union(whole).where(F.col("end") > F.col("start"))
+    n = F.ceil((F.col("end") - F.col("start")) / size)
+    cut = got.select("volume_id", F.col("start").alias("s"), F.col("end").alias("e"), F.explode(F.filter(F.sequence(F.lit(0).cast("long"), n), lambda x: x < n)).alias("i"))
+    at = F.col("s") + F.col("i") * size
+    return cut.select("volume_id", F.col("i").alias("seq"), at.alias("start"), F.least(F.col("e"), at + size).alias("end"))

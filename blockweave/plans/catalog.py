@@ -12,6 +12,7 @@ from ..functions import scalars as S
 from ..operators import chunking as C
 from ..operators import delta as D
 from ..operators import identity as I
+from ..operators import lifecycle as L
 from ..operators import manifest as M
 from ..operators import ranges as R
 from ..operators import state as T
@@ -132,12 +133,11 @@ def verify_volumes(spark, d):
     return a.join(b, "volume_id").select(F.col("volume_id").alias("doc_id"), (F.col("x") == F.col("y")).alias("same"))
 
 
-@query(f"WITH {_BLOCKS} SELECT volume_id, seq FROM m WHERE (volume_id * 7 + seq) % 5 <> 0")
+@query(f"WITH {_BLOCKS} SELECT volume_id, seq, CASE WHEN length < {B} THEN 'short' END AS problem FROM m WHERE (volume_id * 7 + seq) % 5 <> 0")
 def bitmap_skip(spark, d):
     """Blocks that aren't confirmed yet."""
     m = M.build(docs(spark, d), B)
-    done = m.where("(volume_id * 7 + seq) % 5 = 0")
-    return M.changed(m, done, ["volume_id", "seq"]).select("volume_id", "seq")
+    return C.unconfirmed(m, m.where("(volume_id * 7 + seq) % 5 = 0"), B).select("volume_id", "seq", "problem")
 
 
 # -- ranges ----------------------------------------------------------------------------------------
@@ -196,9 +196,17 @@ def resume_offset(spark, d):
     return R.resume_from(r, 12050)
 
 
-@query(f"WITH {_BLOCKS} SELECT volume_id, seq, CAST(floor((sum(length) OVER (PARTITION BY volume_id ORDER BY seq) - 1) / 4096.0) AS BIGINT) AS sync FROM m")
+@query(
+    f"""WITH RECURSIVE {_BLOCKS},
+    f AS MATERIALIZED (SELECT volume_id, seq, CAST(length AS BIGINT) AS length FROM m),
+    w AS (SELECT volume_id, seq, length AS held, CAST(0 AS BIGINT) AS sync FROM f WHERE seq = 0
+          UNION ALL
+          SELECT f.volume_id, f.seq, CASE WHEN held >= 2500 THEN 0 ELSE held END + f.length, sync + CASE WHEN held >= 2500 THEN 1 ELSE 0 END
+          FROM w JOIN f ON f.volume_id = w.volume_id AND f.seq = w.seq + 1)
+    SELECT volume_id, seq, sync FROM w"""
+)
 def sync_groups(spark, d):
-    return R.sync_groups(M.build(docs(spark, d), B), ["volume_id"], "seq", 4096).select("volume_id", "seq", "sync")
+    return R.sync_groups(M.build(docs(spark, d), B), ["volume_id"], "seq", 2500).select("volume_id", "seq", "sync")
 
 
 # -- deltas ----------------------------------------------------------------------------------------
@@ -273,9 +281,7 @@ def hybrid_chunks(spark, d):
 @query()
 def cdc_dedup_refs(spark, d):
     """Chunks whose content came before, with where it stands."""
-    c = C.cdc_chunks(docs(spark, d), 256, 1024, 4096).select("volume_id", "offset", "length", H.sha("data").alias("digest"))
-    first = c.groupBy("digest").agg(F.min(F.struct("volume_id", "offset")).alias("first"))
-    return c.join(first, "digest").where(F.col("first") < F.struct("volume_id", "offset")).select("volume_id", "offset", "length", F.col("first.volume_id").alias("ref_volume"), F.col("first.offset").alias("ref_offset"))
+    return C.dedup_refs(C.cdc_chunks(docs(spark, d), 256, 1024, 4096).select("volume_id", "offset", "length", H.sha("data").alias("digest")))
 
 
 # -- hashes, codecs --------------------------------------------------------------------------------
@@ -289,7 +295,7 @@ def xxh3(spark, d):
     return M.blocks(docs(spark, d), B).select("volume_id", "seq", H.xxh3_64("data").alias("xxh3"))
 
 
-@query("SELECT doc_id, round(entropy, 6) AS entropy FROM (SELECT doc_id, -sum(n / t * log2(n / t)) AS entropy FROM (SELECT doc_id, u, count(*) AS n, sum(count(*)) OVER (PARTITION BY doc_id) AS t FROM (SELECT doc_id, h[2 * x + 1:2 * x + 2] AS u FROM (SELECT doc_id, hex(encode(text)) AS h FROM documents), range(0, CAST(length(h) / 2 AS BIGINT)) AS r(x)) GROUP BY doc_id, u) GROUP BY doc_id)")
+@query("SELECT doc_id, round(coalesce(entropy(u), 0), 6) AS entropy FROM (SELECT doc_id, unnest(regexp_extract_all(hex(encode(text)), '..')) AS u FROM documents) GROUP BY doc_id")
 def byte_entropy(spark, d):
     return docs(spark, d).select(F.col("volume_id").alias("doc_id"), F.round(H.entropy("data"), 6).alias("entropy"))
 
@@ -329,7 +335,7 @@ def lru_ttl(spark, d):
 @query("WITH RECURSIVE m AS MATERIALIZED (SELECT doc_id AS volume_id, CAST(x AS BIGINT) AS seq, sha256(array_slice(encode(text), x * 64 + 1, x * 64 + 64)) AS digest FROM documents, range(0, CAST(ceil(octet_length(encode(text)) / 64.0) AS BIGINT)) AS r(x)), w AS (SELECT volume_id, seq, [digest] AS seen, false AS hit FROM m WHERE seq = 0 UNION ALL SELECT m.volume_id, m.seq, CASE WHEN list_contains(w.seen, m.digest) THEN w.seen ELSE list_append(w.seen, m.digest)[-16:] END, list_contains(w.seen, m.digest) FROM w JOIN m ON m.volume_id = w.volume_id AND m.seq = w.seq + 1) SELECT volume_id, seq, hit FROM w")
 def fifo_intra_dedup(spark, d):
     m = M.build(docs(spark, d), 64)
-    return T.fifo_dedup(m, "volume_id", "seq", 16)
+    return T.fifo_dedup(m, "volume_id", "seq", 16).drop("at")
 
 
 @query('WITH RECURSIVE e AS MATERIALIZED (SELECT user_id, "at", amount, row_number() OVER (PARTITION BY user_id ORDER BY "at", amount) AS n FROM (SELECT user_id, CAST(epoch_us(ts) AS DOUBLE) AS "at", abs(value) AS amount FROM events)), w AS (SELECT user_id, "at", amount, n, greatest(0.0::DOUBLE, 50.0::DOUBLE - amount) AS level, "at" + greatest(0.0::DOUBLE, amount - 50.0::DOUBLE) / 0.001::DOUBLE AS done FROM e WHERE n = 1 UNION ALL SELECT user_id, "at", amount, n, greatest(0.0::DOUBLE, level - amount), start + greatest(0.0::DOUBLE, amount - level) / 0.001::DOUBLE FROM (SELECT e.*, greatest(e."at", w.done) AS start, least(50.0::DOUBLE, w.level + (greatest(e."at", w.done) - w.done) * 0.001::DOUBLE) AS level FROM w JOIN e ON e.user_id = w.user_id AND e.n = w.n + 1)) SELECT user_id, "at", amount, done - "at" AS wait FROM w')
@@ -338,15 +344,15 @@ def token_bucket(spark, d):
     return T.token_bucket(e, "user_id", "at", "amount", 0.001, 50.0)
 
 
-@query("WITH x AS (SELECT conv_id, turn, length(text) AS length, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n, sum(length(text)) OVER (PARTITION BY conv_id ORDER BY turn) AS s, sum(length(text)) OVER (PARTITION BY conv_id) AS t FROM conversations) SELECT conv_id, turn, round(100.0 * s / t, 6) AS percent FROM x WHERE n % 2 = 0")
+@query("WITH x AS (SELECT conv_id, turn, length(text) AS length, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n, sum(length(text)) OVER (PARTITION BY conv_id ORDER BY turn) AS s, sum(length(text)) OVER (PARTITION BY conv_id) AS t FROM conversations) SELECT conv_id, turn, CAST(s AS BIGINT) AS done_bytes, round(100.0 * s / t, 6) AS percent FROM x WHERE n % 2 = 0")
 def progress(spark, d):
     c = table(spark, d, "conversations").select("conv_id", "turn", F.length("text").alias("length"))
     return T.progress(c, ["conv_id"], "turn", 2).withColumn("percent", F.round("percent", 6))
 
 
-@query("SELECT o_orderkey, CAST(floor(o_orderkey / 16) AS BIGINT) AS wave FROM orders")
-def work_queue(spark, d):
-    return T.work_queue(table(spark, d, "orders").select("o_orderkey"), "o_orderkey", 1 << 20, 1 << 16)
+@query("SELECT o_orderkey, (row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1) // 4 AS wave FROM orders")
+def work_waves(spark, d):
+    return T.work_waves(table(spark, d, "orders"), ["o_custkey"], "o_orderkey", 1 << 18, 1 << 16).select("o_orderkey", "wave")
 
 
 @query("SELECT event_type, count(*) AS n FROM events WHERE value >= 50 GROUP BY event_type")
@@ -359,12 +365,11 @@ def stream_replay(spark, d):
     return replay(spark, d, "events.parquet", "user_id", "event_id", scratch(spark)).select("user_id", "event_id")
 
 
-@query("SELECT count(*) AS n_lookups, count(*) FILTER (WHERE hit) AS n_hits FROM (SELECT digest IN (SELECT sha256(text) FROM documents WHERE doc_id % 2 = 0) AS hit FROM (SELECT sha256(text) AS digest FROM documents WHERE doc_id % 2 = 1))")
+@query("SELECT *, n_hits / n_lookups AS hit_rate FROM (SELECT count(*) AS n_lookups, count(*) FILTER (WHERE hit) AS n_hits FROM (SELECT digest IN (SELECT sha256(text) FROM documents WHERE doc_id % 2 = 0) AS hit FROM (SELECT sha256(text) AS digest FROM documents WHERE doc_id % 2 = 1)))")
 def lookup_stats(spark, d):
     """Hits of an exact set instead of a Bloom filter."""
     t = docs(spark, d).select("volume_id", H.sha("data").alias("digest"))
-    known = t.where("volume_id % 2 = 0").select("digest").distinct().withColumn("hit", F.lit(True))
-    return t.where("volume_id % 2 = 1").join(known, "digest", "left").agg(F.count("*").alias("n_lookups"), F.count_if("hit").alias("n_hits"))
+    return M.lookup_stats(t.where("volume_id % 2 = 1"), t.where("volume_id % 2 = 0"))
 
 
 # -- scalars ---------------------------------------------------------------------------------------
@@ -432,16 +437,17 @@ def handshake_parse(spark, d):
     return table(spark, d, "orders").select("o_orderkey", m["block"].alias("block"), m["compressors"].alias("compressors"), F.map_contains_key(m, "crc32c").alias("crc"))
 
 
-@query("SELECT s_suppkey, CASE WHEN s_suppkey % 2 = 0 THEN 'vg-root--' || s_suppkey || '-cow' ELSE 'vg' || s_suppkey || '-cow' END AS name FROM supplier")
+@query("SELECT s_suppkey, CASE WHEN s_suppkey % 2 = 0 THEN '/dev/mapper/vg-root--' || s_suppkey || '-cow' ELSE '' END AS name FROM supplier")
 def metadata_names(spark, d):
     k = F.col("s_suppkey").cast("string")
     path = F.when(F.col("s_suppkey") % 2 == 0, F.concat(F.lit("/dev/mapper/vg-root-"), k)).otherwise(F.concat(F.lit("/dev/mapper/vg"), k))
     return table(spark, d, "supplier").select("s_suppkey", metadata_name(path).alias("name"))
 
 
-@query("SELECT s_suppkey, s_suppkey % 3 = 1 AS ok FROM supplier")
+@query("SELECT s_suppkey, s_suppkey % 5 <> 0 AND s_suppkey % 7 <> 0 AND s_suppkey % 3 = 1 AS ok FROM supplier")
 def metadata_header(spark, d):
-    return table(spark, d, "supplier").select("s_suppkey", header_valid(F.lit(0x70416E53), F.lit(1), F.col("s_suppkey") % 3).alias("ok"))
+    k = F.col("s_suppkey")
+    return table(spark, d, "supplier").select("s_suppkey", header_valid(F.when(k % 5 == 0, 1).otherwise(0x70416E53), F.when(k % 7 == 0, 0).otherwise(1), k % 3).alias("ok"))
 
 
 @query("SELECT page_id, url = 'https://example.org' OR starts_with(url, 'https://example.org/') AS inside FROM pages")
@@ -456,18 +462,7 @@ def redacted(spark, d):
 
 @query(f"WITH {_BLOCKS} SELECT volume_id, bool_or(off % 512 <> 0 OR length % 512 <> 0) AS fallback FROM m GROUP BY volume_id")
 def alignment_check(spark, d):
-    return M.build(docs(spark, d), B).groupBy("volume_id").agg(F.bool_or((F.col("offset") % 512 != 0) | (F.col("length") % 512 != 0)).alias("fallback"))
-
-
-@query(f"WITH {_BLOCKS} SELECT source, count(*) FILTER (WHERE length = 1024) AS n_sent, CAST(sum(CASE WHEN length < 1024 THEN length ELSE 0 END) AS BIGINT) AS skipped_bytes FROM m GROUP BY source")
-def sent_counters(spark, d):
-    return M.build(docs(spark, d, "source"), B, "source").groupBy("source").agg(F.count_if(F.col("length") == B).alias("n_sent"), F.sum(F.when(F.col("length") < B, F.col("length")).otherwise(0)).alias("skipped_bytes"))
-
-
-@query("SELECT c_custkey, CASE WHEN c_nationkey = 0 THEN 'identity' WHEN c_acctbal < 0 THEN 'size' WHEN c_mktsegment = 'BUILDING' THEN 'mounted' END AS failure FROM customer")
-def destination_check(spark, d):
-    """The first check that fails, in a fixed order."""
-    return table(spark, d, "customer").select("c_custkey", F.when(F.col("c_nationkey") == 0, "identity").when(F.col("c_acctbal") < 0, "size").when(F.col("c_mktsegment") == "BUILDING", "mounted").alias("failure"))
+    return M.alignment(M.build(docs(spark, d), B), ["volume_id"], 512)
 
 
 # -- devices, settings, stored state -----------------------------------------------------------------
@@ -511,11 +506,23 @@ def identity_check(spark, d):
     return _device_pairs(spark, d).select("c_custkey", I.identity_failure(F.col("a"), F.col("b"), F.col("c_custkey") % 7 == 0).alias("failure"))
 
 
-@query("SELECT p_partkey, CASE WHEN p_size % 11 = 0 THEN 'mode' WHEN p_size % 7 = 0 AND p_partkey % 2 = 0 THEN 'offline' WHEN p_size % 6 NOT BETWEEN 1 AND 4 THEN 'tcp_parallel' WHEN p_size > 48 THEN 'cdc_sizes' WHEN p_size > 40 THEN 'cdc_order' END AS failure FROM part")
+@query(
+    """SELECT p_partkey, CASE WHEN p_size % 11 = 0 THEN 'mode' WHEN p_partkey % 13 = 0 THEN 'freeze_pair' WHEN p_partkey % 14 = 0 THEN 'thaw_timeout'
+    WHEN p_size % 7 = 0 AND p_partkey % 2 = 0 THEN 'offline' WHEN p_partkey % 17 = 0 THEN 'keepalive' WHEN p_size % 6 NOT BETWEEN 1 AND 4 THEN 'tcp_parallel'
+    WHEN p_size > 48 THEN 'cdc_sizes' WHEN p_size > 40 THEN 'cdc_order' WHEN p_partkey % 19 = 0 THEN 'compress' WHEN p_partkey % 10 > 5 THEN 'zstd_level'
+    WHEN p_partkey % 23 = 0 THEN 'threshold' END AS failure FROM part"""
+)
 def config_check(spark, d):
-    n, lit = F.col("p_size"), F.lit
-    c = F.struct(F.when(n % 11 == 0, "fast").otherwise("default").alias("mode"), F.when(n % 7 == 0, "raw").otherwise("file").alias("source_type"), lit("auto").alias("dest_type"), lit(None).cast("string").alias("output"), lit("never").alias("sparse"), (F.col("p_partkey") % 2 == 1).alias("offline"), (n % 6).alias("tcp_parallel"), F.when(n > 48, 0).otherwise(64).alias("cdc_min"), F.when(n > 40, 32).otherwise(128).alias("cdc_avg"), lit(256).alias("cdc_max"))
-    return table(spark, d, "part").select("p_partkey", I.config_failure(c).alias("failure"))
+    n, k, lit = F.col("p_size"), F.col("p_partkey"), F.lit
+    frozen = (k % 13 == 0) | (k % 14 == 0)
+    c = {
+        "mode": F.when(n % 11 == 0, "fast").otherwise("default"), "source_type": F.when(n % 7 == 0, "raw").otherwise("file"), "dest_type": lit("auto"), "output": lit(None).cast("string"), "sparse": lit("never"),
+        "freeze_command": F.when(frozen, "/sbin/freeze -f").otherwise(""), "thaw_command": F.when((k % 14 == 0) & (k % 13 != 0), "/sbin/freeze -u").otherwise(""), "freeze_timeout": lit(5), "thaw_timeout": lit(0),
+        "offline": k % 2 == 1, "keepalive": F.when(k % 17 == 0, 0).otherwise(30), "tcp_parallel": n % 6, "tcp_lowat": lit(0),
+        "cdc_min": F.when(n > 48, 0).otherwise(64), "cdc_avg": F.when(n > 40, 32).otherwise(128), "cdc_max": lit(256),
+        "compress": F.when(k % 19 == 0, "zstd, snappy").otherwise("zstd,LZ4"), "zstd_level": k % 10, "lz4_level": lit("HC"), "threshold": F.when(k % 23 == 0, 0.0).otherwise(0.9),
+    }
+    return table(spark, d, "part").select("p_partkey", I.config_failure(F.struct(*(v.alias(f) for f, v in c.items()))).alias("failure"))
 
 
 @query("SELECT s_suppkey AS key, CASE s_suppkey % 3 WHEN 0 THEN s_nationkey % 3 = 0 WHEN 1 THEN s_nationkey % 3 = 0 ELSE false END AS rw FROM supplier")
@@ -530,16 +537,13 @@ def mounted_rw(spark, d):
 @query(f"WITH {_PAIR} SELECT e.volume_id, e.off AS \"offset\", m.digest IS NULL AS is_new FROM e LEFT JOIN m ON m.volume_id = e.volume_id AND m.off = e.off WHERE m.digest IS NULL OR m.digest <> e.digest")
 def checksum_state(spark, d):
     """Blocks to send: nothing is stored at their offset yet, or another digest."""
-    stored = M.build(docs(spark, d), B).select("volume_id", "offset", F.col("digest").alias("old"))
-    return M.build(edited(spark, d), B).join(stored, ["volume_id", "offset"], "left").where("old is null or old <> digest").select("volume_id", "offset", F.col("old").isNull().alias("is_new"))
+    return M.state_changes(M.build(edited(spark, d), B), M.build(docs(spark, d), B)).select("volume_id", "offset", "is_new")
 
 
 @query(f"WITH {_BLOCKS} SELECT volume_id, off // 4096 AS range, bit_count(bit_or((1::UBIGINT << (CAST('0x' || digest[1:2] AS UBIGINT) % 64)) | (1::UBIGINT << (CAST('0x' || digest[3:4] AS UBIGINT) % 64))))::INTEGER AS bits FROM m GROUP BY volume_id, off // 4096")
 def range_filters(spark, d):
     """Bits set in a range's filter word: two of 64 for each entry."""
-    bit = lambda at: F.expr(f"shiftleft(1L, cast(conv(substr(digest, {at}, 2), 16, 10) as int) % 64)")
-    m = M.build(docs(spark, d), B).groupBy("volume_id", F.floor(F.col("offset") / 4096).alias("range"))
-    return m.agg(F.bit_or(bit(1).bitwiseOR(bit(3))).alias("w")).select("volume_id", "range", F.bit_count("w").alias("bits"))
+    return L.range_words(M.build(docs(spark, d), B), 4096).select("volume_id", "range", F.bit_count("word").alias("bits"))
 
 
 @query(f"SELECT doc_id, CAST(ceil(octet_length(encode(text)) / {B}.0) AS BIGINT) AS n_chunks, sha256(array_slice(encode(text), 1, 1048576)) AS head FROM documents")

@@ -16,10 +16,12 @@ def volumes(df: DataFrame, key: str, content: str, *more: str) -> DataFrame:
 
 
 def metadata_name(path: Column) -> Column:
-    """The name of a snapshot's change table: the path's last part, cut at its first dash, other dashes doubled, and -cow."""
+    """The device of a snapshot's change table: the path's last part cut at its first dash, dashes of both parts doubled, joined again, and -cow. Empty if it has no dash."""
     base = F.element_at(F.split(path, "/"), -1)
     at = F.instr(base, "-")
-    return F.when(at > 0, F.concat(F.substr(base, F.lit(1), at), F.replace(F.substr(base, at + 1), F.lit("-"), F.lit("--")), F.lit("-cow"))).otherwise(F.concat(base, F.lit("-cow")))
+    double = lambda c: F.replace(c, F.lit("-"), F.lit("--"))
+    name = F.concat(F.lit("/dev/mapper/"), double(F.substr(base, F.lit(1), at - 1)), F.lit("-"), double(F.substr(base, at + 1)), F.lit("-cow"))
+    return F.when(at > 0, name).otherwise(F.lit(""))
 
 
 def header_valid(magic: Column, valid: Column, version: Column) -> Column:

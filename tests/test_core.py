@@ -14,7 +14,7 @@ from blockweave.operators import delta as D
 from blockweave.operators import manifest as M
 from blockweave.operators import ranges as R
 from blockweave.operators import state as T
-from blockweave.plans import catalog
+from blockweave.plans import catalog, devices  # noqa: F401  (devices adds its queries)
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -127,9 +127,9 @@ def test_query_equals_sql(spark, duck, name):
     assert clean(map(tuple, got.select(*names).collect())) == clean(want)
 
 
-@pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - set(ORACLE)))
-def test_query_without_sql_runs(spark, name):
-    assert catalog.QUERIES[name](spark, SF).count() >= 0
+def test_queries_without_sql_have_tests_of_their_own():
+    """test_devices holds these against plain loops."""
+    assert set(catalog.QUERIES) - set(ORACLE) == {"cdc_chunks", "cdc_size_dist", "cdc_dedup_refs", "xxh3", "compress_decision", "work_queue", "signature_cache"}
 
 
 def test_entry(spark):
