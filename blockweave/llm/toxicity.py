@@ -13,6 +13,7 @@ mentions, mentions are put into sentences of the labelled texts.
 from __future__ import annotations
 
 import re
+from array import array
 from dataclasses import dataclass
 
 import numpy as np
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 from .textkit import FOLDED, U, Chunk, id_column, over_chunks, with_text_kind
 
 #: Labelled rows learned from at most: those of the least hashes. Of a text with more different words than MAX_WORDS, the first in byte order teach.
-SAMPLE_ROWS, MAX_WORDS = 12_000, 8_192
+SAMPLE_ROWS, MAX_WORDS = 8_000, 8_192
 #: Sentences into which mentions of each group are put that labels don't mention, and sentences with mentions read of one text at most.
 TEMPLATES, MENTIONS = 40, 16
 GRAM = 4
@@ -120,10 +121,10 @@ class Model:
 
 @dataclass
 class Example:
-    """A labelled text: its different words, its sentences that mention a group, and its first sentence."""
+    """A labelled text: its different words, joined by spaces, its sentences that mention a group, and its first sentence."""
 
     toxic: bool
-    words: list[bytes]
+    text: bytes
     mentions: list[list[bytes]]
     first: list[bytes]
 
@@ -131,7 +132,7 @@ class Example:
 def example(raw: bytes, toxic: bool) -> Example:
     said = [w for m in _sentence.finditer(raw.lower()) if (w := words_of(m[0]))]
     mentions = [w for w in said if not _TERMS.keys().isdisjoint(w)]
-    return Example(toxic, sorted({w for s in said for w in s} | set(words_of(raw)))[:MAX_WORDS], mentions[:MENTIONS], said[0] if said else [])
+    return Example(toxic, b" ".join(sorted({w for s in said for w in s} | set(words_of(raw)))[:MAX_WORDS]), mentions[:MENTIONS], said[0] if said else [])
 
 
 def swaps_of(texts: list[Example]) -> list[tuple[list[bytes], bytes, bytes]]:
@@ -150,48 +151,66 @@ def swaps_of(texts: list[Example]) -> list[tuple[list[bytes], bytes, bytes]]:
     return out
 
 
-def fit(texts: list[Example], l2: float = 0.2, fairness: float = FAIRNESS, steps: int = 300) -> Model:
+def fit(texts: list[Example], l2: float = 0.2, fairness: float = FAIRNESS, steps: int = 150) -> Model:
     """Gradient descent (Adam, full batches) on log loss + l2 + the mean squared change of the log-odds under swaps, which in a linear model the rest of the sentence takes no part in."""
     y, n = np.array([x.toxic for x in texts], np.float64), len(texts)
     if not n or y.min() == y.max():
         p = float(np.clip(y.mean() if n else 0.0, 1e-3, 1 - 1e-3))
         return Model({}, {}, float(np.log(p / (1 - p))))
-    names: dict[bytes | int, int] = {}  # words are bytes, strings of them numbers
-    parts: dict[bytes, list[int]] = {}
-
-    def features(word):
-        if word not in parts:
-            parts[word] = [names.setdefault(f, len(names)) for f in (word, *grams_of(word))]
-        return parts[word]
-
-    def matrix(rows):
-        """(row, feature) of lists of words."""
-        cols = [[f for w in words for f in features(w)] for words in rows]
-        return np.repeat(np.arange(len(cols)), [len(c) for c in cols]), np.array([f for c in cols for f in c], np.int64)
-
-    doc, col = matrix([x.words for x in texts])
     swaps = swaps_of(texts)
-    out, out_col = matrix([[w] for _, w, _ in swaps])
-    into, into_col = matrix([[w] for _, _, w in swaps])
+    # Words by number, and the numbers of the strings in each; a feature is a word, or past these a string.
+    ids: dict[bytes, int] = {}
+    words, ends = array("i"), array("q", [0])
+    for x in texts:
+        words.extend(ids.setdefault(w, len(ids)) for w in x.text.split())
+        ends.append(len(words))
+    for pair in swaps:
+        for w in pair[1:]:
+            ids.setdefault(w, len(ids))
+    grams: dict[int, int] = {}
+    parts, part_ends = array("i"), array("q", [0])
+    for w in ids:
+        parts.extend(grams.setdefault(g, len(grams)) for g in grams_of(w))
+        part_ends.append(len(parts))
+    words, ends, parts, part_ends = (np.frombuffer(x, np.int32 if x.typecode == "i" else np.int64) for x in (words, ends, parts, part_ends))
+    n_words, size = len(ids), len(ids) + len(grams)
+
+    def features(own):
+        """(position in own, feature) of each word of ``own`` and of the strings in it."""
+        count = part_ends[own + 1] - part_ends[own]
+        at = np.repeat(part_ends[own] - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
+        return np.concatenate([np.arange(len(own)), np.repeat(np.arange(len(own)), count)]), np.concatenate([own, parts[at] + n_words])
+
+    def blocks(rows=128):
+        """(text, feature) of a few texts at a time, repeated as often as words of the text have it."""
+        for lo in range(0, n, rows):
+            hi = min(n, lo + rows)
+            at, f = features(words[ends[lo] : ends[hi]].astype(np.int64))
+            yield np.repeat(np.arange(lo, hi), np.diff(ends[lo : hi + 1]))[at], f
+
+    df, pos = np.zeros(size), np.zeros(size)
+    for who, f in blocks():
+        pair = np.unique(who * size + f)
+        df += np.bincount(pair % size, minlength=size)
+        pos += np.bincount(pair % size, y[pair // size], size)
     # What a random feature of so many texts differs by has no scale; mentions of groups keep one, for the penalty to move.
-    pair = np.unique(doc * len(names) + col)
-    df = np.bincount(pair % len(names), minlength=len(names))
-    pos = np.bincount(pair % len(names), y[pair // len(names)], len(names))
     a, b, mean = (pos + 0.5) / (y.sum() + 1), (df - pos + 0.5) / (n - y.sum() + 1), y.mean()
     odds = np.log(a / (1 - a)) - np.log(b / (1 - b))
     z = (pos - df * mean) / np.sqrt(np.maximum(df, 1) * mean * (1 - mean))
     scale = np.where(df >= 3, odds * np.clip(np.abs(z) - 2, 0, None) / (np.abs(z) + 1e-9), 0.0)
-    terms = [names[w] for w in _TERMS if w in names]
+    terms = [ids[w] for w in _TERMS if w in ids]
     scale[terms] = np.where(np.abs(scale[terms]) < 0.1, 1.0, scale[terms])
     use = np.flatnonzero(scale)
-    index = np.full(len(names), -1)
+    index = np.full(size, -1)
     index[use] = np.arange(len(use))
     scale, m = scale[use], len(use)
 
     def kept(row, col):
         return row[index[col] >= 0], index[col[index[col] >= 0]]
 
-    (doc, col), (out, out_col), (into, into_col) = kept(doc, col), kept(out, out_col), kept(into, into_col)
+    got = [kept(*x) for x in blocks()]
+    doc, col = (np.concatenate([x[i] for x in got]) for i in (0, 1))
+    (out, out_col), (into, into_col) = (kept(*features(np.array([ids[x[i]] for x in swaps], np.int64))) for i in (1, 2))
     w, bias, g1, g2, k = np.zeros(m), float(np.log(mean / (1 - mean))), np.zeros(m + 1), np.zeros(m + 1), len(swaps)
     for t in range(1, steps + 1):
         v = w * scale
@@ -206,9 +225,8 @@ def fit(texts: list[Example], l2: float = 0.2, fairness: float = FAIRNESS, steps
         g1, g2 = 0.9 * g1 + 0.1 * g, 0.999 * g2 + 0.001 * g * g
         step = 0.1 * (g1 / (1 - 0.9**t)) / (np.sqrt(g2 / (1 - 0.999**t)) + 1e-8)
         w, bias = w - step[:m], bias - step[m]
-    by_name = list(names)
-    found = {by_name[use[i]]: float(x) for i, x in enumerate(w * scale)}
-    return Model({f: x for f, x in found.items() if isinstance(f, bytes)}, {f: x for f, x in found.items() if isinstance(f, int)}, float(bias))
+    by_word, by_gram, found = list(ids), list(grams), w * scale
+    return Model({by_word[f]: float(x) for f, x in zip(use, found, strict=True) if f < n_words}, {by_gram[f - n_words]: float(x) for f, x in zip(use, found, strict=True) if f >= n_words}, float(bias))
 
 
 def gap(model: Model, texts: list[Example]) -> float:
@@ -227,10 +245,10 @@ def examples(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> lis
         toxic = get("toxic").to_pylist()
         got = [example(raw[a:b], t != 0) for a, b, t in zip(c.offs[:-1], c.offs[1:], toxic, strict=True)]
         lines = lambda x: b"\n".join(b" ".join(s) for s in x)
-        yield {"o": get("o"), "toxic": get("toxic"), "words": pa.array([b" ".join(x.words) for x in got], pa.binary()), "mentions": pa.array([lines(x.mentions) for x in got], pa.binary()), "first": pa.array([b" ".join(x.first) for x in got], pa.binary())}
+        yield {"o": get("o"), "toxic": get("toxic"), "words": pa.array([x.text for x in got], pa.binary()), "mentions": pa.array([lines(x.mentions) for x in got], pa.binary()), "first": pa.array([b" ".join(x.first) for x in got], pa.binary())}
 
     got = over_chunks(texts, read, "o long, toxic int, words binary, mentions binary, first binary").orderBy("o", "toxic", "words", "mentions", "first").limit(rows).toPandas()
-    return [Example(bool(r.toxic), r.words.split(), [s.split() for s in r.mentions.split(b"\n") if s], r.first.split()) for r in got.itertuples()]
+    return [Example(bool(r.toxic), r.words, [s.split() for s in r.mentions.split(b"\n") if s], r.first.split()) for r in got.itertuples()]
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
