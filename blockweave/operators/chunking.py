@@ -131,10 +131,10 @@ class Cutter:
         return out
 
 
-def spread(vol: DataFrame, key: str = "volume_id") -> DataFrame:
+def spread(vol: DataFrame, *keys: str) -> DataFrame:
     """vol dealt to all cores where it comes from fewer files than there are cores; with more files the scan is parallel and nothing is shuffled."""
     cores, files = vol.sparkSession.sparkContext.defaultParallelism, len(vol.inputFiles())
-    return vol.repartition(cores, key) if 0 < files < cores else vol
+    return vol.repartition(cores, *keys) if 0 < files < cores else vol
 
 
 def cdc_chunks(vol: DataFrame, low: int, avg: int, high: int, seed: int = 0, key: str = "volume_id") -> DataFrame:
@@ -164,9 +164,9 @@ def _cut(vol: DataFrame, low: int, avg: int, high: int, seed: int, keys: list[st
 
 
 def hybrid_chunks(vol: DataFrame, block: int, low: int, avg: int, high: int) -> DataFrame:
-    """Content-defined chunks inside each fixed block: blocks are cut in parallel. (volume_id, block, seq, offset, length, data); a volume_id of any value or type."""
-    cut = blocks(spread(vol.select("volume_id", "data")), block).select("volume_id", F.col("seq").alias("block"), "data")
-    return _cut(cut, low, avg, high, 0, ["volume_id", "block"]).select("volume_id", "block", "seq", (F.col("block") * block + F.col("offset")).alias("offset"), "length", "data")
+    """Content-defined chunks inside each fixed block: blocks are cut in parallel, those of one volume too. (volume_id, block, seq, offset, length, data); a volume_id of any value or type."""
+    cut = blocks(vol.select("volume_id", "data"), block).select("volume_id", F.col("seq").alias("block"), "data")
+    return _cut(spread(cut, "volume_id", "block"), low, avg, high, 0, ["volume_id", "block"]).select("volume_id", "block", "seq", (F.col("block") * block + F.col("offset")).alias("offset"), "length", "data")
 
 
 def dedup_refs(chunks: DataFrame) -> DataFrame:

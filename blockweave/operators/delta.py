@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.hashing import sha
+from ..sources.volumes import settled
 from .chunking import blocks, is_zero
 
 
@@ -20,7 +21,8 @@ def classify(new: DataFrame, stored: DataFrame) -> DataFrame:
     """
     slim = new.select("volume_id", "offset", "length", sha("data").alias("digest"), is_zero(F.col("data")).alias("zero"))
     old = stored.select("volume_id", "offset", F.col("digest").alias("old"))
-    got = slim.join(old, ["volume_id", "offset"], "left").withColumn("match", F.coalesce(F.col("old") == F.col("digest"), F.lit(False)))
+    # Hashed once: first places and kinds are both made from these short rows.
+    got = settled(slim.join(old, ["volume_id", "offset"], "left").withColumn("match", F.coalesce(F.col("old") == F.col("digest"), F.lit(False))).drop("old"))
     sent = got.where("not match and not zero").groupBy("digest", "length").agg(F.min(F.struct("volume_id", "offset")).alias("first"))
     got = got.join(sent, ["digest", "length"], "left")
     here = F.struct("volume_id", "offset")

@@ -37,6 +37,11 @@ def verify(stored: DataFrame, actual: DataFrame) -> DataFrame:
     return stored.where("length > 0").join(a, ["volume_id", "offset"], "left").where(F.col("actual").isNull() | (F.col("actual") != F.col("digest"))).select("volume_id", "offset", F.when(F.col("actual").isNull(), "missing").otherwise("mismatch").alias("problem"))
 
 
+def mismatch_counts(found: DataFrame) -> DataFrame:
+    """(problem, n): how many entries ``verify`` found of each problem."""
+    return found.groupBy("problem").agg(F.count("*").alias("n"))
+
+
 def collect_garbage(entries: DataFrame, by: list[str], order: list[str]) -> DataFrame:
     """Drop empty entries; of equal keys the first in order stays. An aggregate, so that a key with very many entries, such as the zero block, is summed in the tasks first."""
     rest = [c for c in entries.columns if c not in (*by, *order)]

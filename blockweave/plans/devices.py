@@ -187,6 +187,11 @@ def set_ops(spark, d):
     return ops[0].union(ops[1]).union(ops[2])
 
 
+@query(f"WITH {_PAIR} SELECT CASE WHEN e.digest IS NULL THEN 'missing' ELSE 'mismatch' END AS problem, count(*) AS n FROM m LEFT JOIN e ON m.volume_id = e.volume_id AND m.off = e.off WHERE e.digest IS NULL OR e.digest <> m.digest GROUP BY 1")
+def mismatch_counts(spark, d):
+    return M.mismatch_counts(M.verify(M.build(docs(spark, d), B), M.build(edited(spark, d), B)))
+
+
 # -- dumps -------------------------------------------------------------------------------------------
 #: The edited documents, some with zeros at their end; half have a manifest, some others a state of the last run, and one in ten is a hole.
 _DUMP = f"""{_BLOCKS}, v AS (SELECT doc_id AS volume_id, CASE WHEN doc_id % 6 = 0 THEN encode({_EDIT}) || unhex(repeat('00', 3000)) ELSE encode({_EDIT}) END AS data FROM documents),

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,6 +32,25 @@ def header_valid(magic: Column, valid: Column, version: Column) -> Column:
     return (magic == 0x70416E53) & (valid == 1) & (version == 1)
 
 
+def shared(spark: SparkSession) -> str:
+    """The folder all executors share: spark.checkpoint.dir. Where that is unset, one of our own in local mode; elsewhere an error, as each host has its own disk."""
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
+        top = spark.conf.get("spark.checkpoint.dir", None)
+        if top is None:
+            if not re.match(r"local(\[|$)", sc.master):
+                raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+            top = f"{tempfile.gettempdir()}/checkpoints/{uuid.uuid4().hex}"
+        sc.setCheckpointDir(top)
+    return sc.getCheckpointDir()
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """df computed once and kept in the shared folder, for slim tables that a plan reads more than once; executors may be lost after it."""
+    shared(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
 def save(df: DataFrame, path: str) -> None:
     """Replace a table by staging and rename, as Spark's committer does it."""
     df.write.mode("overwrite").parquet(path)

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -12,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.manifest import upsert
+from ..sources.volumes import shared
 
 
 def log_stream(spark: SparkSession, folder: str, name: str, files: int | None = None) -> DataFrame:
@@ -71,14 +70,8 @@ def replay(spark: SparkSession, folder: str, name: str, slot: str, version: str,
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder in spark.checkpoint.dir; only in local mode one of our own where that is unset."""
-    sc = spark.sparkContext
-    top = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
-    if top is None:
-        if not re.match(r"local(\[|$)", sc.master):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        top = f"{tempfile.gettempdir()}/checkpoints"
-    return f"{top}/{uuid.uuid4().hex}"
+    """A new folder where all executors can read and write."""
+    return f"{shared(spark)}/{uuid.uuid4().hex}"
 
 
 def usage_alerts(events: DataFrame, value: str, limit: float) -> DataFrame:
