@@ -30,6 +30,8 @@ KINDS = ("assign", "access", "hex")
 PLAIN = len(KINDS)
 #: Different values of a kind, and ordinary tokens, learned from at most: those of the least hashes. Values longer than LONG teach by so many characters, and no stop.
 SAMPLE_VALUES, SAMPLE_PLAIN, LONG = 2_000, 8_000, 2_048
+#: Ordinary tokens weigh so much together, however large the corpus: what a state's frequencies are held to doesn't tighten with it.
+PLAIN_WEIGHT = 20_000.0
 #: Tokens of fewer characters are no candidates, as the shortest labelled value has so many. The margin, in bits.
 MIN_TOKEN, MARGIN = 6, 16.0
 _assign = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -93,6 +95,19 @@ class Automaton:
         return self.bits(np.frombuffer("".join(values).encode(), np.uint8), ends - lens, ends)
 
 
+class Either:
+    """The likeliest of several automata, each taken to be as usual as the others."""
+
+    def __init__(self, *parts: Automaton):
+        self.parts = parts
+
+    def bits(self, data: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
+        return np.max([p.bits(data, s, e) for p in self.parts], 0) - np.log2(len(self.parts))
+
+    def of(self, values: list[str]) -> np.ndarray:
+        return np.max([p.of(values) for p in self.parts], 0) - np.log2(len(self.parts))
+
+
 class _Tree:
     """A prefix tree with weights, whose states are merged in place. Edges go by class of symbols; each state counts the symbols themselves."""
 
@@ -252,9 +267,9 @@ def tokens(c: Chunk, least: int = MIN_TOKEN) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Grammars:
-    """An automaton by kind, and that of ordinary tokens."""
+    """An automaton by kind, and those of ordinary tokens."""
 
-    def __init__(self, by_kind: dict[int, Automaton], plain: Automaton | None):
+    def __init__(self, by_kind: dict[int, Automaton], plain: Either | None):
         self.by_kind, self.plain = by_kind, plain
 
     def found(self, c: Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -339,14 +354,15 @@ def samples(docs: DataFrame, rows: int = SAMPLE_VALUES, plain: int = SAMPLE_PLAI
 
 
 def grammars(by: dict[int, dict[str, float]]) -> Grammars:
-    """Automata of the kinds that have values. Without ordinary tokens, or without values, nothing is inferred."""
+    """Automata of the kinds that have values, one of ordinary tokens, and one of those without a letter (dates, amounts, phone numbers), which are too few beside words to shape the other. Without ordinary tokens, or without values, nothing is inferred."""
     if not by.get(PLAIN) or len(by) < 2:
         return Grammars({}, None)
-    return Grammars({k: fitted(v) for k, v in by.items() if k != PLAIN}, fitted(by[PLAIN]))
+    numbers = {v: 1.0 for v in by[PLAIN] if not re.search("[A-Za-z]", v)}
+    return Grammars({k: fitted(v) for k, v in by.items() if k != PLAIN}, Either(fitted(by[PLAIN]), *[fitted(numbers)] * bool(numbers)))
 
 
 def learn(docs: DataFrame, rows: int = SAMPLE_VALUES, plain: int = SAMPLE_PLAIN) -> Grammars:
-    """Automata from at most ``rows`` different values of each kind and ``plain`` ordinary tokens, which come to the driver. A value that occurs n times weighs 1 + log2 n, so that copies of one text don't drown all others; an ordinary token weighs n, so that credentials without context, which are among them, weigh little."""
+    """Automata from at most ``rows`` different values of each kind and ``plain`` ordinary tokens, which come to the driver. A value that occurs n times weighs 1 + log2 n, so that copies of one text don't drown all others; an ordinary token weighs by n, PLAIN_WEIGHT for all, so that credentials without context, which are among them, weigh little."""
     got = settle(samples(with_text_kind(docs), rows, plain))
     by: dict[int, dict[str, float]] = {}
     for k, most in enumerate([rows] * len(KINDS) + [plain]):
@@ -354,6 +370,9 @@ def learn(docs: DataFrame, rows: int = SAMPLE_VALUES, plain: int = SAMPLE_PLAIN)
         some = got.where(F.col("kind") == k).orderBy(F.col("h") < 0, "h", "value").limit(most).select(F.substring("value", 1, LONG + 1).alias("value"), "n").collect()
         if some:
             by[k] = {r.value: float(r.n) if k == PLAIN else 1 + float(np.log2(r.n)) for r in some}
+    if PLAIN in by:
+        share = min(1.0, PLAIN_WEIGHT / sum(by[PLAIN].values()))
+        by[PLAIN] = {v: n * share for v, n in by[PLAIN].items()}
     return grammars(by)
 
 
