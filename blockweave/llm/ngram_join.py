@@ -21,8 +21,10 @@ each link exactly.
    for those that sizes or bitmaps rule out.
 4. ``overlaps``: each fragment counts the partial overlap of a candidate pair;
    sums by pair decide.
-5. For numbers of links, ``inside`` then makes every pair of a component that
-   sizes and bitmaps don't rule out, and ``overlaps`` decides these too.
+5. For numbers of links, ``degrees`` compares all classes of a component, block
+   by block: again each fragment of the n-gram order counts the partial overlaps
+   of all pairs of two blocks, the parts are summed, and only sums by class
+   leave the task.
 
 Only tables of fixed size reach the driver or are broadcast: a bitmap of
 ``2**bits`` bits (a filter without false negatives; full, it lets every text
@@ -54,8 +56,8 @@ BITMAP = 16
 HUBS = 4
 #: Pairs of one set that a task compares, before its pieces are repeated; tables of so many short rows are broadcast.
 PER_TASK, BROADCAST_ROWS = 512, 100_000
-#: Into so many parts the members of each component are dealt when all its pairs are compared.
-SALTS = 32
+#: Classes, and n-grams, of a block of a component when all its pairs are compared.
+BLOCK, BLOCK_GRAMS = 256, 1 << 21
 
 
 def _fingerprints(h: np.ndarray, off: np.ndarray) -> np.ndarray:
@@ -248,13 +250,55 @@ def _fits(percent: int) -> F.Column:
     return sizes & (far * (100 + percent) <= (F.col("x.n") + F.col("y.n")) * (100 - percent))
 
 
-def inside(classes: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
-    """All pairs (a, b, na, nb) inside a component that sizes and bitmaps allow to link, each once; a large component is dealt to several tasks by salt."""
-    f = classes.drop("hs", "score").join(roots.withColumnRenamed("node", "fp"), "fp")
-    x = f.withColumn("salt", F.pmod(F.xxhash64("fp"), F.lit(SALTS)).cast("int")).alias("x")
-    y = f.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).alias("y")
-    both = x.join(y, (F.col("x.root") == F.col("y.root")) & (F.col("x.salt") == F.col("y.salt")) & (F.col("x.fp") < F.col("y.fp")) & _fits(percent))
-    return both.select(F.col("x.fp").alias("a"), F.col("y.fp").alias("b"), F.col("x.n").alias("na"), F.col("y.n").alias("nb"))
+def _degrees(percent: int):
+    def run(table: pa.Table) -> pa.Table:
+        """Of two blocks of a component, or one: for each class how many of the other block, or of its own, it links with.
+
+        The order of n-grams is cut into fragments again: each counts the
+        overlaps of all pairs by itself as a product of two 0/1 matrices, and
+        the parts are summed. No pair leaves the task.
+        """
+        fp, n, own = (np.asarray(table.column(c)) for c in ("fp", "n", "own"))
+        lists = table.column("hs").combine_chunks()
+        lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
+        h = np.asarray(lists.flatten()).view(U)
+        names, row = np.unique(fp, return_inverse=True)
+        size, block = np.zeros(len(names), np.int64), np.zeros(len(names), np.int64)
+        size[row], block[row] = n, own
+        who = np.repeat(row, np.diff(np.asarray(lists.offsets)))
+        order = np.lexsort((who, h))
+        h, who = h[order], who[order]
+        keep = np.concatenate([[True], (h[1:] != h[:-1]) | (who[1:] != who[:-1])])  # a set that came twice counts once
+        h, who = h[keep], who[keep]
+        col = np.cumsum(np.concatenate([[True], h[1:] != h[:-1]])) - 1
+        many = np.bincount(col) > 1  # n-grams of one class are in no overlap
+        col, who = (np.cumsum(many) - 1)[col[many[col]]], who[many[col]]
+        width, overlap = int(many.sum()), np.zeros((len(names), len(names)), np.float32)
+        for lo in range(0, width, 4096):
+            part = slice(np.searchsorted(col, lo), np.searchsorted(col, lo + 4096))
+            x = np.zeros((len(names), min(4096, width - lo)), np.float32)
+            x[who[part], col[part] - lo] = 1
+            overlap += x @ x.T
+        overlap = overlap.astype(np.int64)
+        link = overlap * 100 >= (size[:, None] + size[None, :] - overlap) * percent
+        np.fill_diagonal(link, False)
+        if len(set(block.tolist())) > 1:
+            link &= block[:, None] != block[None, :]
+        elif not table.column("alone")[0].as_py():
+            link[:] = False
+        return pa.table({"fp": names, "n_links": link.sum(1)})
+
+    return run
+
+
+def degrees(classes: DataFrame, pieces: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
+    """(fp, n_links): with how many other classes each class of a component links. A component is cut into blocks of so many classes and n-grams, and each pair of blocks is one group."""
+    f = classes.select("fp", "n").join(roots.withColumnRenamed("node", "fp"), "fp")
+    blocks = f.groupBy("root").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n") / BLOCK_GRAMS)).cast("int").alias("blocks"))
+    f = f.join(blocks, "root").withColumn("own", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
+    sent = pieces.select("fp", "hs").join(f, "fp").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    sent = sent.select("root", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", (F.col("own") == F.col("other")).alias("alone"), "fp", "n", "hs")
+    return sent.groupBy("root", "i", "j").applyInArrow(_degrees(percent), "fp long, n_links long").groupBy("fp").agg(F.sum("n_links").alias("n_links"))
 
 
 def across(front: DataFrame, classes: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
@@ -300,9 +344,7 @@ def _components(docs: DataFrame, k: int, percent: int, fold: bool, links: bool)
     least = by_class.groupBy("root").agg(F.min("rep").alias("component_id"))
     by_class = by_class.join(least, "root").select("fp", F.col("rep").alias("class_id"), "root", "component_id")
     if links:
-        found = overlaps(inside(kinds, settle(roots), percent), pieces, percent)
-        degree = found.select(F.explode(F.array("u", "v")).alias("fp")).groupBy("fp").agg(F.count("*").alias("n_links"))
-        by_class = by_class.join(degree, "fp", "left").withColumn("n_links", F.coalesce("n_links", F.lit(0)).cast("long"))
+        by_class = by_class.join(degrees(kinds, pieces, settle(roots), percent), "fp", "left").withColumn("n_links", F.coalesce("n_links", F.lit(0)).cast("long"))
     return sig, by_class
 
 
@@ -316,8 +358,8 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, fold: boo
     100 * overlap >= percent * union. class_id: the least doc_id of the same
     set. component_id: the least doc_id reachable by links. n_links:
     the number of different sets that this one links with, all pairs inside
-    components compared, which grows with the square of a group of near copies;
-    components alone don't need that. Rows with a null doc_id take
+    components compared, which takes time by the square of a group of near
+    copies; components alone don't need that. Rows with a null doc_id take
     part with their text; where a whole component has no doc_id, component_id
     is null. Repeated rows are kept. Very long texts are read whole. Other
     columns are ignored, and come back by a join on doc_id. An empty table gives

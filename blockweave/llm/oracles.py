@@ -38,9 +38,10 @@ rep AS (SELECT f, min(doc_id) AS r, any_value(n) AS n FROM sets GROUP BY f),
 rs AS (SELECT r, n, s FROM rep JOIN sh ON sh.doc_id = rep.r),
 pair AS (SELECT a.r AS a, b.r AS b FROM rs a JOIN rs b ON a.s = b.s AND a.r < b.r AND 100 * a.n >= 80 * b.n AND 100 * b.n >= 80 * a.n GROUP BY a.r, b.r, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
 edge AS (SELECT a, b FROM pair UNION ALL SELECT b, a FROM pair),
+deg AS (SELECT a AS x, count(*) AS n_links FROM edge GROUP BY a),
 reach AS (SELECT r AS x, r AS y FROM rep UNION SELECT x, b FROM reach JOIN edge ON edge.a = reach.y),
 comp AS (SELECT x, min(y) AS c FROM reach GROUP BY x)
-SELECT w.doc_id, CAST(coalesce(sets.n, 0) AS BIGINT) AS n_shingles, coalesce(rep.r, w.doc_id) AS class_id, coalesce(comp.c, w.doc_id) AS component_id
-FROM w LEFT JOIN sets USING (doc_id) LEFT JOIN rep USING (f) LEFT JOIN comp ON comp.x = rep.r"""
+SELECT w.doc_id, CAST(coalesce(sets.n, 0) AS BIGINT) AS n_shingles, coalesce(rep.r, w.doc_id) AS class_id, CAST(coalesce(deg.n_links, 0) AS BIGINT) AS n_links, coalesce(comp.c, w.doc_id) AS component_id
+FROM w LEFT JOIN sets USING (doc_id) LEFT JOIN rep USING (f) LEFT JOIN comp ON comp.x = rep.r LEFT JOIN deg ON deg.x = rep.r"""
 
 ORACLES: dict[str, str] = {"op2_ngram_jaccard_join": _COMPONENTS, "op4_license_scans": licences_sql(), "op6_substring_dedup": _SUBSTRINGS, "op10_decontamination": _LEAKS}

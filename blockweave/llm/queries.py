@@ -20,13 +20,6 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .ngram_join import jaccard_components
 
-    return jaccard_components(table(spark, sf_dir, "documents"), links=False).select("doc_id", "n_shingles", "class_id", "component_id")
-
-
-def op2_ngram_jaccard_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The join with the exact number of links; the SQL of op2_ngram_jaccard_join has no such column."""
-    from .ngram_join import jaccard_components
-
     return jaccard_components(table(spark, sf_dir, "documents"))
 
 

@@ -14,7 +14,7 @@ def ppm_scores(texts, times=()):
     seq = lambda t: [*low(t or "").encode(), end]
     seen = [defaultdict(Counter) for _ in range(6)]
     for d, t in texts:
-        if zlib.crc32(str(d).encode()) % 5 != 1:
+        if zlib.crc32(("" if d is None else str(d)).encode()) % 5 != 1:
             s = [end] * 5 + seq(t)
             for i in range(5, len(s)):
                 for k in range(6):
@@ -33,10 +33,10 @@ def ppm_scores(texts, times=()):
                 out, gone = out + math.log10(len(c) / n), gone | set(c)
         return out - math.log10(unknown)
 
-    got = {}
+    got = []
     for d, t in texts:
         s = [end] * 5 + seq(t)
-        got[d] = sum(log(s[i - 5 : i], s[i]) for i in range(5, len(s)))
+        got.append((d, t, sum(log(s[i - 5 : i], s[i]) for i in range(5, len(s)))))
     return got
 
 
@@ -52,7 +52,7 @@ def test_op8_all_bytes_are_symbols(spark):
     from blockweave.llm.ppm import score_texts
 
     texts = sample(120)
-    want = ppm_scores(texts)
+    want = {d: s for d, _, s in ppm_scores(texts)}
     got = {r.doc_id: r.score for r in score_texts(spark.createDataFrame(texts, "doc_id long, text string").repartition(5)).collect()}
     assert got.keys() == want.keys()
     assert all(math.isclose(got[d], want[d], rel_tol=1e-4, abs_tol=1e-4) for d in want)
@@ -69,24 +69,43 @@ def test_op8_rare_contexts_count_in_a_large_corpus(spark):
     texts, times = [(free[0], filler), (free[1], passage), (held, passage)], 17_000_000 // len(filler.encode())
     many = spark.range(times).selectExpr(f"{free[0]}L as doc_id").crossJoin(spark.createDataFrame([(filler,)], "text string"))
     got = score_texts(many.union(spark.createDataFrame(texts[1:], "doc_id long, text string"))).where(f"doc_id = {held}").first().score
-    assert math.isclose(got, ppm_scores(texts, {free[0]: times})[held], rel_tol=1e-4)
+    assert math.isclose(got, ppm_scores(texts, {free[0]: times})[-1][2], rel_tol=1e-4)
 
 
-def test_op2_number_of_links_is_exact(spark):
+def test_op8_pairs_scores_with_their_own_row(spark):
+    """Texts of one doc_id, or of none, with equally many tokens keep their own two scores, however the table is cut."""
+    from blockweave.llm.ppm import score_texts
+
+    texts = [(7, "one two three"), (7, "zzz yyy xxx"), (None, "one one one"), (None, "qqq two vvv"), (None, None), (8, "one two three"), (7, "one two three"), (9, "")]
+    texts += [(i, f"word{i} one two") for i in range(20, 40)]
+    want = Counter((d, len((t or "").split()) + 1, round(s, 3)) for d, t, s in ppm_scores(texts))
+    words_ = Counter(w for d, t in texts if zlib.crc32(("" if d is None else str(d)).encode()) % 5 != 1 for w in [*(t or "").split(), None])
+    n, v = sum(words_.values()), len(words_)
+    base = Counter((d, round(sum(math.log10((words_[w] + 0.5) / (n + 0.5 * (v + 1))) for w in [*(t or "").split(), None]), 4), round(s, 3)) for d, t, s in ppm_scores(texts))
+    for parts in (1, 5):
+        got = score_texts(spark.createDataFrame([(*x, 1) for x in texts], "doc_id long, text string, score int").repartition(parts)).collect()
+        assert Counter((r.doc_id, r.n_tokens, round(r.score, 3)) for r in got) == want
+        assert Counter((r.doc_id, round(r.base_score, 4), round(r.score, 3)) for r in got) == base
+
+
+def test_op2_number_of_links_is_exact(spark, monkeypatch):
     """Near copies that all link with each other, and others that mostly link with the base alone."""
+    from blockweave.llm import ngram_join
     from blockweave.llm.ngram_join import jaccard_components
 
     from .test_llm import shingles
 
     r = random.Random(9)
     texts = []
-    for group, most in ((0, 2), (1, 8)):
+    for group, most in ((0, 2), (1, 8), (2, 4)):
         base = [f"w{group}n{r.randrange(10**6)}" for _ in range(200)]
         for i in range(40):
             w = list(base)
             for j in r.sample(range(200), r.randrange(0, most + 1) if i else 0):
                 w[j] = f"x{i}y{j}"
             texts.append((100 * group + i, " ".join(w)))
+    # Small blocks, so that a component is several of them.
+    monkeypatch.setattr(ngram_join, "BLOCK", 7)
     sets = {d: frozenset(shingles(t)) for d, t in texts}
     want = {d: len({b for b in sets.values() if b != a and 100 * len(a & b) >= 80 * len(a | b)}) for d, a in sets.items()}
     got = {x.doc_id: x.n_links for x in jaccard_components(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
