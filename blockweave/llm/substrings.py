@@ -27,7 +27,7 @@ phrases, which set the order only, and a bitmap of rows with a flag.
 from __future__ import annotations
 
 import hashlib
-from itertools import compress
+from itertools import accumulate, compress
 
 import ahocorasick
 import numpy as np
@@ -45,7 +45,7 @@ FLUSH = 1 << 20
 #: Phrases that are anchors in so many documents come last in the order; so many of them at most.
 HOT, MAX_HOT = 1024, 1 << 16
 #: About so many pieces go to a shard.
-SHARD_PIECES = 1 << 16
+SHARD_PIECES = 1 << 14
 _NONE = U((1 << 64) - 1)
 _NOBODY = (1 << 63) - 1
 
@@ -274,11 +274,9 @@ def _locate(window: int, phrase: int):
             spans = []
             for i, p in found:
                 t, d = texts[i], owner[i]
-                at = [0]
-                for w in t.split():
-                    at.append(at[-1] + len(w) + 1)
+                at = list(accumulate(map(len, t.split()), initial=0))  # without the spaces, of which each word has one
                 lo, hi = max(0, p + phrase - window), min(len(answer[i]), p + 1)
-                keys = [t[at[s] : at[s + window]] for s in range(lo, hi)]
+                keys = [t[at[s] + s : at[s + window] + s + window] for s in range(lo, hi)]
                 for k in keys:
                     if d < best.get(k, _NOBODY):
                         best[k] = d
