@@ -249,7 +249,11 @@ def rsync_signatures(spark, d):
     return D.signatures(docs(spark, d)).drop("weak")
 
 
-@query("WITH h AS (SELECT doc_id, hex(encode(text)) AS h, octet_length(encode(text)) AS n FROM documents), v AS (SELECT doc_id, n, x, CAST('0x' || h[2 * x + 1:2 * x + 2] AS BIGINT) AS u FROM h, range(0, n) AS r(x)), s AS (SELECT doc_id, sum(CASE WHEN u > 127 THEN u - 256 ELSE u END) AS s1, sum((n - x) * CASE WHEN u > 127 THEN u - 256 ELSE u END) AS s2 FROM v GROUP BY doc_id) SELECT doc_id, CAST(((((s1 % 65536) + 65536) % 65536) + (((s2 % 65536) + 65536) % 65536) * 65536) % 4294967296 AS BIGINT) AS weak FROM s")
+@query(
+    """WITH v AS (SELECT doc_id, len(h) AS n, unnest(range(0, CAST(len(h) AS BIGINT))) AS x, CAST('0x' || unnest(h) AS BIGINT) AS u FROM (SELECT doc_id, regexp_extract_all(hex(encode(text)), '..') AS h FROM documents)),
+    s AS (SELECT doc_id, sum(CASE WHEN u > 127 THEN u - 256 ELSE u END) AS s1, sum((n - x) * CASE WHEN u > 127 THEN u - 256 ELSE u END) AS s2 FROM v GROUP BY doc_id)
+    SELECT doc_id, CAST(((((s1 % 65536) + 65536) % 65536) + (((s2 % 65536) + 65536) % 65536) * 65536) % 4294967296 AS BIGINT) AS weak FROM s"""
+)
 def weak_checksum(spark, d):
     return docs(spark, d).select(F.col("volume_id").alias("doc_id"), H.weak_checksum("data").alias("weak"))
 
