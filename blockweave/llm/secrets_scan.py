@@ -29,7 +29,7 @@ from .textkit import U, Chunk, arrow_schema, bound_batches, each_chunk, id_colum
 KINDS = ("assign", "access", "hex")
 PLAIN = len(KINDS)
 #: Different values of a kind, and ordinary tokens, learned from at most: those of the least hashes. Values longer than LONG teach by so many characters, and no stop.
-SAMPLE_VALUES, SAMPLE_PLAIN, LONG = 2_000, 8_000, 2_048
+SAMPLE_VALUES, SAMPLE_PLAIN, LONG = 2_000, 4_000, 2_048
 #: Ordinary tokens weigh so much together, however large the corpus: what a state's frequencies are held to doesn't tighten with it.
 PLAIN_WEIGHT = 20_000.0
 #: Tokens of fewer characters are no candidates, as the shortest labelled value has so many. The margin, in bits.
@@ -43,7 +43,7 @@ STOP = len(SYMBOLS)
 _symbol = np.full(256, 255, np.uint8)
 _symbol[np.frombuffer(SYMBOLS.encode(), np.uint8)] = np.arange(STOP)
 _ALNUM = 62  # the first symbols are digits and letters
-ALPHAS = (0.0001, 0.01, 0.2, 0.8)
+ALPHAS = (0.0001, 0.05, 0.8)
 
 
 def base_spans(text: str) -> list[tuple[int, int, int, str]]:
