@@ -18,14 +18,14 @@ from pyspark.sql import functions as F
 from .textkit import U, Chunk, id_column, over_chunks, packed, settle, signed, with_columns, with_text_kind
 
 #: Shingles of the items that one pass over the texts holds; more items take more passes.
-BLOCK_SHINGLES = 1 << 21
+BLOCK_SHINGLES = 1 << 23
 
 
 class Index:
     """Sketches and sets of a block of items."""
 
     def __init__(self, ids: pa.Array, sets: list[np.ndarray], words: np.ndarray, k: int, percent: int):
-        self.ids, self.sets, self.words, self.k, self.percent = ids, sets, words, k, percent
+        self.ids, self.words, self.k, self.percent = ids, words, k, percent
         hs, at = [], []
         for i, s in enumerate(sets):
             upper = (1 << int(len(s)).bit_length()) - 1
@@ -37,6 +37,9 @@ class Index:
         self.h, self.at = h[order], at[order]
         self.bits = np.zeros(1 << 20, bool)
         self.bits[(self.h >> U(44)).astype(np.int64)] = True
+        self.sizes = np.array([len(s) for s in sets], np.int64)
+        self.first = np.cumsum(self.sizes) - self.sizes
+        self.flat = np.concatenate([np.zeros(0, U), *sets])
         self.short = sorted({int(w) for w in words if 0 < w < k})
 
     def find(self, c: Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -59,17 +62,26 @@ class Index:
         near, lo, n = near[hi > lo], lo[hi > lo], (hi - lo)[hi > lo]
         doc = np.repeat(np.searchsorted(off, near, "right") - 1, n)
         item = self.at[np.repeat(lo, n) + np.arange(len(doc)) - np.repeat(np.cumsum(n) - n, n)]
-        pairs = np.unique(np.stack([doc, item], 1), axis=0) if len(doc) else np.zeros((0, 2), np.int64)
-        keep = []
-        for d, i in pairs:
-            if (self.words[i] < self.k) != bool(short) or short and self.words[i] != short:
-                continue
-            s, mine = self.sets[i], h[off[d] : off[d + 1]]
-            shared = int((mine[np.minimum(np.searchsorted(mine, s), len(mine) - 1)] == s).sum())
-            if 100 * shared >= self.percent * len(s):
-                keep.append((d, i, shared))
-        got = np.array(keep, np.int64).reshape(-1, 3)
-        return got[:, 0], got[:, 1], got[:, 2]
+        fits = self.words[item] == short if short else self.words[item] >= self.k
+        pair = np.unique(doc[fits] * len(self.words) + item[fits])
+        doc, item = pair // max(1, len(self.words)), pair % max(1, len(self.words))
+        shared = np.zeros(len(doc), np.int64)
+        if len(doc):
+            # Hashes by rank, so that a text and a hash are one number; all pairs of about a million shingles at once.
+            ranks = np.unique(h)
+            own = np.repeat(np.arange(len(off) - 1), np.diff(off)) * len(ranks) + np.searchsorted(ranks, h)
+            ends = np.cumsum(self.sizes[item])
+            cuts = np.unique(np.append(np.searchsorted(ends, np.arange(0, ends[-1], 1 << 20)), len(doc)))
+            for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+                n = self.sizes[item[lo:hi]]
+                at = np.repeat(self.first[item[lo:hi]] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+                s = self.flat[at]
+                r = np.minimum(np.searchsorted(ranks, s), len(ranks) - 1)
+                key = np.repeat(doc[lo:hi], n) * len(ranks) + r
+                hit = (ranks[r] == s) & (own[np.minimum(np.searchsorted(own, key), len(own) - 1)] == key)
+                shared[lo:hi] = np.bincount(np.repeat(np.arange(hi - lo), n), hit, hi - lo)
+        keep = 100 * shared >= self.percent * self.sizes[item]
+        return doc[keep], item[keep], shared[keep]
 
 
 def indexes(items: DataFrame, k: int = 5, percent: int = 80, block: int = BLOCK_SHINGLES):
@@ -111,7 +123,7 @@ def find_items(docs: DataFrame, items: DataFrame, k: int = 5, percent: int = 80,
         def rows(c, shared=shared):
             x = shared.value
             d, i, n = x.find(c)
-            yield {"doc_id": id_column(c).take(pa.array(d)), "item_id": x.ids.take(pa.array(i)), "n_item": np.array([len(x.sets[j]) for j in i], np.int64), "n_shared": n}
+            yield {"doc_id": id_column(c).take(pa.array(d)), "item_id": x.ids.take(pa.array(i)), "n_item": x.sizes[i], "n_shared": n}
 
         part = over_chunks(docs, rows, "doc_id long, item_id long, n_item long, n_shared long")
         out = part if out is None else out.union(part)

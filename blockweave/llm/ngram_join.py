@@ -29,8 +29,8 @@ each link exactly.
 Only tables of fixed size reach the driver or are broadcast: a bitmap of
 ``2**bits`` bits (a filter without false negatives; full, it lets every text
 pass) and at most ``MAX_COMMON`` common n-grams, which set the order only. The
-fragments of step 2 follow spark.sql.shuffle.partitions. Sets are compared by
-64-bit hashes of the words.
+fragments of step 2 follow the measured input. Sets are compared by 64-bit
+hashes of the words.
 """
 
 from __future__ import annotations
@@ -43,7 +43,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .textkit import U, arrow_schema, bitmap, bitmap_table, bound_batches, by_fragment, each_chunk, fragment_of, id_column, maybe_in, mix, over_chunks, pack, partitions, probe, record, settle, signed, unpack, written
+from .textkit import U, arrow_schema, bitmap, bitmap_table, bound_batches, by_fragment, each_chunk, fragment_of, fragments, id_column, maybe_in, mix, over_chunks, pack, probe, record, settle, signed, unpack, written
 
 BITS = 25
 MAX_COMMON = 1 << 18
@@ -144,15 +144,14 @@ def _shared(table: pa.Table) -> pa.Table:
     return pa.table({"kind": pa.array([0] * len(who) + [1] * len(hot), pa.int32()), "key": np.concatenate([signed(who), signed(h[edge[hot]] | (frag << U(40)))]), "n": pa.array(np.concatenate([n, df[hot]]), pa.int64())})
 
 
-def partners(docs: DataFrame, classes: DataFrame, k: int, fold: bool, percent: int) -> tuple[DataFrame, np.ndarray, int]:
-    """The classes that may have a partner, the common n-grams (at most MAX_COMMON), and the number of fragments these are numbered by."""
-    n_frag = 4 * partitions(docs.sparkSession)
+def partners(docs: DataFrame, classes: DataFrame, k: int, fold: bool, percent: int, n_frag: int) -> tuple[DataFrame, np.ndarray]:
+    """The classes that may have a partner, and the common n-grams (at most MAX_COMMON), numbered by fragment."""
     counts = settle(_postings(docs, k, fold, percent, n_frag).groupBy("frag").applyInArrow(_shared, "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n")))
     n = F.col("n_shingles")
     least = F.greatest(F.lit(1), F.floor(F.ceil(n * percent / 100) * (100 - percent) / 100))
     keep = classes.withColumn("key", F.col("fp")).join(counts.where("kind = 0").select("key", F.col("n").alias("shared")), "key").where(F.col("shared") >= least)
     common = counts.where("kind = 1").orderBy(F.desc("n"), "key").limit(MAX_COMMON).select("key").toPandas()["key"].to_numpy(np.int64)
-    return keep.select("fp", "rep", "n_shingles"), np.sort(common.view(U)), n_frag
+    return keep.select("fp", "rep", "n_shingles"), np.sort(common.view(U))
 
 
 def _split(docs: DataFrame, bits: np.ndarray, common: np.ndarray, n_common: int, k: int, fold: bool, percent: int) -> DataFrame:
@@ -324,7 +323,9 @@ def _components(docs: DataFrame, k: int, percent: int, fold: bool, links: bool)
     spark = docs.sparkSession
     sig = settle(signatures(docs, k, fold))
     classes = sig.where("fp is not null").groupBy("fp").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"))
-    keep, common, n_common = partners(docs, classes, k, fold, percent)
+    # A set sends about twice the n-grams that a partner may lack, of 13 bytes each.
+    n_common = fragments(spark, (sig.agg(F.sum("n_shingles")).first()[0] or 0) * 13 * 2 * (100 - percent) // 100)
+    keep, common = partners(docs, classes, k, fold, percent, n_common)
 
     def keyed(batches):
         for b in batches:

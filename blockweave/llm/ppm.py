@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textkit import Chunk, U, arrow_schema, bound_batches, by_fragment, each_chunk, fragment_of, id_column, mix, partitions, record, settle, written
+from .textkit import Chunk, U, arrow_schema, bound_batches, by_fragment, each_chunk, fragment_of, fragments, id_column, mix, record, settle, written
 
 FLUSH = 1 << 20
 SYMBOLS, END = 64, 63
@@ -420,7 +420,8 @@ def score_texts(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     held = (F.crc32(F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit(""))) % 5) == 1
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), (~held).alias("train"))
-    n_frag = 4 * partitions(spark)
+    trained, size = docs.agg(F.count_if("train"), F.sum(F.octet_length("text"))).first()
+    n_frag = fragments(spark, size or 0)
     cut = written(_postings(docs, n_frag))
 
     def add(table):
@@ -438,7 +439,6 @@ def score_texts(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([int(v)]) for v in n], ["n", "v"])
 
     words, distinct = sums.where("part is null").select("blob").mapInArrow(total, "n long, v long").agg(F.sum("n"), F.sum("v")).first()
-    trained = docs.where("train").count()
     n, v = (words or 0) + trained, (distinct or 0) + (trained > 0)
     logs = cut.where("kind = 2").select("frag", "part", "blob").groupBy("frag").applyInArrow(lambda t: _strings(t, shared.value), "kind int, frag int, part long, blob binary")
     both = cut.where("kind = 1").select("kind", "frag", "part", "blob").union(sums.where("part is not null")).union(logs)

@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 CHUNK_BYTES = 1 << 20
+FRAGMENT_BYTES = 1 << 25
 U = np.uint64
 _ODD = U(0x9E3779B97F4A7C15)
 _BASE = U(0xD6E8FEB86659FD93)  # 3 mod 4: prefix sums of powers stay well mixed
@@ -236,6 +237,11 @@ def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
 
 
+def fragments(spark: SparkSession, size: int) -> int:
+    """How many fragments a table of so many bytes is cut into: four for each shuffle partition, and as many more as keep one below about FRAGMENT_BYTES, whatever the setting."""
+    return max(4 * partitions(spark), -(-size // FRAGMENT_BYTES))
+
+
 def pack(*cols: tuple[np.ndarray, int]) -> bytes:
     """Columns of unsigned integers, each cut to its low so many bytes, one after the other."""
     return b"".join(np.ascontiguousarray(np.ascontiguousarray(a.astype("<u8")).view(np.uint8).reshape(-1, 8)[:, :w]).tobytes() for a, w in cols)

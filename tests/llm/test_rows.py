@@ -166,3 +166,39 @@ def test_op10_null_item_ids(spark):
     items = spark.createDataFrame([(None, t), (-1, "v " + t)], "item_id long, text string")
     got = find_items(spark.createDataFrame([(1, t), (None, "v " + t)], "doc_id long, text string"), items).collect()
     assert Counter((r.doc_id, r.item_id) for r in got) == Counter([(1, None), (1, -1), (None, None), (None, -1)])
+
+
+def test_fragments_follow_the_input(spark):
+    from blockweave.llm.textkit import FRAGMENT_BYTES, fragments, partitions
+
+    assert fragments(spark, 0) == 4 * partitions(spark) and fragments(spark, 1000 * FRAGMENT_BYTES + 1) == 1001
+
+
+def test_bitmap_of_keys_has_no_false_negatives(spark):
+    from pyspark.sql import functions as F
+
+    from blockweave.llm.textkit import bitmap_table, maybe_in
+
+    keys = spark.range(5000).select(F.xxhash64("id").alias("k"))
+    rows = spark.range(20000).withColumn("k", F.xxhash64("id"))
+    got = maybe_in(rows, "k", bitmap_table(keys, "k", 20), 20, "maybe").collect()
+    assert len(got) == 20000 and all(r.maybe for r in got if r.id < 5000)
+    assert sum(r.maybe for r in got if r.id >= 5000) < 300
+    assert not any(r.maybe for r in maybe_in(rows, "k", bitmap_table(keys.limit(0), "k", 20), 20, "maybe").collect())
+
+
+def test_drop_linked_by_hot_sets(spark, monkeypatch):
+    """A base with very many near copies, compared in several tasks, leaves one row."""
+    from blockweave.llm import ngram_join
+
+    monkeypatch.setattr(ngram_join, "PER_TASK", 5)
+    r = random.Random(17)
+    base = [f"w{r.randrange(10**6)}" for _ in range(150)]
+    rows = [(0, " ".join(base))]
+    for i in range(1, 50):
+        w = list(base)
+        w[r.randrange(150)] = f"x{i}"
+        rows.append((i, " ".join(w)))
+    d = spark.createDataFrame(rows + [(60, "alone and other words here")], "doc_id long, text string")
+    assert sorted(x.doc_id for x in ngram_join.drop_linked(d).collect()) == [0, 60]
+    assert {x.component_id for x in ngram_join.jaccard_components(d).collect()} == {0, 60}
