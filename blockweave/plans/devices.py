@@ -15,7 +15,7 @@ from ..operators import resume as Q
 from ..operators import state as T
 from ..sources import records as X
 from ..sources.volumes import save, table
-from ..streaming.replay import scratch
+from ..streaming.replay import log_stream, scratch, watch
 from .catalog import _BLOCKS, _EDIT, _LOG, _PAIR, B, docs, edited, query
 
 
@@ -411,6 +411,13 @@ def probe(spark, d):
     return Q.probe(rows.drop("m"), rows.where("key % 2 = 0").select("key", "m")).select("key", F.col("size_bytes").cast("int").alias("size_bytes"), "problem")
 
 
+@query("SELECT event_type, count(*) AS n, min(event_id) AS first FROM events WHERE value >= 50 GROUP BY event_type")
+def stream_alerts(spark, d):
+    """Rows at or above a limit, as a stream appends them to a table."""
+    got = watch(log_stream(spark, d, "events.parquet", 1), "value", 50, scratch(spark))
+    return got.groupBy("event_type").agg(F.count("*").alias("n"), F.min("event_id").alias("first"))
+
+
 # -- codecs, handshakes, choices ---------------------------------------------------------------------
 @query(
     """WITH c AS (SELECT p_partkey, p_size, CASE WHEN p_size % 2 = 0 THEN 'cdc' ELSE 'fixed' END AS mode, CASE p_partkey % 4 WHEN 0 THEN 'auto' WHEN 1 THEN 'zstd' WHEN 2 THEN 'lz4' ELSE 'none' END AS compress, p_size % 8 - 1 AS level, CASE WHEN p_partkey % 3 = 0 THEN 9 ELSE 1 END AS lz FROM part),

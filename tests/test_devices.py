@@ -316,3 +316,23 @@ def test_stream_watches_a_limit(spark, tmp_path):
     assert sorted(r.id for r in got.collect()) == [8, 9, 10]
     # A second run finds nothing new, and repeats nothing.
     assert Z.watch(Z.log_stream(spark, folder, "*.parquet"), "usage", 80.0, str(tmp_path / "top")).count() == 3
+
+
+@pytest.mark.parametrize("master,fails", [("local[4]", False), ("local", False), ("local-cluster[2,1,1024]", True), ("spark://host:7077", True), ("yarn", True)])
+def test_no_own_folder_on_a_cluster(master, fails):
+    """Where spark.checkpoint.dir is unset, only local mode gets a folder of its own."""
+    from types import SimpleNamespace
+
+    from blockweave.sources.volumes import shared
+
+    at = []
+    sc = SimpleNamespace(master=master, getCheckpointDir=lambda: at[-1] if at else None, setCheckpointDir=at.append)
+    session = SimpleNamespace(sparkContext=sc, conf=SimpleNamespace(get=lambda k, d: d))
+    if fails:
+        with pytest.raises(ValueError, match="share"):
+            shared(session)
+    else:
+        assert shared(session) == at[0]
+    named = SimpleNamespace(sparkContext=sc, conf=SimpleNamespace(get=lambda k, d: "hdfs:///shared"))
+    at.clear()
+    assert shared(named) == "hdfs:///shared"
