@@ -44,4 +44,13 @@ comp AS (SELECT x, min(y) AS c FROM reach GROUP BY x)
 SELECT w.doc_id, CAST(coalesce(sets.n, 0) AS BIGINT) AS n_shingles, coalesce(rep.r, w.doc_id) AS class_id, CAST(coalesce(deg.n_links, 0) AS BIGINT) AS n_links, coalesce(comp.c, w.doc_id) AS component_id
 FROM w LEFT JOIN sets USING (doc_id) LEFT JOIN rep USING (f) LEFT JOIN comp ON comp.x = rep.r LEFT JOIN deg ON deg.x = rep.r"""
 
-ORACLES: dict[str, str] = {"op2_ngram_jaccard_join": _COMPONENTS, "op4_license_scans": licences_sql(), "op6_substring_dedup": _SUBSTRINGS, "op10_decontamination": _LEAKS}
+_NEGATIVES = """
+WITH r AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda c: floor(256 * CAST(c AS DOUBLE))) AS x, row_number() OVER () AS n
+  FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
+s AS (SELECT a.n AS an, a.vec_id AS anchor_id, b.vec_id, b.n, a.label = b.label AS alike, CAST(list_inner_product(a.x, b.x) AS BIGINT) AS score FROM r AS a JOIN r AS b ON a.vec_id % 100 = 0 AND a.n <> b.n),
+p AS (SELECT an, anchor_id, n AS pn, vec_id AS positive_id, score AS positive_score FROM s WHERE alike QUALIFY row_number() OVER (PARTITION BY an ORDER BY score DESC, vec_id) <= 5),
+g AS (SELECT p.*, s.vec_id AS negative_id, s.score AS negative_score, row_number() OVER (PARTITION BY p.an, pn ORDER BY s.score DESC, s.vec_id) AS rank FROM p JOIN s ON p.an = s.an AND NOT s.alike AND 30 * positive_score <= 100 * s.score AND 100 * s.score <= 90 * positive_score)
+SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM g WHERE rank <= 10"""
+
+
+ORACLES: dict[str, str] = {"op2_ngram_jaccard_join": _COMPONENTS, "op4_license_scans": licences_sql(), "op6_substring_dedup": _SUBSTRINGS, "op10_decontamination": _LEAKS, "op13_hard_negatives": _NEGATIVES}

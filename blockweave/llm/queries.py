@@ -72,6 +72,35 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .whitening import whiten
+
+    rows = whiten(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+    deviation = F.col("deviation_").try_cast("long").alias("deviation")
+    each = rows.select("vec_id", F.posexplode(F.arrays_zip("whitened_", "explained_")).alias("at_", "c_"), F.col("n_").alias("n"), deviation, F.col("identity_error_").alias("identity_error"))
+    return each.select("vec_id", (F.col("at_") + 1).alias("component"), "n", "deviation", F.col("c_.whitened_").alias("whitened"), F.col("c_.explained_").alias("explained"), "identity_error")
+
+
+def op12_bpe(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
+    from .bpe import decode, encode
+
+    if tokenizer is None:
+        import public_tokenizers
+
+        tokenizer = public_tokenizers.path("word_bpe_49k.json")
+    ids = encode(table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer).drop("text")
+    out = decode(ids, tokenizer)
+    hashed = F.sha2(F.concat_ws(" ", F.col("ids").cast("array<string>")), 256)
+    return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), hashed.alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .negatives import mine
+
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return mine(table(spark, sf_dir, "embeddings"), label=label)
+
+
 def queries() -> dict:
     return {name: f for name, f in globals().items() if name.startswith("op")}
 

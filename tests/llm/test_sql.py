@@ -9,7 +9,7 @@ SF = "/root/testdata/sf0.001"
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
 def test_query_equals_sql(spark, name):
     duck = duckdb.connect()
-    for t in ("documents", "benchmark", "pages"):
+    for t in ("documents", "benchmark", "pages", "embeddings"):
         duck.sql(f"create view {t} as select * from '{SF}/{t}.parquet'")
     got = queries.queries()[name](spark, SF)
     names = sorted(got.columns)
