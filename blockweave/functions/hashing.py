@@ -9,41 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-
-def _crc_tables() -> np.ndarray:
-    t = np.zeros((8, 256), np.uint32)
-    for i in range(256):
-        c = i
-        for _ in range(8):
-            c = (c >> 1) ^ (0x82F63B78 if c & 1 else 0)
-        t[0, i] = c
-    for k in range(1, 8):
-        t[k] = (t[k - 1] >> 8) ^ t[0, t[k - 1] & 255]
-    return t
-
-
-_CRC = _crc_tables()
-
-
-def crc32c_many(blobs: list[bytes]) -> np.ndarray:
-    """CRC-32C of all blobs at once: one table step for the next byte of each; blobs that have ended wait."""
-    lens = np.array([len(b) for b in blobs], np.int64)
-    out = np.full(len(blobs), 0xFFFFFFFF, np.uint32)
-    if not len(blobs):
-        return out.astype(np.int64)
-    data, first = np.frombuffer(b"".join(blobs), np.uint8), np.cumsum(lens) - lens
-    order = np.argsort(-lens, kind="stable")
-    rank = -np.sort(-lens)
-    for j in range(int(rank[0]) if len(rank) else 0):
-        live = order[: np.searchsorted(-rank, -j, "left")]
-        c = out[live]
-        out[live] = (c >> 8) ^ _CRC[0][(c ^ data[first[live] + j]) & 255]
-    return (out ^ np.uint32(0xFFFFFFFF)).astype(np.int64)
-
-
-@F.pandas_udf(T.LongType())
-def crc32c(data: pd.Series) -> pd.Series:
-    return pd.Series(crc32c_many([bytes(b) for b in data]))
+from .crc import crc32c, crc32c_many  # noqa: F401
 
 
 @F.pandas_udf(T.StringType())

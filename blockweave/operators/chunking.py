@@ -95,13 +95,18 @@ class Cutter:
         n = n[n > 0]
         return float((n * np.log2(n)).sum()) <= 128 + 1e-9
 
-    def cuts(self, data: np.ndarray) -> list[int]:
-        """Ends of the chunks."""
-        size, out, at = len(data), [], 0
+    def hashes(self, data: np.ndarray) -> np.ndarray:
+        """The hash after each byte, as far as the masks see it."""
         g = self.table[data]
         h = g.copy()
         for j in range(1, self.width):
-            h[j:] += g[:-j] << np.uint64(j) if j < size else 0
+            h[j:] += g[:-j] << np.uint64(j) if j < len(data) else 0
+        return h
+
+    def cuts(self, data: np.ndarray) -> list[int]:
+        """Ends of the chunks."""
+        size, out, at = len(data), [], 0
+        h = self.hashes(data)
         found = np.flatnonzero((h & self.normal) == 0)
         maybe, sure = found.tolist(), ((h[found] & self.wide) == 0).tolist()
         shifts = np.arange(1, self.width, dtype=np.uint64)

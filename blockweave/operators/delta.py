@@ -75,15 +75,18 @@ def byte_runs(pairs: DataFrame, buffer: int = COMPARE) -> DataFrame:
     return pairs.select("volume_id", "a", "b").mapInArrow(run, "volume_id long, start long, length long")
 
 
-def signatures(vol: DataFrame, least: int = 700) -> DataFrame:
-    """Weak and strong hashes of blocks of about the square root of the size."""
-    from ..functions.hashing import weak_checksum
+def signatures(vol: DataFrame, least: int = 700, strong: str = "md5") -> DataFrame:
+    """Weak and strong hashes of blocks of about the square root of the size. strong: md5, md4 or sha256."""
+    from ..functions.hashing import sha, weak_checksum
+    from ..functions.trees import md4
+
+    hashes = {"md5": F.md5, "md4": md4, "sha256": sha}
 
     n = F.octet_length("data")
     size = F.greatest(F.lit(least), F.floor(F.sqrt(n))).cast("int")
     out = vol.withColumn("size", size).withColumn("seq", F.explode(F.filter(F.sequence(F.lit(0).cast("long"), F.ceil(n / size)), lambda x: x < F.ceil(n / size))))
     out = out.withColumn("piece", F.substr("data", (F.col("seq") * F.col("size") + 1).cast("int"), F.col("size")))
-    return out.select("volume_id", "size", "seq", weak_checksum("piece").alias("weak"), F.md5("piece").alias("strong"))
+    return out.select("volume_id", "size", "seq", weak_checksum("piece").alias("weak"), hashes[strong]("piece").alias("strong"))
 
 
 __all__ = ["apply", "blocks", "byte_runs", "classify", "deltas", "overlay", "signatures"]

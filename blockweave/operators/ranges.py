@@ -33,18 +33,49 @@ def coalesce_runs(frames: DataFrame, by: list[str], order: str, start: str = "of
     return frames.withColumn("run_", run).where(ok).groupBy(*by, "run_").agg(F.min(start).alias("start"), F.sum(length).cast("long").alias("length"), F.count("*").alias("n_frames")).drop("run_")
 
 
+#: Intervals are of 4**level units, level up to this.
+LEVELS = 31
+
+
+def dyadic(start: Column, end: Column) -> Column:
+    """The fewest aligned intervals of powers of four that make up [start, end) of units, as array<struct(level, at)>: six for each two bits of its length at most; none of an empty range."""
+    none = F.array().cast("array<bigint>")
+    run = lambda a, b: F.when(a < b, F.sequence(a, b - 1)).otherwise(none)
+
+    def at(level):
+        bits = level * 2
+        up = F.call_function("shiftleft", F.lit(1).cast("long"), bits) - 1
+        a, b = F.call_function("shiftright", start + F.least(up, F.lit(2**63 - 1) - start), bits), F.call_function("shiftright", end, bits)
+        inner_a, inner_b = F.call_function("shiftright", a + 3, F.lit(2)) * 4, F.call_function("shiftright", b, F.lit(2)) * 4
+        here = F.when(a >= b, none).when(inner_a <= inner_b, F.concat(run(a, inner_a), run(inner_b, b))).otherwise(run(a, b))
+        return F.transform(here, lambda x: F.struct(level.cast("int").alias("level"), x.alias("at")))
+
+    return F.flatten(F.transform(F.sequence(F.lit(0), F.lit(LEVELS)), at))
+
+
+def covers(ranges: DataFrame, by: list[str], unit: int) -> DataFrame:
+    """(by, start_, end_, level_, at_): each range that isn't empty as aligned intervals, cut outward to whole units."""
+    a, b = F.floor(F.col("start") / unit).cast("long"), F.floor((F.col("end") - 1) / unit).cast("long") + 1
+    return ranges.where(F.col("end") > F.col("start")).where("start >= 0").select(*by, F.col("start").alias("start_"), F.col("end").alias("end_"), F.inline(dyadic(a, b)).alias("level_", "at_"))
+
+
 def contained(blocks: DataFrame, ranges: DataFrame, by: list[str], width: int) -> DataFrame:
-    """Blocks (offset, length) inside one range (start, end); adjacent ranges don't count as one.
+    """Blocks (offset, length) inside one range (start, end); adjacent ranges don't count as one. Offsets from 0.
 
-    An equi-join on buckets of offsets instead of a nested loop: a range is
-    in each bucket it touches, a block in that of its offset. Choose width near
-    the usual range.
+    An equi-join on aligned intervals instead of a nested loop: a range is six
+    rows at most for each two bits of its length in units of ``width``, however
+    long it is, and a block asks for those that hold its first byte, on the levels
+    that there are. What is found is compared exactly, so width matters for speed
+    alone; choose it near the blocks' size.
     """
-    b = blocks.withColumn("bucket_", F.floor(F.col("offset") / width))
-    touched = F.sequence(F.floor(F.col("start") / width), F.floor((F.col("end") - 1) / width))
-    r = ranges.where(F.col("end") > F.col("start")).select(*by, F.col("start").alias("s_"), F.col("end").alias("e_"), F.explode(touched).alias("bucket_"))
-    on = [b[c] == r[c] for c in by] + [b["bucket_"] == r["bucket_"], b["offset"] >= r["s_"], b["offset"] + b["length"] <= r["e_"]]
-    return b.join(r, on, "left_semi").drop("bucket_")
+    pieces = covers(ranges, by, width)
+    levels = pieces.agg(F.collect_set("level_").alias("levels_")).scalar()
+    unit = F.floor(F.col("offset") / width).cast("long")
+    asked = blocks.withColumn("levels_", levels).withColumn("asked_", F.transform("levels_", lambda v: F.struct(v.alias("level_"), F.call_function("shiftright", unit, v * 2).alias("at_"))))
+    b = asked.withColumn("id_", F.monotonically_increasing_id()).select("*", F.inline("asked_"))
+    on = [b[c] == pieces[c] for c in by] + [b["level_"] == pieces["level_"], b["at_"] == pieces["at_"], b["offset"] >= pieces["start_"], b["offset"] + b["length"] <= pieces["end_"]]
+    hit = b.join(pieces, on, "left_semi")
+    return hit.dropDuplicates(["id_"]).select(*blocks.columns)
 
 
 def resume_after(ranges: DataFrame, by: list[str], digest: str) -> DataFrame:

@@ -51,6 +51,13 @@ def settled(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def bound_batches(spark: SparkSession, size: int = 1 << 26) -> None:
+    """Arrow batches of this session end after so many bytes, so that large payloads don't pile up. A bound that the user has set stays."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, None) in (None, "-1", "9223372036854775807", str((1 << 31) - 1)):
+        spark.conf.set(key, str(size))
+
+
 def save(df: DataFrame, path: str) -> None:
     """Replace a table by staging and rename, as Spark's committer does it."""
     df.write.mode("overwrite").parquet(path)

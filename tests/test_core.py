@@ -14,7 +14,7 @@ from blockweave.operators import delta as D
 from blockweave.operators import manifest as M
 from blockweave.operators import ranges as R
 from blockweave.operators import state as T
-from blockweave.plans import catalog, devices  # noqa: F401  (devices adds its queries)
+from blockweave.plans import catalog, devices, parts  # noqa: F401  (they add their queries)
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -128,8 +128,8 @@ def test_query_equals_sql(spark, duck, name):
 
 
 def test_queries_without_sql_have_tests_of_their_own():
-    """test_devices holds these against plain loops."""
-    assert set(catalog.QUERIES) - set(ORACLE) == {"cdc_chunks", "cdc_size_dist", "cdc_dedup_refs", "xxh3", "compress_decision", "work_queue", "signature_cache"}
+    """test_devices and test_parts hold these against plain loops."""
+    assert set(catalog.QUERIES) - set(ORACLE) == {"cdc_chunks", "cdc_chunks_parts", "blake3_blocks", "blake3_volumes", "rsync_signatures_md4", "cdc_size_dist", "cdc_dedup_refs", "xxh3", "compress_decision", "work_queue", "signature_cache"}
 
 
 def test_entry(spark):
