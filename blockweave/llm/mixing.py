@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .textkit import settle
+from .textkit import bitmap_table, maybe_in, partitions, settle, written
 
 WEIGHTS = (5, 2, 1)
 PERCENT = 150
@@ -27,6 +27,8 @@ ROUNDS = 40
 #: Columns that the mix adds.
 NEW = ("size_", "source_size", "target", "rate_", "copies_")
 BINS = 4096
+#: Repeated rows numbered by one task, and bits of the bitmap that finds them.
+RUN, REPEAT_BITS = 1 << 16, 24
 
 
 def _key():
@@ -34,11 +36,24 @@ def _key():
 
 
 def sized(docs: DataFrame) -> DataFrame:
-    """Each row as struct own_, with size_ (words), key_ (source, nulls one of their own) and u_, a draw from 0 to 1 that the row's content fixes."""
+    """Each row as struct own_, with size_ (words), key_ (source, nulls one of their own), u_, a draw from 0 to 1 that the row's content fixes, and g_, alike for rows of one doc_id, text and source."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     size = F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
     u = (F.shiftrightunsigned(F.xxhash64(F.col("doc_id").cast("long"), F.crc32(text), F.lit("mix")), 11).cast("double") + 0.5) / float(1 << 53)
-    return docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("own_"), size.alias("size_"), _key().alias("key_"), u.alias("u_"))
+    alike = F.xxhash64(F.col("doc_id").cast("long"), text, _key())
+    return docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("own_"), size.alias("size_"), _key().alias("key_"), u.alias("u_"), alike.alias("g_"))
+
+
+def running(df: DataFrame, order: list, sums: dict) -> DataFrame:
+    """df with, for each name in sums, the running sum of its column in this order, the row's own included. Rows are dealt by ranges of the order; of each range only its totals meet."""
+    spark = df.sparkSession
+    dealt = settle(df.repartitionByRange(partitions(spark), *order).withColumn("range_", F.spark_partition_id()))
+    totals = dealt.groupBy("range_").agg(*(F.sum(c).alias(f"{n}_t_") for n, c in sums.items()))
+    before = Window.partitionBy(F.lit(1)).orderBy("range_").rowsBetween(Window.unboundedPreceding, -1)
+    starts = totals.select("range_", *(F.coalesce(F.sum(f"{n}_t_").over(before), F.lit(0)).alias(f"{n}_s_") for n in sums))
+    inner = Window.partitionBy("range_").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    out = dealt.join(F.broadcast(starts), "range_")
+    return out.withColumns({n: F.sum(c).over(inner) + F.col(f"{n}_s_") for n, c in sums.items()}).select(*df.columns, *sums)
 
 
 def targets(hist: DataFrame, weights=WEIGHTS, percent: int = PERCENT, limit: float = LIMIT) -> DataFrame:
@@ -46,21 +61,22 @@ def targets(hist: DataFrame, weights=WEIGHTS, percent: int = PERCENT, limit: flo
 
     Sources share percent of all words by weight; those whose share is above
     limit times their own words stop there, the rest is shared again. In order of
-    limit * words / weight this is one pass over the table of sources.
+    limit * words / weight this is one running sum over the table of sources.
     """
     src = hist.groupBy("key_").agg(F.sum(F.col("size_") * F.col("n")).alias("source_size"), F.sum("n").alias("docs_"))
-    by_name = Window.partitionBy(F.lit(1)).orderBy(F.col("key_") == "null", "key_")
-    w = F.element_at(F.array(*(F.lit(float(x)) for x in weights)), (F.pmod(F.row_number().over(by_name) - 1, F.lit(len(weights))) + 1).cast("int"))
-    src = src.withColumn("w", w).withColumn("cap", limit * F.col("source_size"))
-    order = Window.partitionBy(F.lit(1)).orderBy(F.col("cap") / F.col("w"), "key_")
-    all_ = Window.partitionBy(F.lit(1))
-    left = F.sum("source_size").over(all_) * percent / 100 - (F.sum("cap").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("cap"))
-    rest = F.sum("w").over(order.rowsBetween(0, Window.unboundedFollowing))
-    src = src.withColumn("level", left / rest).withColumn("full", F.col("cap") <= F.col("level") * F.col("w"))
-    level = F.min(F.when(~F.col("full"), F.struct(F.col("cap") / F.col("w"), F.col("key_"), F.col("level"))))  # at the first that isn't full
-    src = src.withColumn("level", level.over(all_)["level"])
+    src = running(src.withColumns({"last_": F.col("key_") == "null", "one_": F.lit(1).cast("long")}), ["last_", "key_"], {"number": F.col("one_")})
+    w = F.element_at(F.array(*(F.lit(float(x)) for x in weights)), (F.pmod(F.col("number") - 1, F.lit(len(weights))) + 1).cast("int"))
+    src = src.withColumn("w", w).withColumn("cap", limit * F.col("source_size")).withColumn("ratio", F.col("cap") / F.col("w"))
+    src = settle(running(src, ["ratio", "key_"], {"caps": F.col("cap"), "weights": F.col("w")}))
+    all_ = src.agg(F.sum("source_size").alias("words"), F.sum("w").alias("weight")).head()
+    words, weight = float(all_["words"] or 0), float(all_["weight"] or 0)
+    rest = F.lit(weight) - F.col("weights") + F.col("w")
+    level = (F.lit(words * percent / 100) - (F.col("caps") - F.col("cap"))) / rest
+    src = src.withColumn("level", level).withColumn("full", F.col("cap") <= F.col("level") * F.col("w"))
+    first = src.where(~F.col("full")).agg(F.min(F.struct("ratio", "key_", "level")).alias("f")).head()["f"]  # the first that isn't full
     mean = F.greatest(F.lit(1.0), F.col("source_size") / F.col("docs_"))
-    return src.select("key_", F.col("source_size").cast("long").alias("source_size"), mean.alias("mean_"), F.when(F.col("full"), F.col("cap")).otherwise(F.col("w") * F.col("level")).cast("double").alias("target"))
+    goal = F.when(F.col("full"), F.col("cap")).otherwise(F.col("w") * F.lit(None if first is None else float(first["level"])))
+    return src.select("key_", F.col("source_size").cast("long").alias("source_size"), mean.alias("mean_"), goal.cast("double").alias("target"))
 
 
 def _rate(x):
@@ -102,7 +118,9 @@ def mix_sources(docs: DataFrame) -> DataFrame:
     Nulls: a null text has no words, a null source is a source of its own, last
     in order; null doc_ids are drawn by text. Rows without words add nothing and
     are rounded like others. Very long texts are counted whole. Repeated rows
-    get the same number of copies. Columns of docs that clash with one of the
+    (of one doc_id, text and source) have draws spread evenly from 0 to 1, so that
+    a source of equal rows meets its target too; which of them gets a copy more
+    may differ where their other columns do. Columns of docs that clash with one of the
     five new names give way; no other name clashes. An empty table stays empty.
     Reruns give the same.
     """
@@ -110,10 +128,43 @@ def mix_sources(docs: DataFrame) -> DataFrame:
     return out.select(*(F.col(f"own_.`{c}`").alias(c) for c in docs.columns if c not in NEW), *NEW)
 
 
+def _draw(i):
+    """The draw of one of m_ equal rows, number i of them."""
+    return (i + F.col("u_")) / F.col("m_")
+
+
+def _spread(reps: DataFrame) -> DataFrame:
+    """(key_, size_, u_) of all repeated rows, a large group's by many tasks."""
+    runs = reps.withColumn("run_", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("m_") - 1) / RUN))))
+    runs = runs.repartition(partitions(reps.sparkSession), "g_", "run_")
+    i = F.explode(F.sequence(F.col("run_") * RUN, F.least(F.col("m_"), (F.col("run_") + 1) * RUN) - 1))
+    return runs.withColumn("i_", i).select("key_", "size_", _draw(F.col("i_")).alias("u_"))
+
+
+def _numbered(rows: DataFrame, reps: DataFrame) -> DataFrame:
+    """rows with the draws of repeated ones spread: they are written once, counted by the task that wrote them, and numbered from there on; other rows pass without a shuffle."""
+    marked = maybe_in(rows, "g_", bitmap_table(reps, "g_", REPEAT_BITS), REPEAT_BITS, "rep_")
+    wide = written(marked.where("rep_").drop("rep_").withColumns({"part_": F.spark_partition_id(), "at_": F.monotonically_increasing_id()}))
+    found = wide.select("g_", "part_", "at_").join(reps.select("g_", "m_"), "g_")
+    counts = found.groupBy("g_", "part_").agg(F.count("*").alias("n_"))
+    before = Window.partitionBy("g_").orderBy("part_").rowsBetween(Window.unboundedPreceding, -1)
+    start = counts.select("g_", "part_", F.coalesce(F.sum("n_").over(before), F.lit(0)).alias("start_"))
+    inner = Window.partitionBy("g_", "part_").orderBy("at_")
+    number = found.withColumn("i_", F.row_number().over(inner) - 1).join(start, ["g_", "part_"]).select("at_", "m_", (F.col("i_") + F.col("start_")).alias("i_"))
+    out = wide.join(number, "at_", "left").withColumn("u_", F.when(F.col("i_").isNull(), F.col("u_")).otherwise(_draw(F.col("i_"))))
+    return marked.where(~F.col("rep_")).select(*rows.columns).unionByName(out.select(*rows.columns))
+
+
 def _taken(docs: DataFrame) -> DataFrame:
     """Rows as own_, with the columns NEW."""
     rows = sized(docs)
-    small = settle(rows.select("key_", "size_", "u_"))
+    slim = settle(rows.select("key_", "size_", "u_", "g_"))
+    reps = settle(slim.groupBy("g_", "key_", "size_", "u_").agg(F.count("*").alias("m_")).where("m_ > 1"))
+    repeated = reps.head() is not None
+    small = slim.drop("g_")
+    if repeated:
+        small = settle(slim.join(reps.select("g_"), "g_", "left_anti").drop("g_").unionByName(_spread(reps)))
+        rows = _numbered(rows, reps)
     hist = settle(small.groupBy("key_", "size_").agg(F.count("*").alias("n")))
     goals = balance(hist, targets(hist))
     few = goals.count() <= BROADCAST_SOURCES

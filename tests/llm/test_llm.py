@@ -308,3 +308,44 @@ def test_pipeline_stages(spark):
     keep = {c for d, _, c in components(a) if c is not None}
     assert {d for d, _ in b} == keep
     assert frames[-1].count() == frames[-2].count()
+
+
+@pytest.mark.parametrize("run", [4, 1 << 16])
+def test_op7_repeated_rows_meet_the_target(spark, monkeypatch, run):
+    """A source of equal rows alone, of one id or of null ids, beside one that the target is shared with."""
+    from blockweave.llm import mixing
+
+    monkeypatch.setattr(mixing, "RUN", run)
+    for same in (7, None):
+        data = [(same, "a b c", "a", i % 3) for i in range(900)] + [(1000 + i, "w " * (i % 50), "b", 0) for i in range(400)] + [(5, "z z", "c", 0), (5, "z z", "c", 1)]
+        d = spark.createDataFrame(data, "doc_id long, text string, source string, other int")
+        got = mixing.mix_sources(d.repartition(5)).collect()
+        taken, goal = Counter(), {}
+        for r in got:
+            taken[r.source] += r.size_ * r.copies_
+            goal[r.source] = r.target
+            assert r.copies_ in (0, 1, 2)
+        assert len(got) == len(data) and Counter(r.other for r in got) == Counter(r[3] for r in data)
+        assert abs(taken["a"] - goal["a"]) <= 3 and abs(taken["b"] - goal["b"]) <= 50 and abs(taken["c"] - goal["c"]) <= 2
+        again = mixing.mix_sources(d.coalesce(1)).collect()
+        assert Counter((r.doc_id, r.text, r.copies_) for r in again) == Counter((r.doc_id, r.text, r.copies_) for r in got)
+    only = spark.createDataFrame([(7, "a b", "x")] * 901, "doc_id long, text string, source string")
+    assert abs(sum(2 * r.copies_ for r in mixing.mix_sources(only).collect()) - 1.5 * 1802) <= 2
+
+
+def test_op7_running_sums_over_many_sources(spark):
+    """Targets by plain water filling, sources dealt by ranges."""
+    from blockweave.llm.mixing import targets
+
+    r = random.Random(8)
+    size = {f"={i:04d}": r.randrange(0, 5) * r.randrange(1, 2000) for i in range(700)} | {"null": 17}
+    hist = spark.createDataFrame([(k, v, 1) for k, v in size.items()], "key_ string, size_ long, n long")
+    weight = {k: (5, 2, 1)[i % 3] for i, k in enumerate(sorted(size, key=lambda k: (k == "null", k)))}
+    goal, free, rest = {}, set(size), 1.5 * sum(size.values())
+    while free:
+        level = rest / sum(weight[s] for s in free)
+        full = {s for s in free if weight[s] * level >= 2 * size[s]}
+        goal |= {s: 2.0 * size[s] for s in full} if full else {s: weight[s] * level for s in free}
+        rest, free = rest - sum(2 * size[s] for s in full), free - full if full else set()
+    got = {x.key_: x.target for x in targets(hist).collect()}
+    assert got.keys() == goal.keys() and all(math.isclose(got[k], goal[k], rel_tol=1e-9, abs_tol=1e-6) for k in goal)
