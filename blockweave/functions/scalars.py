@@ -130,12 +130,6 @@ def guid(raw: Column) -> Column:
     return F.concat_ws("-", byte(3, 2, 1, 0), byte(5, 4), byte(7, 6), byte(8, 9), byte(10, 11, 12, 13, 14, 15))
 
 
-def tokens(line: Column) -> Column:
-    """A handshake line as a map: key:value tokens, and bare keys with an empty value."""
-    pairs = F.transform(F.filter(F.split(F.trim(line), r"\s+"), lambda t: t != ""), lambda t: F.struct(F.split(t, ":", 2)[0].alias("k"), F.coalesce(F.get(F.split(t, ":", 2), F.lit(1)), F.lit("")).alias("v")))
-    return F.map_from_entries(pairs)
-
-
 # The tokens of a handshake line, in the order in which they are written; numbers, words, lists, marks.
 HANDSHAKE = (
     ("endian", "word"), ("block", "number"), ("dedup", "word"), ("resume", "word"), ("odirect", "mark"), ("inflight", "number"), ("cdcmin", "number"), ("cdcavg", "number"), ("cdcmax", "number"), ("alpn", "word"), ("tls", "word"),
@@ -290,12 +284,11 @@ def lv_path(path: Column) -> Column:
 
 
 def partition_line(line: Column) -> Column:
-    """struct(start, end, type) of a partition's line in the dump of a table, "device : key=value, ..." with its keys in any order, end inclusive; null for comments and lines that lack one of start, size and type."""
+    """struct(start, end, type) of a partition's line in the dump of a table, "device : key=value, ..." with its keys in any order, end inclusive; of repeated keys the last counts; null for comments and lines that lack one of start, size and type."""
     t = F.trim(line)
     pairs = F.transform(F.split(F.substr(t, F.instr(t, " : ") + 3), ","), lambda x: F.split(F.trim(x), "=", 2))
-    pairs = F.filter(pairs, lambda x: (F.size(x) == 2) & F.trim(x[0]).isin("start", "size", "type"))
-    m = F.map_from_entries(F.transform(pairs, lambda x: F.struct(F.trim(x[0]).alias("k"), F.trim(x[1]).alias("v"))))
-    start, size, kind = m["start"].try_cast("long"), m["size"].try_cast("long"), m["type"]
+    last = lambda key: F.trim(F.try_element_at(F.filter(pairs, lambda x: (F.size(x) == 2) & (F.trim(x[0]) == key)), F.lit(-1))[1])
+    start, size, kind = last("start").try_cast("long"), last("size").try_cast("long"), last("type")
     ok = F.startswith(t, F.lit("/")) & (F.instr(t, " : ") > 0) & start.isNotNull() & size.isNotNull() & (kind != "")
     return F.when(ok, F.struct(start.alias("start"), (start + size - 1).alias("end"), kind.alias("type")))
 

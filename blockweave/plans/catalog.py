@@ -437,7 +437,7 @@ def guid_decode(spark, d):
 @query("SELECT o_orderkey, CAST(4096 * (o_orderkey % 3 + 1) AS VARCHAR) AS block, 'zstd,lz4' AS compressors, true AS crc FROM orders")
 def handshake_parse(spark, d):
     line = F.concat(F.lit("block:"), (4096 * (F.col("o_orderkey") % 3 + 1)).cast("string"), F.lit(" compressors:zstd,lz4 crc32c"))
-    m = S.tokens(line)
+    m = S.tokens_last(line)
     return table(spark, d, "orders").select("o_orderkey", m["block"].alias("block"), m["compressors"].alias("compressors"), F.map_contains_key(m, "crc32c").alias("crc"))
 
 

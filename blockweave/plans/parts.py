@@ -8,12 +8,14 @@ from ..functions import crc, trees
 from ..functions.hashing import sha
 from ..operators import delta as D
 from ..operators import manifest as M
+from ..operators import merkle as K
 from ..operators import ranges as R
 from ..operators import segments as G
-from ..sources import device
+from ..sources import device, stored
 from ..sources.volumes import table
+from ..streaming import stateful as W
 from ..streaming.replay import scratch
-from .catalog import _BLOCKS, B, docs, query
+from .catalog import _BLOCKS, _PAIR, ORACLES, B, docs, edited, query
 
 
 @query()
@@ -74,3 +76,49 @@ def stored_volumes(spark, d):
     got = spark.read.format("volume").option("path", path).load().select("volume", "offset", "length", sha("data").alias("digest"))
     parts = F.array_sort(F.collect_list(F.struct("offset", "digest")))
     return got.groupBy("volume").agg(F.count("*").alias("n_blocks"), F.sum("length").alias("n_bytes"), sha(F.concat_ws("", F.transform(parts, lambda p: p["digest"]))).alias("root"))
+
+
+@query(f"WITH {_PAIR} SELECT coalesce(m.volume_id, e.volume_id) AS volume_id, CAST(coalesce(m.off, e.off) / {B} AS BIGINT) AS seq, CASE WHEN m.digest IS NULL THEN 'added' WHEN e.digest IS NULL THEN 'removed' ELSE 'changed' END AS status FROM m FULL JOIN e ON m.volume_id = e.volume_id AND m.off = e.off WHERE m.digest IS DISTINCT FROM e.digest")
+def tree_changes(spark, d):
+    """Blocks that an edit has changed, found from the tops of stored trees of digests."""
+    old, new, top = M.build(docs(spark, d), B), M.build(edited(spark, d), B), scratch(spark)
+    most = old.agg(F.max("seq")).union(new.agg(F.max("seq"))).agg(F.max("max(seq)")).head()[0]
+    levels = K.levels_for(1 + (most or 0))
+    for name, m in (("old", old), ("new", new)):
+        K.store(K.build(m, levels=levels), f"{top}/{name}")
+    return K.diff(spark.read.parquet(f"{top}/old"), spark.read.parquet(f"{top}/new"))
+
+
+@query(
+    f"""WITH {_PAIR}, stale AS (SELECT DISTINCT volume_id FROM (SELECT coalesce(m.volume_id, e.volume_id) AS volume_id, m.digest IS DISTINCT FROM e.digest AS x FROM m FULL JOIN e ON m.volume_id = e.volume_id AND m.off = e.off) WHERE x AND volume_id % 2 = 0)
+    SELECT volume_id, off AS "offset", digest FROM e WHERE volume_id IN (SELECT volume_id FROM stale) UNION ALL SELECT volume_id, off, digest FROM m WHERE volume_id NOT IN (SELECT volume_id FROM stale)"""
+)
+def regenerate_in_place(spark, d):
+    """A stored manifest of which the stale volumes with even numbers are rebuilt; the others' files stay."""
+    entry = lambda v: M.build(v, B).select("volume_id", "offset", "digest")
+    kept = stored.StoredTable(spark, scratch(spark), parts=16)
+    kept.replace(entry(docs(spark, d)))
+    actual = entry(edited(spark, d))
+    stale = M.stale_volumes(kept.read(), actual).where("stale and volume_id % 2 = 0").select("volume_id")
+    stored.regenerated(kept, actual, stale)
+    return kept.read()
+
+
+@query(ORACLES["verify_mismatch"])
+def verify_bucketed(spark, d):
+    """The stored manifest is bucketed by what it is joined on; only the actual blocks are shuffled."""
+    path = scratch(spark)
+    name = f"manifest_{path.rsplit('/', 1)[-1]}"
+    stored.save_bucketed(M.build(docs(spark, d), B), name, path, ["volume_id", "offset"], 8)
+    return M.verify(spark.table(name), M.build(edited(spark, d), B))
+
+
+@query(f"WITH s AS ({ORACLES['sync_groups']}), l AS (SELECT doc_id AS volume_id, octet_length(encode(text)) AS n FROM documents) SELECT volume_id, sync AS number, min(seq) AS first_seq, max(seq) AS last_seq, CAST(sum(least({B}, n - seq * {B})) AS BIGINT) AS bytes, 'bytes' AS why FROM s JOIN l USING (volume_id) GROUP BY volume_id, sync HAVING sum(least({B}, n - seq * {B})) >= 2500")
+def stream_syncs(spark, d):
+    """Syncs of a stream of frames that comes in two runs, the second from the checkpoint of the first."""
+    top = scratch(spark)
+    frames = M.blocks(docs(spark, d), B).select("volume_id", "seq", F.col("length").cast("long").alias("length"))
+    for part in ("seq < 3", "seq >= 3"):
+        frames.where(part).write.mode("append").parquet(f"{top}/frames")
+        out = W.appended(W.syncs(W.frames_stream(spark, f"{top}/frames", "volume_id long, seq long, length long"), 2500), top, "syncs")
+    return out

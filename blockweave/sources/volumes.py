@@ -59,5 +59,18 @@ def bound_batches(spark: SparkSession, size: int = 1 << 26) -> None:
 
 
 def save(df: DataFrame, path: str) -> None:
-    """Replace a table by staging and rename, as Spark's committer does it."""
-    df.write.mode("overwrite").parquet(path)
+    """Replace a folder of Parquet files: df is written beside it first, so that a write that fails leaves the old one; then the old one is renamed away, the new one takes its place, and the old one goes. For readers that must never find it absent, or changes in part, see ``stored.StoredTable``."""
+    spark = df.sparkSession
+    fresh, gone = (f"{path.rstrip('/')}-{uuid.uuid4().hex}" for _ in range(2))
+    at = lambda p: spark._jvm.org.apache.hadoop.fs.Path(p)
+    store = at(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    try:
+        df.write.parquet(fresh)
+    except Exception:
+        store.delete(at(fresh), True)
+        raise
+    if store.exists(at(path)):
+        store.rename(at(path), at(gone))
+    if not store.rename(at(fresh), at(path)):
+        raise OSError(f"{fresh} can't be renamed to {path}")
+    store.delete(at(gone), True)
