@@ -20,13 +20,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from .textkit import FOLDED, U, Chunk, id_column, over_chunks, with_text_kind
+from .textkit import FOLDED, U, Chunk, id_column, over_chunks, settle, with_text_kind
 
-#: Labelled rows learned from at most: those of the least hashes. Of a text with more different words than MAX_WORDS, the first in byte order teach.
-SAMPLE_ROWS, MAX_WORDS = 8_000, 8_192
-#: Sentences into which mentions of each group are put that labels don't mention, and sentences with mentions read of one text at most.
-TEMPLATES, MENTIONS = 40, 16
+#: Labelled rows learned from at most, and words that they have together (different ones of a text, and those of its sentences with mentions): rows of the least hashes, each whole, the first whatever its length.
+SAMPLE_ROWS, SAMPLE_WORDS = 12_000, 8_000_000
+#: Sentences into which mentions of each group are put that labels don't mention.
+TEMPLATES = 40
 GRAM = 4
 FAIRNESS = 1.0
 # Terms for groups of people; those of one line are counterparts.
@@ -132,7 +133,7 @@ class Example:
 def example(raw: bytes, toxic: bool) -> Example:
     said = [w for m in _sentence.finditer(raw.lower()) if (w := words_of(m[0]))]
     mentions = [w for w in said if not _TERMS.keys().isdisjoint(w)]
-    return Example(toxic, b" ".join(sorted({w for s in said for w in s} | set(words_of(raw)))[:MAX_WORDS]), mentions[:MENTIONS], said[0] if said else [])
+    return Example(toxic, b" ".join(sorted({w for s in said for w in s} | set(words_of(raw)))), mentions, said[0] if said else [])
 
 
 def swaps_of(texts: list[Example]) -> list[tuple[list[bytes], bytes, bytes]]:
@@ -208,7 +209,7 @@ def fit(texts: list[Example], l2: float = 0.2, fairness: float = FAIRNESS, steps
     def kept(row, col):
         return row[index[col] >= 0], index[col[index[col] >= 0]]
 
-    got = [kept(*x) for x in blocks()]
+    got = [tuple(v.astype(np.int32) for v in kept(*x)) for x in blocks()]
     doc, col = (np.concatenate([x[i] for x in got]) for i in (0, 1))
     (out, out_col), (into, into_col) = (kept(*features(np.array([ids[x[i]] for x in swaps], np.int64))) for i in (1, 2))
     w, bias, g1, g2, k = np.zeros(m), float(np.log(mean / (1 - mean))), np.zeros(m + 1), np.zeros(m + 1), len(swaps)
@@ -235,8 +236,8 @@ def gap(model: Model, texts: list[Example]) -> float:
     return float(np.mean(change)) if change else 0.0
 
 
-def examples(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> list[Example]:
-    """Labelled texts whose rows aren't held out: at most ``rows`` rows of labels (doc_id, toxic), and of documents that have these ids, by least hash."""
+def examples(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, words: int = SAMPLE_WORDS) -> list[Example]:
+    """Labelled texts whose rows aren't held out: at most ``rows`` rows of labels (doc_id, toxic), and of documents that have these ids, by least hash, up to so many words in all. Texts are read whole."""
     some = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null and toxic is not null").where(~_held_out(F.col("doc_id"))).withColumn("o", F.xxhash64("doc_id")).orderBy("o", "toxic").limit(rows)
     texts = with_text_kind(docs).select("doc_id", "text").join(F.broadcast(some), "doc_id")  # at most ``rows`` short rows
 
@@ -245,10 +246,14 @@ def examples(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> lis
         toxic = get("toxic").to_pylist()
         got = [example(raw[a:b], t != 0) for a, b, t in zip(c.offs[:-1], c.offs[1:], toxic, strict=True)]
         lines = lambda x: b"\n".join(b" ".join(s) for s in x)
-        yield {"o": get("o"), "toxic": get("toxic"), "words": pa.array([x.text for x in got], pa.binary()), "mentions": pa.array([lines(x.mentions) for x in got], pa.binary()), "first": pa.array([b" ".join(x.first) for x in got], pa.binary())}
-
-    got = over_chunks(texts, read, "o long, toxic int, words binary, mentions binary, first binary").orderBy("o", "toxic", "words", "mentions", "first").limit(rows).toPandas()
-    return [Example(bool(r.toxic), r.words, [s.split() for s in r.mentions.split(b"\n") if s], r.first.split()) for r in got.itertuples()]
+        size = [len(x.text.split()) + sum(map(len, x.mentions)) for x in got]
+        yield {"o": get("o"), "toxic": get("toxic"), "size": size, "words": pa.array([x.text for x in got], pa.binary()), "mentions": pa.array([lines(x.mentions) for x in got], pa.binary()), "first": pa.array([b" ".join(x.first) for x in got], pa.binary())}
+
+    order = ["o", "toxic", "words", "mentions", "first"]
+    got = settle(over_chunks(texts, read, "o long, toxic int, size long, words binary, mentions binary, first binary").orderBy(*order).limit(rows))
+    before = F.sum("size").over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")  # over the sample alone
+    some = got.withColumn("before", before).where((F.col("before") == 0) | (F.col("before") + F.col("size") <= words)).orderBy(*order).toPandas()
+    return [Example(bool(r.toxic), r.words, [s.split() for s in r.mentions.split(b"\n") if s], r.first.split()) for r in some.itertuples()]
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:

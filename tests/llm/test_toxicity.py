@@ -84,3 +84,18 @@ def test_scores_by_plain_loops(spark, texts):
     labels = spark.createDataFrame([(i, x) for i, _, x in biased()], "doc_id long, toxic int")
     got = score_toxicity(d, labels).collect()
     assert Counter(r.doc_id for r in got) == Counter([1, 1, None, 5]) and len({r.score for r in got if r.doc_id == 1}) == 1
+
+
+def test_long_texts_teach_whole(spark):
+    """The telling word sorts last of 20,000, and the sentence that mentions a group is the 40th."""
+    from blockweave.llm import toxicity as X
+
+    long = " ".join(f"a{i:05d}" for i in range(20_000)) + " zzzz."
+    many = " ".join(f"The men came {i}." for i in range(40)) + " Here women spoke."
+    docs = spark.createDataFrame([(i, long if i % 2 else many) for i in range(40)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, toxic int")
+    got = X.examples(docs, labels)
+    assert {len(x.mentions) for x in got if not x.toxic} == {41} and all(b"zzzz" in x.text.split() and len(x.text.split()) == 20_001 for x in got if x.toxic)
+    few = X.examples(docs, labels, words=50_000)
+    assert 0 < len(few) < len(got) and few == got[: len(few)]
+    assert len(X.examples(docs, labels, words=1)) == 1
