@@ -17,19 +17,22 @@ from __future__ import annotations
 
 import hashlib
 import heapq
+import pickle
 import re
 from collections import Counter
 
 import numpy as np
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .textkit import U, Chunk, arrow_schema, bound_batches, each_chunk, id_column, over_chunks, record, settle, signed, with_text_kind
 
 KINDS = ("assign", "access", "hex")
 PLAIN = len(KINDS)
-#: Different values of a kind, and ordinary tokens, learned from at most: those of the least hashes. Values longer than LONG teach by so many characters, and no stop.
-SAMPLE_VALUES, SAMPLE_PLAIN, LONG = 2_000, 4_000, 2_048
+#: Different values of a kind, and ordinary tokens, learned from at most, and their characters together: those of the least hashes, each whole.
+SAMPLE_VALUES, SAMPLE_PLAIN, SAMPLE_CHARS = 2_000, 8_000, 200_000
 #: Ordinary tokens weigh so much together, however large the corpus: what a state's frequencies are held to doesn't tighten with it.
 PLAIN_WEIGHT = 20_000.0
 #: Tokens of fewer characters are no candidates, as the shortest labelled value has so many. The margin, in bits.
@@ -43,7 +46,7 @@ STOP = len(SYMBOLS)
 _symbol = np.full(256, 255, np.uint8)
 _symbol[np.frombuffer(SYMBOLS.encode(), np.uint8)] = np.arange(STOP)
 _ALNUM = 62  # the first symbols are digits and letters
-ALPHAS = (0.0001, 0.05, 0.8)
+ALPHAS = (0.0001, 0.01, 0.2, 0.8)
 
 
 def base_spans(text: str) -> list[tuple[int, int, int, str]]:
@@ -116,7 +119,7 @@ class _Tree:
         self.count: list[dict[int, float]] = [{}]
         self.stop, self.total = [0.0], [0.0]
 
-    def add(self, symbols: list[int], classes: list[int], weight: float, stops: bool) -> None:
+    def add(self, symbols: list[int], classes: list[int], weight: float) -> None:
         q = 0
         for s, c in zip(symbols, classes, strict=True):
             self.count[q][s] = self.count[q].get(s, 0.0) + weight
@@ -128,9 +131,8 @@ class _Tree:
                 self.stop.append(0.0)
                 self.total.append(0.0)
             q = self.to[q][c]
-        if stops:
-            self.stop[q] += weight
-            self.total[q] += weight
+        self.stop[q] += weight
+        self.total[q] += weight
 
     def alike(self, a: int, b: int, bound: float) -> bool:
         """Whether no frequency of the two states, or of states that the same classes lead to, differs by more than chance allows."""
@@ -172,7 +174,7 @@ def classes_of(values: dict[str, float]) -> np.ndarray:
     """The class of each symbol: types (digits, letters up to f and past it, in each case) whose symbols values use equally often, as far as chance tells, are one; marks are their own."""
     n = np.zeros(STOP)
     for v, w in values.items():
-        np.add.at(n, _symbol[np.frombuffer(v[:LONG].encode(), np.uint8)], w)
+        np.add.at(n, _symbol[np.frombuffer(v.encode(), np.uint8)], w)
     types = [np.arange(10), np.arange(10, 16), np.arange(16, 36), np.arange(36, 42), np.arange(42, 62)]
     share = [n[t].sum() / max(1.0, n.sum()) / len(t) for t in types]
     out, number = np.arange(STOP), list(range(len(types)))
@@ -191,9 +193,9 @@ def infer(values: dict[str, float] | list[str], alpha: float = 0.01, classes: np
     classes = np.arange(STOP) if classes is None else classes
     tree, overall = _Tree(), np.full(STOP + 1, 0.5)
     for v, n in sorted((values if isinstance(values, dict) else Counter(values)).items()):
-        symbols = _symbol[np.frombuffer(v[:LONG].encode(), np.uint8)]
-        tree.add(symbols.tolist(), classes[symbols].tolist(), float(n), len(v) <= LONG)
-        np.add.at(overall, [*symbols, *[STOP] * (len(v) <= LONG)], float(n))
+        symbols = _symbol[np.frombuffer(v.encode(), np.uint8)]
+        tree.add(symbols.tolist(), classes[symbols].tolist(), float(n))
+        np.add.at(overall, [*symbols, STOP], float(n))
     overall /= overall.sum()
     bound = float(np.sqrt(np.log(2 / alpha) / 2))
     red, is_red = [0], {0}
@@ -236,14 +238,43 @@ def _halves(values: dict[str, float]) -> tuple[dict[str, float], dict[str, float
     return (rest, held) if held and rest else (values, values)
 
 
-def fitted(values: dict[str, float]) -> Automaton:
-    """The automaton learned from all values with the alpha and the classes that make held-out values likeliest."""
+#: How an automaton can be learned: how readily states merge, and whether edges go by class.
+WAYS = tuple((a, by_type) for by_type in (False, True) for a in ALPHAS)
+
+
+def likelihood(values: dict[str, float], way: tuple[float, bool]) -> float:
+    """log2 likelihood of the values held out, by an automaton of the rest."""
     learn, held = _halves(values)
     names, weight = list(held), np.array(list(held.values()))
-    ways = [(a, by_type) for by_type in (False, True) for a in ALPHAS]
-    score = {w: float((infer(learn, w[0], classes_of(learn) if w[1] else None).of(names) * weight).sum()) for w in ways}
-    alpha, by_type = max(ways, key=lambda w: score[w])
-    return infer(values, alpha, classes_of(values) if by_type else None)
+    return float((infer(learn, way[0], classes_of(learn) if way[1] else None).of(names) * weight).sum())
+
+
+def inferred(values: dict[str, float], way: tuple[float, bool]) -> Automaton:
+    return infer(values, way[0], classes_of(values) if way[1] else None)
+
+
+def fitted(values: dict[str, float]) -> Automaton:
+    """The automaton learned from all values in the way that makes held-out values likeliest."""
+    return inferred(values, max(WAYS, key=lambda w: likelihood(values, w)))
+
+
+def fitted_all(spark: SparkSession, lists: list[dict[str, float]]) -> list[Automaton]:
+    """``fitted`` of each list: all ways of all lists in tasks of their own, then the chosen ones."""
+    sent = spark.sparkContext.broadcast(lists)
+
+    def each(jobs: list[tuple[int, tuple]], fn) -> list:
+        def run(batches):
+            for b in batches:
+                for i in b.column(0).to_pylist():
+                    yield pa.RecordBatch.from_arrays([pa.array([i]), pa.array([pickle.dumps(fn(sent.value[jobs[i][0]], jobs[i][1]))], pa.binary())], ["i", "out"])
+
+        got = spark.range(0, len(jobs), 1, len(jobs)).mapInArrow(run, "i long, out binary").collect()
+        return [pickle.loads(r.out) for r in sorted(got, key=lambda r: r.i)]
+
+    # The longest first, as they take the most time.
+    jobs = sorted(((i, w) for i in range(len(lists)) for w in WAYS), key=lambda x: -len(lists[x[0]]))
+    score = dict(zip(jobs, each(jobs, likelihood), strict=True))
+    return each([(i, max(WAYS, key=lambda w: score[i, w])) for i in range(len(lists))], inferred)
 
 
 def tokens(c: Chunk, least: int = MIN_TOKEN) -> tuple[np.ndarray, np.ndarray]:
@@ -353,27 +384,33 @@ def samples(docs: DataFrame, rows: int = SAMPLE_VALUES, plain: int = SAMPLE_PLAI
     return docs.select("text").mapInArrow(run, schema).groupBy("kind", "h", "value").agg(F.sum("n").alias("n"))
 
 
-def grammars(by: dict[int, dict[str, float]]) -> Grammars:
-    """Automata of the kinds that have values, one of ordinary tokens, and one of those without a letter (dates, amounts, phone numbers), which are too few beside words to shape the other. Without ordinary tokens, or without values, nothing is inferred."""
+def grammars(by: dict[int, dict[str, float]], spark: SparkSession | None = None) -> Grammars:
+    """Automata of the kinds that have values, one of ordinary tokens, and one of those without a letter (dates, amounts, phone numbers), which are too few beside words to shape the other. Without ordinary tokens, or without values, nothing is inferred. With a session its executors learn."""
     if not by.get(PLAIN) or len(by) < 2:
         return Grammars({}, None)
+    kinds = sorted(k for k in by if k != PLAIN)
     numbers = {v: 1.0 for v in by[PLAIN] if not re.search("[A-Za-z]", v)}
-    return Grammars({k: fitted(v) for k, v in by.items() if k != PLAIN}, Either(fitted(by[PLAIN]), *[fitted(numbers)] * bool(numbers)))
+    lists = [*(by[k] for k in kinds), by[PLAIN], *[numbers] * bool(numbers)]
+    got = fitted_all(spark, lists) if spark else [fitted(x) for x in lists]
+    return Grammars(dict(zip(kinds, got, strict=False)), Either(*got[len(kinds) :]))
 
 
-def learn(docs: DataFrame, rows: int = SAMPLE_VALUES, plain: int = SAMPLE_PLAIN) -> Grammars:
-    """Automata from at most ``rows`` different values of each kind and ``plain`` ordinary tokens, which come to the driver. A value that occurs n times weighs 1 + log2 n, so that copies of one text don't drown all others; an ordinary token weighs by n, PLAIN_WEIGHT for all, so that credentials without context, which are among them, weigh little."""
+def learn(docs: DataFrame, rows: int = SAMPLE_VALUES, plain: int = SAMPLE_PLAIN, chars: int = SAMPLE_CHARS) -> Grammars:
+    """Automata from at most ``rows`` different values of each kind and ``plain`` ordinary tokens, each whole and of so many characters together, which come to the driver. A value that occurs n times weighs 1 + log2 n, so that copies of one text don't drown all others; an ordinary token weighs by n, PLAIN_WEIGHT for all, so that credentials without context, which are among them, weigh little."""
     got = settle(samples(with_text_kind(docs), rows, plain))
     by: dict[int, dict[str, float]] = {}
     for k, most in enumerate([rows] * len(KINDS) + [plain]):
         # Hashes are unsigned: those that are negative as signed numbers come last.
-        some = got.where(F.col("kind") == k).orderBy(F.col("h") < 0, "h", "value").limit(most).select(F.substring("value", 1, LONG + 1).alias("value"), "n").collect()
+        order = [F.col("h") < 0, "h", "value"]
+        least = got.where((F.col("kind") == k) & (F.length("value") <= chars)).orderBy(*order).limit(most)
+        held = F.sum(F.length("value")).over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))  # over the sample alone
+        some = least.withColumn("held", held).where(F.col("held") <= chars).select("value", "n").collect()
         if some:
             by[k] = {r.value: float(r.n) if k == PLAIN else 1 + float(np.log2(r.n)) for r in some}
     if PLAIN in by:
         share = min(1.0, PLAIN_WEIGHT / sum(by[PLAIN].values()))
         by[PLAIN] = {v: n * share for v, n in by[PLAIN].items()}
-    return grammars(by)
+    return grammars(by, docs.sparkSession)
 
 
 def scan_secrets(docs: DataFrame, grammars: Grammars | None = None) -> DataFrame:

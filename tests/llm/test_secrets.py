@@ -144,3 +144,23 @@ def test_odd_rows(spark, found):
     n = len([1 for *_, b in [planted()[2]] for _ in b])
     assert got == Counter([(None, n), (None, n), (1, 0), (2, 0), (3, 50 * n)])
     assert scan_secrets(spark.createDataFrame(rows[2:4], "doc_id long, text string, spans string")).count() == 2
+
+
+def test_values_teach_whole():
+    """Values of 4,096 characters that differ after the first 3,000 make automata that tell the difference."""
+    from blockweave.llm.secrets_scan import infer
+
+    head = "ab" * 1500
+    x, y = ({head + tail * 1096: 1.0, head + tail * 1095 + tail: 1.0} for tail in ("7", "z"))
+    a, b = infer(x, 0.8), infer(y, 0.8)
+    assert a.of(list(x))[0] > b.of(list(x))[0] + 1000 and b.of(list(y))[0] > a.of(list(y))[0] + 1000
+
+
+def test_executors_learn_what_the_driver_would(spark):
+    from blockweave.llm.secrets_scan import PLAIN, grammars
+
+    r = random.Random(8)
+    by = {1: {key(r, 1): 1.0 for _ in range(60)}, PLAIN: {w: 5.0 for w in WORDS} | {"12-34": 1.0, "2020-01-01": 2.0}}
+    here, there = grammars(by), grammars(by, spark)
+    new = [key(r, 1), "traveller", "2021-02-03", "q" * 50]
+    assert np.array_equal(here.by_kind[1].of(new), there.by_kind[1].of(new)) and np.array_equal(here.plain.of(new), there.plain.of(new))
