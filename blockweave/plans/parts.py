@@ -11,6 +11,7 @@ from ..operators import manifest as M
 from ..operators import merkle as K
 from ..operators import ranges as R
 from ..operators import segments as G
+from ..operators import sketches as N
 from ..sources import device, stored
 from ..sources.volumes import table
 from ..streaming import stateful as W
@@ -122,3 +123,12 @@ def stream_syncs(spark, d):
         frames.where(part).write.mode("append").parquet(f"{top}/frames")
         out = W.appended(W.syncs(W.frames_stream(spark, f"{top}/frames", "volume_id long, seq long, length long"), 2500), top, "syncs")
     return out
+
+
+@query(f"WITH {_PAIR}, s AS (SELECT source, digest FROM m), n AS (SELECT d.source, e.digest FROM e JOIN documents AS d ON d.doc_id = e.volume_id) SELECT a.source, a.n_chunks, a.n_distinct, (SELECT count(DISTINCT digest) FROM s AS x WHERE x.source IS NOT DISTINCT FROM a.source AND x.digest IN (SELECT digest FROM n WHERE n.source IS NOT DISTINCT FROM a.source)) AS n_kept FROM (SELECT source, count(*) AS n_chunks, count(DISTINCT digest) AS n_distinct FROM s GROUP BY source) AS a")
+def sketch_dedup(spark, d):
+    """Different chunks of each source, and those that an edit has left, from sketches of volumes that were merged; exact up to 16384 different chunks of a source."""
+    by = lambda v: N.merged(N.build(M.build(v, B, "source"), ["volume_id", "source"], lg=14), ["source"], lg=14)
+    old, new = by(docs(spark, d, "source")), by(edited(spark, d)).select(F.col("source").alias("s_"), F.col("sketch").alias("new"))
+    both = old.join(new, old["source"].eqNullSafe(new["s_"]), "left")
+    return both.select("source", "n_chunks", N.distinct(F.col("sketch")).alias("n_distinct"), F.coalesce(N.shared(F.col("sketch"), F.col("new")), F.lit(0).cast("long")).alias("n_kept"))

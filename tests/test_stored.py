@@ -200,3 +200,26 @@ def test_repeated_keys_of_lines(spark):
     got = spark.createDataFrame([("/dev/a1 : start=1, size=5, start=2, type=L",), ("/dev/a1 : start=1, start=x, size=5, type=L",)], "l string").select(S.partition_line(F.col("l"))).collect()
     assert [tuple(r[0]) if r[0] else None for r in got] == [(2, 6, "L"), None]
     assert spark.range(1).select(S.tokens_last(F.lit("a:1 b a:2"))).head()[0] == {"a": "2", "b": ""}
+
+
+def test_sketches_within_their_error(spark):
+    from blockweave.operators import sketches as N
+
+    d = spark.range(60_000).select((F.col("id") % 3).alias("volume_id"), F.when(F.col("id") % 3 == 2, F.col("id") % 5000).otherwise(F.col("id") % 40_000).alias("x"))
+    d = d.withColumn("digest", F.sha2(F.col("x").cast("string"), 256)).unionByName(spark.createDataFrame([(0, 1, None), (9, 1, ""), (8, 2, "one"), (8, 2, "one")], "volume_id long, x long, digest string"))
+    got = N.dedup_ratio(N.build(d, ["volume_id"])).cache()
+    exact = {r[0]: (r[1], r[2]) for r in d.where("digest <> ''").groupBy("volume_id").agg(F.count("*"), F.countDistinct("digest")).collect()}
+    error = 3 / 2 ** (N.LG / 2)
+    for r in got.collect():
+        n, distinct = exact.pop(r.volume_id)
+        assert r.n_chunks == n and abs(r.n_distinct - distinct) <= error * distinct and abs(r.ratio - (1 - distinct / n)) <= error
+    assert not exact
+    a, b = (got.where(F.col("volume_id") == v).select(F.col("sketch").alias(f"s{v}")) for v in (0, 1))
+    pair = a.join(b, how="inner").select(N.shared("s0", "s1"), N.added("s0", "s1")).head()
+    xs = [{r[0] for r in d.where((F.col("volume_id") == v) & F.col("digest").isNotNull()).select("x").distinct().collect()} for v in (0, 1)]
+    union = len(xs[0] | xs[1])
+    assert abs(pair[0] - len(xs[0] & xs[1])) <= error * union and abs(pair[1] - len(xs[0] - xs[1])) <= error * union
+    whole = N.dedup_ratio(N.merged(got, [])).head()
+    every = d.where("digest <> ''").agg(F.countDistinct("digest")).head()[0]
+    assert abs(whole.n_distinct - every) <= error * every
+    got.unpersist()
