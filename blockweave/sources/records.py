@@ -108,3 +108,41 @@ def open_log(files: DataFrame, devices: DataFrame, key: str = "log_id") -> DataF
     problem = F.when(~new, F.coalesce(F.col("h.problem"), F.when(~same, "identity")))
     n = F.floor(F.greatest(F.octet_length("data") - LOG_HEADER, F.lit(0)) / RECORD)
     return got.select(key, problem.alias("problem"), F.when(problem.isNull(), n).otherwise(F.lit(0)).cast("long").alias("n_ranges"), F.when(problem.isNull(), log_tail(F.col("data"))).otherwise(F.lit(0)).alias("torn"))
+
+
+#: Older logs: where their size, epoch and fs_uuid begin. A digest of all before it ends their header too.
+OLD_LOGS = {0: 0, 1: 8}
+_OLD_FIELDS = 8 + 8 + 64
+
+
+def log_version(raw: Column) -> Column:
+    """The version of a log's header: the present one or 1 by its first number, else 0, whose header begins with a size; null of a file too short for any."""
+    first, n = number(raw, 0, 8), F.octet_length(raw)
+    old = {v: at + _OLD_FIELDS + 32 for v, at in OLD_LOGS.items()}
+    return F.when((first == LOG_VERSION) & (n >= LOG_HEADER), LOG_VERSION).when((first == 1) & (n >= old[1]), 1).when(n >= old[0], 0)
+
+
+def upgraded(files: DataFrame, devices: DataFrame, key: str = "log_id") -> DataFrame:
+    """(key, version, data, problem) of logs (key, data) in the present version, for devices (key, a struct ``device`` of LOG_IDENTITY).
+
+    An old log knows size, epoch and fs_uuid alone: where its digest holds and
+    these are the device's, it gets a header of all the device's fields and keeps
+    its whole entries; the torn tail goes. problem: short, mac, identity or null;
+    such a log has no data. Logs of the present version, and empty files, pass as
+    they are, for ``open_log`` to judge.
+    """
+    raw, got = F.col("data"), files.join(devices, key).withColumn("version", log_version(F.col("data")))
+    mac, same, entries = F.lit(None).cast("boolean"), F.lit(None).cast("boolean"), F.lit(None).cast("binary")
+    for v, at in OLD_LOGS.items():
+        mine, end = F.col("version") == v, at + _OLD_FIELDS
+        mac = F.when(mine, F.lower(F.hex(F.substring(raw, end + 1, 32))) == sha(F.substring(raw, 1, end))).otherwise(mac)
+        name = F.rtrim(F.translate(F.decode(F.substring(raw, at + 17, 64), "UTF-8"), "\x00", " "))
+        known = (number(raw, at, 8) == F.col("device.size_bytes")) & (number(raw, at + 8, 8) == F.col("device.epoch")) & (name == F.col("device.fs_uuid"))
+        same = F.when(mine, known).otherwise(same)
+        whole = F.floor((F.octet_length(raw) - end - 32) / RECORD) * RECORD
+        entries = F.when(mine, F.substr(raw, F.lit(end + 33), whole.cast("int"))).otherwise(entries)
+    new, present = F.octet_length(raw) == 0, F.col("version") == LOG_VERSION
+    problem = F.when(~new & F.col("version").isNull(), "short").when(~new & ~present & ~F.coalesce(mac, F.lit(False)), "mac").when(~new & ~present & ~F.coalesce(same, F.lit(False)), "identity")
+    none = F.array().cast("array<struct<start:long,end:long>>")
+    data = F.when(new | present, raw).otherwise(F.concat(log_bytes(F.col("device"), none), entries))
+    return got.withColumn("problem", problem).select(key, "version", F.when(F.col("problem").isNull(), data).alias("data"), "problem")
