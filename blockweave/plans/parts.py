@@ -11,8 +11,10 @@ from ..operators import manifest as M
 from ..operators import merkle as K
 from ..operators import ranges as R
 from ..operators import segments as G
+from ..operators import session as Q
 from ..operators import sketches as N
 from ..sources import device, stored
+from ..sources import records as X
 from ..sources.volumes import table
 from ..streaming import stateful as W
 from ..streaming.replay import scratch
@@ -132,3 +134,48 @@ def sketch_dedup(spark, d):
     old, new = by(docs(spark, d, "source")), by(edited(spark, d)).select(F.col("source").alias("s_"), F.col("sketch").alias("new"))
     both = old.join(new, old["source"].eqNullSafe(new["s_"]), "left")
     return both.select("source", "n_chunks", N.distinct(F.col("sketch")).alias("n_distinct"), F.coalesce(N.shared(F.col("sketch"), F.col("new")), F.lit(0).cast("long")).alias("n_kept"))
+
+
+@query(
+    """SELECT n_nationkey AS log_id, CAST(n_nationkey % 2 AS INTEGER) AS version, problem, CASE WHEN problem IS NULL THEN coalesce(c, 0) ELSE 0 END AS n_ranges FROM (
+    SELECT *, CASE WHEN n_nationkey % 5 = 1 THEN 'mac' WHEN n_nationkey % 5 = 2 THEN 'identity' END AS problem FROM nation) LEFT JOIN (SELECT c_nationkey, count(*) AS c FROM customer GROUP BY ALL) ON c_nationkey = n_nationkey"""
+)
+def log_upgrade(spark, d):
+    """Logs of versions 0 and 1, of each nation's customers, opened after the upgrade: some with a changed header, or of another device."""
+    n = F.col("n_nationkey")
+    body = F.aggregate(F.array_sort(F.collect_list(F.col("c_custkey").cast("long"))), F.lit(b"").cast("binary"), lambda a, k: F.concat(a, X.number_bytes(k * 100, 8), X.number_bytes(k * 100 + 50, 8)))
+    bodies = table(spark, d, "customer").groupBy(F.col("c_nationkey").alias("n_nationkey")).agg(body.alias("body"))
+    field = lambda x: F.unhex(F.rpad(F.hex(x.cast("binary")), 128, "0"))
+    head = F.concat(F.when(n % 2 == 1, X.number_bytes(F.lit(1), 8)).otherwise(F.lit(b"")), X.number_bytes(n * 1000 + 4096, 8), X.number_bytes(F.lit(3), 8), field(F.col("n_name")))
+    mac = F.when(n % 5 == 1, F.unhex(sha(F.lit(b"other")))).otherwise(F.unhex(sha(head)))
+    rows = table(spark, d, "nation").join(bodies, "n_nationkey", "left").withColumn("data", F.concat(head, mac, F.coalesce("body", F.lit(b"")), F.lit(b"torn")))
+    dev = F.struct((n * 1000 + 4096).cast("long").alias("size_bytes"), F.when(n % 5 == 2, 4).otherwise(3).cast("long").alias("epoch"), F.lit("kernel").alias("kernel_uuid"), F.lit("").alias("gpt_uuid"), F.lit("01020304").alias("mbr_signature"), F.col("n_name").alias("fs_uuid"), F.lit(8).cast("long").alias("major"), n.cast("long").alias("minor"))
+    devices = rows.select(n.alias("log_id"), dev.alias("device"))
+    new = X.upgraded(rows.select(n.alias("log_id"), "data"), devices)
+    opened = X.open_log(new.where("problem is null").select("log_id", "data"), devices).select("log_id", F.col("n_ranges").alias("n"))
+    return new.join(opened, "log_id", "left").select("log_id", F.col("version").cast("int").alias("version"), "problem", F.coalesce("n", F.lit(0).cast("long")).alias("n_ranges"))
+
+
+_SESSION = f"""{_BLOCKS}, t AS (SELECT volume_id, off, digest, sha256(array_slice(encode(replace(text, 'a', 'o')), off + 1, off + {B})) AS new FROM m JOIN documents ON doc_id = volume_id),
+v AS (SELECT volume_id, count_if(digest <> new) AS n, sha256(string_agg(digest, '' ORDER BY off)) AS was, sha256(string_agg(new, '' ORDER BY off)) AS now FROM t GROUP BY volume_id)"""
+
+
+@query(f"WITH {_SESSION}, p AS (SELECT *, volume_id % 7 = 0 AND n > 0 AS missing FROM v) SELECT volume_id, CASE WHEN missing THEN 'missing' WHEN volume_id % 5 = 0 THEN 'final' END AS problem, CASE WHEN missing THEN 0 ELSE n END AS n_deltas, CASE WHEN missing THEN was ELSE now END AS digest FROM p")
+def delta_sessions(spark, d):
+    """Each volume gets the blocks of an edit as a session; some send no identity, some a last digest that is wrong."""
+    t = table(spark, d, "documents").where("octet_length(text) > 0")
+    vol = t.select(F.col("doc_id").cast("long").alias("volume_id"), F.col("text").cast("binary").alias("data"))
+    new = t.select(F.col("doc_id").cast("long").alias("volume_id"), F.replace("text", F.lit("a"), F.lit("o")).cast("binary").alias("data"))
+    v = F.col("volume_id")
+    ident = F.struct(*(F.lit(8 if f in ("major", "minor") else 1).cast("long").alias(f) if f in ("size_bytes", "major", "minor", "epoch") else F.concat(F.lit(f), v.cast("string")).alias(f) for f in Q.FIELDS))
+    none = F.lit(None)
+    devices = vol.select("volume_id", F.octet_length("data").cast("long").alias("size"), ident.alias("device"))
+    old = M.blocks(vol, B).select("volume_id", "offset", "data")
+    changed = M.blocks(new, B).select("volume_id", "seq", "offset", F.col("data").alias("new")).join(old, ["volume_id", "offset"]).where("new <> data")
+    kind_of = devices.schema["device"].dataType
+    first = devices.where("volume_id % 7 <> 0").select("volume_id", F.lit(0).cast("long").alias("seq"), F.lit("I").alias("kind"), F.col("device").alias("identity"), none.cast("long").alias("offset"), none.cast("binary").alias("data"), none.cast("string").alias("digest"))
+    deltas = changed.select("volume_id", (F.col("seq") + 1).alias("seq"), F.lit("D"), none.cast(kind_of), "offset", F.col("new"), none.cast("string"))
+    root = M.digest_of_digests(M.build(new, B), ["volume_id"])
+    last = root.select("volume_id", F.lit(1 << 40).cast("long"), F.lit("G"), none.cast(kind_of), none.cast("long"), none.cast("binary"), F.when(v % 5 == 0, F.repeat(F.lit("0"), 64)).otherwise(F.col("root")))
+    judged = Q.judged(first.union(deltas).union(last), devices)
+    return Q.outcome(judged, Q.written(old, judged, B))
