@@ -5,6 +5,7 @@ from __future__ import annotations
 from functools import reduce
 from operator import and_
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,11 +18,24 @@ SETTINGS = ("transport", "compress", "checksum_algorithm", "dedup_mode")
 SLOTS = ("fixed", "cdc", "hybrid")
 
 
-def checkpoints(frames: DataFrame, by: list[str], order: str, every: int) -> DataFrame:
-    """frames (by, order, length, ...) at which a checkpoint is written: those with which ``every`` bytes are sent since the last one."""
-    got = sync_groups(frames, by, order, every)
-    full = got.groupBy(*by, "sync").agg(F.max(order).alias(order), F.sum("length").alias("n_")).where(F.col("n_") >= every)
-    return frames.join(full.select(*by, order), [*by, order], "left_semi")
+def checkpoints(frames: DataFrame, by: list[str], order: str, every: int, at: str | None = None, after: float | None = None) -> DataFrame:
+    """frames (by, order, length, ...) at which a checkpoint is written: those with which ``every`` bytes are sent since the last one, or that come ``after`` seconds or more past it; 0 bytes, or no time, is no reason. ``at`` has the seconds; time runs from a volume's first frame. A fold in order over slim frames, in one task for each volume; of a stream see ``streaming.stateful.syncs``."""
+    if at is None or after is None:
+        got = sync_groups(frames, by, order, every)
+        full = got.groupBy(*by, "sync").agg(F.max(order).alias(order), F.sum("length").alias("n_")).where(F.col("n_") >= every)
+        return frames.join(full.select(*by, order), [*by, order], "left_semi")
+    slim = frames.select(*by, order, F.col("length").cast("long").alias("length"), F.col(at).cast("double").alias("at_"))
+
+    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf, held, last, due = pdf.sort_values(order), 0, None, []
+        for n, now in zip(pdf["length"].tolist(), pdf["at_"].tolist(), strict=True):
+            last, held = (now if last is None else last), held + n
+            due.append((every > 0 and held >= every) or now - last >= after)
+            if due[-1]:
+                held, last = 0, now
+        return pdf[due][[*by, order]]
+
+    return frames.join(slim.groupBy(*by).applyInPandas(walk, slim.select(*by, order).schema), [*by, order], "left_semi")
 
 
 def checkpoint_problem(saved: Column, run: Column, device: Column, digest: Column) -> Column:

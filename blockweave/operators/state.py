@@ -14,6 +14,8 @@ from pyspark.sql import types as T
 from pyspark.sql.types import DoubleType
 from pyspark.sql.window import Window
 
+from ..sources.volumes import settled
+
 #: Bytes that a chunk's ratio is estimated from.
 SAMPLE = 8192
 
@@ -171,9 +173,14 @@ def candidates(groups: DataFrame, name: str, wanted: list[str]) -> DataFrame:
 
 
 def longest_first(df: DataFrame, column: str) -> DataFrame:
-    """df with ``rank``, 0 for the longest text, of equally long ones the least; a number and not an order of rows, which none has."""
-    w = Window.orderBy(F.desc(F.length(column)), column)
-    return df.withColumn("rank", (F.row_number().over(w) - 1).cast("long"))
+    """df with ``rank``, 0 for the longest text, of equally long ones the least; a number and not an order of rows, which none has. Rows are dealt by ranges of that order and numbered from where their range begins, so that no task has all."""
+    order = [F.desc(F.length(column)), F.asc(column)]
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = settled(df.repartitionByRange(parts, *order).withColumn("range_", F.spark_partition_id()))
+    before = Window.partitionBy(F.lit(1)).orderBy("range_").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
+    starts = dealt.groupBy("range_").agg(F.count("*").alias("n_")).select("range_", F.coalesce(F.sum("n_").over(before), F.lit(0)).alias("start_"))
+    number = F.row_number().over(Window.partitionBy("range_").orderBy(*order)) - 1
+    return dealt.withColumn("rank", number).join(F.broadcast(starts), "range_").withColumn("rank", (F.col("rank") + F.col("start_")).cast("long")).drop("range_", "start_")
 
 
 def signature_cache(steps: DataFrame, group: str, order: str, ttl: float, keep: int) -> DataFrame:

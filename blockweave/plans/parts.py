@@ -10,6 +10,7 @@ from ..operators import delta as D
 from ..operators import manifest as M
 from ..operators import merkle as K
 from ..operators import ranges as R
+from ..operators import resume
 from ..operators import segments as G
 from ..operators import session as Q
 from ..operators import sketches as N
@@ -179,3 +180,17 @@ def delta_sessions(spark, d):
     last = root.select("volume_id", F.lit(1 << 40).cast("long"), F.lit("G"), none.cast(kind_of), none.cast("long"), none.cast("binary"), F.when(v % 5 == 0, F.repeat(F.lit("0"), 64)).otherwise(F.col("root")))
     judged = Q.judged(first.union(deltas).union(last), devices)
     return Q.outcome(judged, Q.written(old, judged, B))
+
+
+@query(
+    """WITH RECURSIVE f AS MATERIALIZED (SELECT user_id, event_id, event_id % 7 * 100 AS n, event_id * 60 AS sec, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS rn FROM events),
+    w AS (SELECT user_id, event_id, rn, n AS held, sec AS last, sec, n >= 1500 AS due FROM f WHERE rn = 1
+          UNION ALL
+          SELECT f.user_id, f.event_id, f.rn, CASE WHEN due THEN 0 ELSE held END + f.n, CASE WHEN due THEN w.sec ELSE last END, f.sec, CASE WHEN due THEN 0 ELSE held END + f.n >= 1500 OR f.sec - CASE WHEN due THEN w.sec ELSE last END >= 30000
+          FROM w JOIN f ON f.user_id = w.user_id AND f.rn = w.rn + 1)
+    SELECT user_id, event_id FROM w WHERE due"""
+)
+def checkpoint_times(spark, d):
+    """Events at which a checkpoint is written, after so many bytes or seconds, whichever comes first."""
+    e = table(spark, d, "events").select("user_id", "event_id", (F.col("event_id") % 7 * 100).alias("length"), (F.col("event_id") * 60).alias("at"))
+    return resume.checkpoints(e, ["user_id"], "event_id", 1500, "at", 30_000).select("user_id", "event_id")
