@@ -147,6 +147,8 @@ def cdc_chunks_of_parts(pieces: DataFrame, low: int, avg: int, high: int, segmen
             for i in range(b.num_rows):
                 data = _bytes(b.column(2), i)
                 first = b.column(1)[i].as_py() == 0
+                if first and len(data) <= segment:  # all of its volume
+                    continue
                 walk = Walk(cutter, data)
                 limit = min(segment, len(data))
                 entries = np.zeros(1, np.int64) if first else np.arange(min(high, len(data) + 1))
@@ -196,5 +198,7 @@ def cdc_chunks_of_parts(pieces: DataFrame, low: int, avg: int, high: int, segmen
                     own = b.column(0).take(pa.array([i] * len(x)))
                     yield pa.RecordBatch.from_arrays([own, pa.array(number + lo + np.arange(len(x))), pa.array(s * segment + x), pa.array((y - x).astype(np.int32)), pa.array([data[p:q].tobytes() for p, q in zip(x, y, strict=True)], pa.binary())], [key, "seq", "offset", "length", "data"])
 
-    out = seg.join(entry, [key, "seg"]).select(key, "seg", "entry_", "number_", "data").mapInArrow(cut, f"{key} {kind}, seq long, offset long, length int, data binary")
+    begins = F.when((F.col("seg") > 0) & F.col("entry_").isNull(), F.raise_error(F.lit("the parts of a volume overlap or leave a gap")).cast("long")).otherwise(F.coalesce("entry_", F.lit(0).cast("long")))
+    known = seg.join(entry, [key, "seg"], "left").select(key, "seg", begins.alias("entry_"), F.coalesce("number_", F.lit(0).cast("long")).alias("number_"), "data")
+    out = known.mapInArrow(cut, f"{key} {kind}, seq long, offset long, length int, data binary")
     return out.select(f"{key}.volume_id", "seq", "offset", "length", "data")

@@ -24,8 +24,8 @@ from .catalog import _BLOCKS, _PAIR, ORACLES, B, docs, edited, query
 
 @query()
 def cdc_chunks_parts(spark, d):
-    """The chunks of ``cdc_chunks``, of volumes that come in parts of 3 KiB and are cut by segments of 8 KiB in any task."""
-    c = G.cdc_chunks_of_parts(G.parts(docs(spark, d), 3 * B), 256, 1024, 4096, segment=8 * B)
+    """The chunks of ``cdc_chunks``, of volumes that come in parts of 24 KiB and are cut by segments of 64 KiB in any task."""
+    c = G.cdc_chunks_of_parts(G.parts(docs(spark, d), 24 * B), 256, 1024, 4096, segment=64 * B)
     return c.select("volume_id", "seq", "offset", "length", sha("data").alias("digest"))
 
 
