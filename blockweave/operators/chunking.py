@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .ranges import holding
+
 #: 256 words of 64 bits, drawn by a fixed seed.
 GEAR_SEED = 1
 
@@ -36,11 +38,12 @@ def is_zero(data):
 
 
 def holes(blocks: DataFrame, extents: DataFrame, width: int) -> DataFrame:
-    """blocks (volume_id, offset, length) with ``hole``: whether no extent of data (volume_id, start, end) reaches into them, so that they need not be read. An equi-join by buckets of offsets, not a nested loop."""
-    touched = lambda a, z: F.explode(F.sequence(F.floor(a / width), F.floor((z - 1) / width)))
-    b = blocks.where("length > 0").select("volume_id", "offset", "length", touched(F.col("offset"), F.col("offset") + F.col("length")).alias("at_"))
-    e = extents.where(F.col("end") > F.col("start")).select("volume_id", F.col("start").alias("s_"), F.col("end").alias("e_"), touched(F.col("start"), F.col("end")).alias("at_"))
-    hit = b.join(e, ["volume_id", "at_"]).where("offset < e_ and offset + length > s_").select("volume_id", "offset").distinct().withColumn("data_", F.lit(True))
+    """blocks (volume_id, offset, length) with ``hole``: whether no extent of data (volume_id, start, end) reaches into them, so that they need not be read. A block is touched if its first byte is in an extent, or an extent's first byte in it: two equi-joins by aligned intervals, so an extent of any length is a few rows."""
+    b = blocks.where("length > 0").select("volume_id", "offset", "length")
+    e = extents.where(F.col("end") > F.col("start")).select("volume_id", "start", "end")
+    inside = holding(b.select("volume_id", "offset"), "offset", e, ["volume_id"], width).select("volume_id", "offset")
+    begun = holding(e.select("volume_id", F.col("start").alias("first")), "first", b.select("volume_id", F.col("offset").alias("start"), (F.col("offset") + F.col("length")).alias("end")), ["volume_id"], width).select("volume_id", F.col("start_").alias("offset"))
+    hit = inside.union(begun).distinct().withColumn("data_", F.lit(True))
     return blocks.join(hit, ["volume_id", "offset"], "left").withColumn("hole", F.col("data_").isNull()).drop("data_")
 
 

@@ -59,6 +59,15 @@ def covers(ranges: DataFrame, by: list[str], unit: int) -> DataFrame:
     return ranges.where(F.col("end") > F.col("start")).where("start >= 0").select(*by, F.col("start").alias("start_"), F.col("end").alias("end_"), F.inline(dyadic(a, b)).alias("level_", "at_"))
 
 
+def _asking(points: DataFrame, at: str, pieces: DataFrame, unit: int) -> DataFrame:
+    """points with (level_, at_): on each level that the pieces have, the interval that holds the point."""
+    levels = pieces.agg(F.collect_set("level_").alias("levels_")).scalar()
+    asked = points.withColumn("levels_", levels)
+    number = F.floor(F.col(at) / unit).cast("long")
+    asked = asked.withColumn("levels_", F.transform("levels_", lambda v: F.struct(v.alias("level_"), F.call_function("shiftright", number, v * 2).alias("at_"))))
+    return asked.select(*points.columns, F.inline("levels_"))
+
+
 def contained(blocks: DataFrame, ranges: DataFrame, by: list[str], width: int) -> DataFrame:
     """Blocks (offset, length) inside one range (start, end); adjacent ranges don't count as one. Offsets from 0.
 
@@ -69,13 +78,16 @@ def contained(blocks: DataFrame, ranges: DataFrame, by: list[str], width: int) -
     alone; choose it near the blocks' size.
     """
     pieces = covers(ranges, by, width)
-    levels = pieces.agg(F.collect_set("level_").alias("levels_")).scalar()
-    unit = F.floor(F.col("offset") / width).cast("long")
-    asked = blocks.withColumn("levels_", levels).withColumn("asked_", F.transform("levels_", lambda v: F.struct(v.alias("level_"), F.call_function("shiftright", unit, v * 2).alias("at_"))))
-    b = asked.withColumn("id_", F.monotonically_increasing_id()).select("*", F.inline("asked_"))
+    b = _asking(blocks.withColumn("id_", F.monotonically_increasing_id()), "offset", pieces, width)
     on = [b[c] == pieces[c] for c in by] + [b["level_"] == pieces["level_"], b["at_"] == pieces["at_"], b["offset"] >= pieces["start_"], b["offset"] + b["length"] <= pieces["end_"]]
-    hit = b.join(pieces, on, "left_semi")
-    return hit.dropDuplicates(["id_"]).select(*blocks.columns)
+    return b.join(pieces, on, "left_semi").dropDuplicates(["id_"]).select(*blocks.columns)
+
+
+def holding(points: DataFrame, at: str, ranges: DataFrame, by: list[str], width: int) -> DataFrame:
+    """(points' columns, start_, end_): each point with each range (by, start, end) that holds it, by aligned intervals as ``contained``."""
+    pieces = covers(ranges, by, width)
+    got = _asking(points, at, pieces, width).join(pieces, [*by, "level_", "at_"])
+    return got.where((F.col(at) >= F.col("start_")) & (F.col(at) < F.col("end_"))).select(*points.columns, "start_", "end_")
 
 
 def resume_after(ranges: DataFrame, by: list[str], digest: str) -> DataFrame:

@@ -197,3 +197,13 @@ def test_queries_in_parts(spark):
     for (k, i), (size, strong) in md4.items():
         assert strong == trees.md4_many([texts[k][i * size : (i + 1) * size]])[0].hex()
     assert set(md4) == {(r.volume_id, r.seq) for r in q["rsync_signatures"](spark, sf).collect()}
+
+
+@pytest.mark.parametrize("width", [32, 1000])
+def test_holes_under_extents_of_any_length(spark, width):
+    r = random.Random(width)
+    blocks = [(v, at, 64 if at < 1920 else 10) for v in range(6) for at in range(0, 2000, 64)] + [(7, 0, 0), (8, 1 << 40, 64)]
+    extents = [(r.randrange(6), a := r.randrange(0, 2100), a + r.choice([0, 1, 5, 63, 64, 65, 300])) for _ in range(18)] + [(8, 5, 1 << 50), (5, 0, 0)]
+    got = C.holes(spark.createDataFrame(blocks, "volume_id int, offset long, length int"), spark.createDataFrame(extents, "volume_id int, start long, end long"), width)
+    want = sorted((v, o, n, not any(x == v and s < o + n and z > o and z > s for x, s, z in extents) or n == 0) for v, o, n in blocks)
+    assert sorted(map(tuple, got.select("volume_id", "offset", "length", "hole").collect())) == want
