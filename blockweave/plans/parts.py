@@ -172,7 +172,9 @@ def delta_sessions(spark, d):
     none = F.lit(None)
     devices = vol.select("volume_id", F.octet_length("data").cast("long").alias("size"), ident.alias("device"))
     old = M.blocks(vol, B).select("volume_id", "offset", "data")
-    changed = M.blocks(new, B).select("volume_id", "seq", "offset", F.col("data").alias("new")).join(old, ["volume_id", "offset"]).where("new <> data")
+    both = t.select(F.col("doc_id").cast("long").alias("volume_id"), F.col("text").cast("binary").alias("data"), F.replace("text", F.lit("a"), F.lit("o")).cast("binary").alias("after"))
+    piece = F.substr("after", (F.col("offset") + 1).cast("int"), F.lit(B))
+    changed = M.blocks(both, B).withColumn("new", piece).where("new <> data")  # the edit keeps lengths, so both are cut in one scan
     kind_of = devices.schema["device"].dataType
     first = devices.where("volume_id % 7 <> 0").select("volume_id", F.lit(0).cast("long").alias("seq"), F.lit("I").alias("kind"), F.col("device").alias("identity"), none.cast("long").alias("offset"), none.cast("binary").alias("data"), none.cast("string").alias("digest"))
     deltas = changed.select("volume_id", (F.col("seq") + 1).alias("seq"), F.lit("D"), none.cast(kind_of), "offset", F.col("new"), none.cast("string"))
